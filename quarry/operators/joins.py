@@ -1,0 +1,19 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast only when its row count is at most ``max_rows``.
+
+    ``known_rows`` lets a caller pass a count it already has (for example a run
+    metric); otherwise the count is taken here, which is one scan of a table
+    that is meant to be small.  Above the bound the frame is returned as is
+    and Spark plans a shuffle join (AQE may still broadcast it at run time when
+    its measured size is under ``spark.sql.autoBroadcastJoinThreshold``).
+    """
+    rows = df.count() if known_rows is None else known_rows
+    return F.broadcast(df) if rows <= max_rows else df
