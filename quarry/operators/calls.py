@@ -138,7 +138,15 @@ def _fmt_merge(outer: Column, inner: Column) -> Column:
 
 
 def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> DataFrame:
-    """Resolved parts of every argument of ``inst``; loops until no part changes."""
+    """Resolved parts of every argument of ``inst``; loops until no part changes.
+
+    Per round, the unresolved parts meet one static ``resolver`` table on
+    ``(script_id, name)`` -- bindings and parameters by name -- the best
+    candidate per part is a grouped ``min_by`` (scope rule, then the latest
+    position), and the part is replaced by the bound value's parts or by the
+    parts of the argument passed at the invoking call site.  A part with no
+    candidate, or whose call site passes nothing for the parameter, is final.
+    """
     args = _facts(facts, "arg")
     w = inst.select("script_id", "call_ord", "ctx").join(args, ["script_id", "call_ord"]).select(
         "script_id", "call_ord", "ctx", "slot", "slot_kind", F.array(F.col("part")).alias("path"),
@@ -146,113 +154,109 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         "fmt", F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"),
         (~F.col("kind").isin(REF_KINDS)).alias("done"))
 
-    binds = _facts(facts, "bind").select(
-        "script_id", F.col("scope").alias("b_scope"), F.coalesce("qual", "scope").alias("b_home"),
-        F.col("cls").alias("b_cls"), F.col("name").alias("b_name"), F.col("slot").alias("b_key"),
-        F.col("pos").alias("b_pos"), F.col("part").alias("b_part"), F.col("kind").alias("b_kind"),
-        F.col("lit_kind").alias("b_lit_kind"), F.col("value").alias("b_value"), F.col("text").alias("b_text"),
-        F.col("key").alias("b_subkey"), F.col("fmt").alias("b_fmt"))
-    heads = binds.filter(F.col("b_part") == 0).select("script_id", "b_scope", "b_name", "b_key", "b_pos")
-    params = _facts(facts, "param").select(
-        "script_id", F.col("scope").alias("p_scope"), F.col("name").alias("p_name"),
-        F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind"))
+    bind_id = F.concat_ws(":", F.lit("b"), "scope", "name", F.coalesce("slot", F.lit("")), F.col("pos").cast("string"))
+    binds = _facts(facts, "bind").withColumn("used", bind_id)
+    bind_parts = binds.select(
+        "script_id", "used", F.col("part").alias("r_part"), F.coalesce("qual", "scope").alias("r_home"),
+        F.col("cls").alias("r_cls"), F.col("pos").alias("r_pos"), F.col("kind").alias("r_kind"),
+        F.col("lit_kind").alias("r_lit_kind"), F.col("value").alias("r_value"), F.col("text").alias("r_text"),
+        F.col("key").alias("r_subkey"), F.col("fmt").alias("r_fmt"))
+    resolver = binds.filter(F.col("part") == 0).select(
+        "script_id", F.col("name").alias("l_name"), F.lit("bind").alias("r_type"), F.col("scope").alias("r_scope"),
+        F.col("slot").alias("r_key"), F.col("pos").alias("r_pos"), "used",
+        F.lit(None).cast("string").alias("p_slot"), F.lit(None).cast("string").alias("p_kind"),
+    ).unionByName(_facts(facts, "param").select(
+        "script_id", F.col("name").alias("l_name"), F.lit("param").alias("r_type"), F.col("scope").alias("r_scope"),
+        F.lit(None).cast("string").alias("r_key"), F.lit(None).cast("long").alias("r_pos"),
+        F.lit(None).cast("string").alias("used"), F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind")))
+    resolver = cut(resolver)
     site_args = args.select(
-        "script_id", F.col("call_ord").alias("site"), F.col("slot").alias("s_slot"),
+        F.col("script_id").alias("s_script_id"), F.col("call_ord").alias("s_site"), F.col("slot").alias("s_slot"),
         F.col("slot_kind").alias("s_slot_kind"), F.col("part").alias("s_part"), F.col("scope").alias("s_scope"),
         F.col("cls").alias("s_cls"), F.col("pos").alias("s_pos"), F.col("kind").alias("s_kind"),
         F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"), F.col("text").alias("s_text"),
         F.col("key").alias("s_subkey"), F.col("fmt").alias("s_fmt"))
-    shifts = edges.select("script_id", "site", F.col("to_scope").alias("p_scope"), "shift")
-    only_site = (edges.groupBy("script_id", F.col("to_scope").alias("p_scope"))
+    shifts = edges.select("script_id", F.col("site").alias("f_site"), F.col("to_scope").alias("scope"),
+                          F.col("shift").alias("f_shift"))
+    only_site = (edges.groupBy("script_id", F.col("to_scope").alias("scope"))
                  .agg(F.countDistinct("site").alias("n"), F.min("site").alias("u_site"), F.min("shift").alias("u_shift"))
                  .filter(F.col("n") == 1).drop("n"))
 
     pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "ctx", "slot", "path")), 256)
     w = cut(w)
-    while True:
-        todo = w.filter(~F.col("done"))
-        if todo.isEmpty():
-            break
-        keep = w.filter(F.col("done"))
-        t = todo.withColumn("pid", pid).withColumn(
+    finished = [w.filter(F.col("done"))]
+    todo = cut(w.filter(~F.col("done")))
+    while not todo.isEmpty():
+        t = todo.withColumn("pid", pid).withColumn("l_name", F.col("value")).withColumn(
             "l_scope", F.when(F.col("kind") == "attr", F.col("cls")).otherwise(F.col("scope"))).withColumn(
             "l_key", F.when(F.col("kind") == "sub", F.col("key")))
-        tc = t.select("pid", "script_id", "ctx", "lvl", "kind", "scope", "l_scope", "l_key",
-                      F.col("value").alias("l_name"), "pos", "seen")
-
-        bind_id = F.concat_ws(":", F.lit("b"), "b_scope", "b_name", F.coalesce("b_key", F.lit("")), "b_pos")
-        same_scope = tc.join(heads, "script_id").filter(
-            (F.col("b_scope") == F.col("l_scope")) & (F.col("b_name") == F.col("l_name"))
-            & F.col("b_key").eqNullSafe(F.col("l_key"))
-            & ((F.col("kind") == "attr") | (F.col("b_pos") < F.col("pos"))))
-        c1 = same_scope.select("pid", F.lit(1).alias("prio"), "b_pos", "b_scope", "b_name", "b_key",
-                               bind_id.alias("used"))
-        module_scope = tc.filter(F.col("kind").isin("ref", "sub") & (F.col("scope") != MODULE)).join(
-            heads, "script_id").filter(
-            (F.col("b_scope") == MODULE) & (F.col("b_name") == F.col("l_name"))
-            & F.col("b_key").eqNullSafe(F.col("l_key")))
-        c3 = module_scope.select("pid", F.lit(3).alias("prio"), "b_pos", "b_scope", "b_name", "b_key",
-                                 bind_id.alias("used"))
-        by_param = (tc.filter(F.col("kind") == "ref")
-                    .join(params, (tc.script_id == params.script_id) & (params.p_scope == tc.scope)
-                          & (params.p_name == tc.l_name))
-                    .drop(params.script_id)
-                    .withColumn("site", F.when(F.col("lvl") >= 0, F.element_at("ctx", F.col("lvl") + 1))))
-        by_param = (by_param.join(shifts, ["script_id", "site", "p_scope"], "left")
-                    .join(only_site, ["script_id", "p_scope"], "left")
-                    .withColumn("shift", F.when(F.col("site").isNotNull(), F.col("shift")).otherwise(F.col("u_shift")))
-                    .withColumn("site", F.coalesce("site", "u_site"))
-                    .filter(F.col("site").isNotNull()))
-        c2 = by_param.select(
-            "pid", F.lit(2).alias("prio"), F.lit(None).cast("long").alias("b_pos"), "p_scope", "p_name", "p_slot",
-            "p_kind", "site", "shift",
-            F.concat_ws(":", F.lit("p"), "p_scope", "p_name", F.col("site").cast("string")).alias("used"))
-        bind_cands = c1.unionByName(c3)
-        cands = bind_cands.select("pid", "prio", "b_pos", "used").unionByName(c2.select("pid", "prio", "b_pos", "used"))
-        cands = cands.join(tc.select("pid", "seen"), "pid").filter(~F.array_contains("seen", F.col("used")))
-        best = cands.groupBy("pid").agg(
-            F.min_by(F.struct("prio", "used"), F.struct(F.col("prio"), -F.coalesce("b_pos", F.lit(0)))).alias("c")
-        ).select("pid", F.col("c.prio").alias("prio"), F.col("c.used").alias("used"))
-
-        # replacement by bound values
-        chosen_b = best.filter(F.col("prio") != 2).join(
-            bind_cands.select("pid", "used", "b_scope", "b_name", F.col("b_key").alias("c_key"), "b_pos").distinct(),
-            ["pid", "used"])
-        rb = (t.join(chosen_b, "pid").join(binds, ["script_id", "b_scope", "b_name", "b_pos"])
-              .filter(F.col("b_key").eqNullSafe(F.col("c_key"))))
-        rb = rb.select(
+        key_ok = F.col("r_key").eqNullSafe(F.col("l_key"))
+        is_bind = F.col("r_type") == "bind"
+        prio = (
+            F.when(is_bind & (F.col("r_scope") == F.col("l_scope")) & key_ok
+                   & ((F.col("kind") == "attr") | (F.col("r_pos") < F.col("pos"))), F.lit(1))
+            .when((F.col("r_type") == "param") & (F.col("kind") == "ref") & (F.col("r_scope") == F.col("scope")),
+                  F.lit(2))
+            .when(is_bind & (F.col("r_scope") == MODULE) & (F.col("scope") != MODULE)
+                  & F.col("kind").isin("ref", "sub") & key_ok, F.lit(3))
+        )
+        cands = (t.select("pid", "script_id", "l_name", "l_scope", "l_key", "kind", "scope", "pos", "seen")
+                 .join(resolver, ["script_id", "l_name"]).withColumn("prio", prio).filter(F.col("prio").isNotNull())
+                 .withColumn("pkey", F.coalesce("used", F.concat_ws(":", F.lit("p"), "r_scope", "l_name")))
+                 .filter(~F.array_contains("seen", F.col("pkey"))))
+        best = cands.groupBy("pid").agg(F.min_by(
+            F.struct("prio", "r_type", "used", "p_slot", "p_kind", "pkey"),
+            F.struct(F.col("prio"), -F.coalesce("r_pos", F.lit(0)))).alias("c")).select("pid", "c.*")
+        chosen = cut(t.join(best, "pid", "left"))
+
+        # replacement by a bound value
+        rb = chosen.filter(F.col("r_type") == "bind").join(bind_parts, ["script_id", "used"]).select(
             "script_id", "call_ord", "ctx", "slot", "slot_kind",
-            F.concat(F.col("path"), F.array(F.col("b_part"))).alias("path"),
-            F.col("b_home").alias("scope"), F.col("b_cls").alias("cls"), F.col("b_pos").alias("pos"),
+            F.concat(F.col("path"), F.array(F.col("r_part"))).alias("path"),
+            F.col("r_home").alias("scope"), F.col("r_cls").alias("cls"), F.col("r_pos").alias("pos"),
             F.when((F.col("prio") == 1) & (F.col("kind") != "attr"), F.col("lvl")).otherwise(F.lit(-1)).alias("lvl"),
-            F.col("b_kind").alias("kind"), F.col("b_lit_kind").alias("lit_kind"), F.col("b_value").alias("value"),
-            F.col("b_text").alias("text"), F.col("b_subkey").alias("key"),
-            _fmt_merge(F.col("fmt"), F.col("b_fmt")).alias("fmt"), "arg_src",
+            F.col("r_kind").alias("kind"), F.col("r_lit_kind").alias("lit_kind"), F.col("r_value").alias("value"),
+            F.col("r_text").alias("text"), F.col("r_subkey").alias("key"),
+            _fmt_merge(F.col("fmt"), F.col("r_fmt")).alias("fmt"), "arg_src",
             F.concat(F.col("seen"), F.array(F.col("used"))).alias("seen"),
-            (~F.col("b_kind").isin(REF_KINDS)).alias("done"), "pid")
-
-        # replacement by the argument passed at the invoking call site
-        chosen_p = best.filter(F.col("prio") == 2).join(c2.drop("prio", "b_pos"), ["pid", "used"])
+            (~F.col("r_kind").isin(REF_KINDS)).alias("done"))
+
+        # replacement by the argument passed at the invoking call site (left join: none passed -> final)
+        on_path = F.when(F.col("lvl") >= 0, F.element_at("ctx", F.col("lvl") + 1))
+        p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", on_path)
+             .join(shifts, ["script_id", "f_site", "scope"], "left")
+             .join(only_site, ["script_id", "scope"], "left")
+             .withColumn("site", F.when(F.col("f_site").isNotNull(), F.col("f_site")).otherwise(F.col("u_site")))
+             .withColumn("shift", F.when(F.col("f_site").isNotNull(), F.col("f_shift")).otherwise(F.col("u_shift"))))
         pos_slot = (F.col("p_slot").cast("int") - F.col("shift")).cast("string")
-        rp = t.join(chosen_p, "pid").join(site_args, ["script_id", "site"]).filter(
-            ((F.col("p_kind") == "pos") & (F.col("s_slot_kind") == "pos") & (F.col("s_slot") == pos_slot))
-            | ((F.col("s_slot_kind") == "kw") & (F.col("s_slot") == F.col("p_name"))))
-        rp = rp.select(
+        slot_ok = (((F.col("p_kind") == "pos") & (F.col("s_slot_kind") == "pos") & (F.col("s_slot") == pos_slot))
+                   | ((F.col("s_slot_kind") == "kw") & (F.col("s_slot") == F.col("l_name"))))
+        pj = p.join(site_args, (F.col("script_id") == F.col("s_script_id")) & (F.col("site") == F.col("s_site"))
+                    & slot_ok, "left")
+        hit = F.col("s_part").isNotNull()
+        used_site = F.concat_ws(":", F.col("pkey"), F.col("site").cast("string"))
+        rp = pj.select(
             "script_id", "call_ord", "ctx", "slot", "slot_kind",
-            F.concat(F.col("path"), F.array(F.col("s_part"))).alias("path"),
-            F.col("s_scope").alias("scope"), F.col("s_cls").alias("cls"), F.col("s_pos").alias("pos"),
-            F.when(F.col("lvl") >= 0, F.col("lvl") - 1).otherwise(F.lit(-1)).alias("lvl"),
-            F.col("s_kind").alias("kind"), F.col("s_lit_kind").alias("lit_kind"), F.col("s_value").alias("value"),
-            F.col("s_text").alias("text"), F.col("s_subkey").alias("key"),
-            _fmt_merge(F.col("fmt"), F.col("s_fmt")).alias("fmt"), "arg_src",
-            F.concat(F.col("seen"), F.array(F.col("used"))).alias("seen"),
-            (~F.col("s_kind").isin(REF_KINDS)).alias("done"), "pid")
-
-        replaced = rb.unionByName(rp)
-        stuck = t.join(replaced.select("pid").distinct(), "pid", "left_anti").withColumn("done", F.lit(True))
-        w = cut(keep.select(*_PART_COLS).unionByName(replaced.select(*_PART_COLS))
-                .unionByName(stuck.select(*_PART_COLS)))
-    return w
+            F.when(hit, F.concat(F.col("path"), F.array(F.col("s_part")))).otherwise(F.col("path")).alias("path"),
+            F.when(hit, F.col("s_scope")).otherwise(F.col("scope")).alias("scope"),
+            F.when(hit, F.col("s_cls")).otherwise(F.col("cls")).alias("cls"),
+            F.when(hit, F.col("s_pos")).otherwise(F.col("pos")).alias("pos"),
+            F.when(hit & (F.col("lvl") >= 0), F.col("lvl") - 1).when(hit, F.lit(-1)).otherwise(F.col("lvl")).alias("lvl"),
+            F.when(hit, F.col("s_kind")).otherwise(F.col("kind")).alias("kind"),
+            F.when(hit, F.col("s_lit_kind")).otherwise(F.col("lit_kind")).alias("lit_kind"),
+            F.when(hit, F.col("s_value")).otherwise(F.col("value")).alias("value"),
+            F.when(hit, F.col("s_text")).otherwise(F.col("text")).alias("text"),
+            F.when(hit, F.col("s_subkey")).otherwise(F.col("key")).alias("key"),
+            F.when(hit, _fmt_merge(F.col("fmt"), F.col("s_fmt"))).otherwise(F.col("fmt")).alias("fmt"),
+            "arg_src",
+            F.when(hit, F.concat(F.col("seen"), F.array(used_site))).otherwise(F.col("seen")).alias("seen"),
+            F.when(hit, ~F.col("s_kind").isin(REF_KINDS)).otherwise(F.lit(True)).alias("done"))
+
+        stuck = chosen.filter(F.col("r_type").isNull()).withColumn("done", F.lit(True))
+        step = cut(rb.unionByName(rp).unionByName(stuck.select(*_PART_COLS)))
+        finished.append(step.filter(F.col("done")))
+        todo = step.filter(~F.col("done"))
+    return reduce(DataFrame.unionByName, finished)
 
 
 def assemble_arguments(parts: DataFrame) -> DataFrame:

@@ -395,8 +395,17 @@ def normalize_sources(scripts: DataFrame) -> DataFrame:
     return scripts.withColumn("normalized", dedent_text(expand_tabs("source")))
 
 
-def extract_facts(scripts: DataFrame) -> DataFrame:
-    """``scripts(script_id, script_ord, source)`` -> fact rows (see module doc)."""
+def extract_facts(scripts: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """``scripts(script_id, script_ord, source)`` -> fact rows (see module doc).
+
+    Parsing is CPU work per script; when the corpus arrives in fewer input
+    splits than ``min_tasks`` (default: the shuffle partition count) it is
+    spread round-robin first, otherwise the input splits are used as they are.
+    """
+    spark = scripts.sparkSession
+    want = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if scripts.rdd.getNumPartitions() < want:
+        scripts = scripts.repartition(want)
     norm = normalize_sources(scripts).select("script_id", "script_ord", "normalized")
     return norm.mapInPandas(_parse_batches, FACT_SCHEMA)
 
