@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import calls as C
-from quarry.operators.codefacts import normalize_sources
+from quarry.operators.codefacts import extract_facts, normalize_sources, quarantine
 from quarry.plans.calls import apply_policies, call_inventory, io_inventory
 from quarry.sources.corpus import templated_scripts
 from quarry.sources.fixtures import table
@@ -59,13 +59,17 @@ def q_call_args_long(spark, sf):
                                       F.col("v.kind").alias("kind"), F.col("v.value").alias("value"))
 
 
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_facts(templated_scripts(spark, sf))
+
+
 def q_defined_names(spark, sf):
-    d = C.defined_names(_inventory(spark, sf).facts)
+    d = C.defined_names(_facts(spark, sf))
     return d.select("script_id", F.array_join("names", ",").alias("names"))
 
 
 def q_import_bindings(spark, sf):
-    return C.import_bindings(_inventory(spark, sf).facts).select(
+    return C.import_bindings(_facts(spark, sf)).select(
         "script_id", "bound_name", "module", "target", "is_allowed")
 
 
@@ -80,7 +84,7 @@ def q_normalized_source(spark, sf):
 
 
 def q_script_quarantine(spark, sf):
-    return _inventory(spark, sf).quarantine.select("script_id")
+    return quarantine(_facts(spark, sf)).select("script_id")
 
 
 def q_partial_args(spark, sf):
@@ -97,13 +101,12 @@ def q_caller_path(spark, sf):
 def q_chained_loads(spark, sf):
     rows = apply_policies(_inventory(spark, sf).calls)
     kept = apply_policies(rows, drop_chained_load=True)
-    return rows.join(kept, ["script_id", "call_ord", "ctx"], "left_anti").select("script_id", "line", "caller")
+    return rows.join(kept, ["script_id", "call_ord", "ctx", "alt"], "left_anti").select("script_id", "line", "caller")
 
 
 def q_invoked_scopes(spark, sf):
-    inv = _inventory(spark, sf)
-    edges = C.call_edges(inv.facts)
-    return C.invocations(inv.facts, edges).select("script_id", "scope", F.size("ctx").alias("depth"))
+    facts = C.cut(_facts(spark, sf))
+    return C.invocations(facts, C.call_edges(facts)).select("script_id", "scope", F.size("ctx").alias("depth"))
 
 
 def q_io_inventory(spark, sf):

@@ -9,8 +9,10 @@
   stand for, round after round, until no part changes.  A binding is the
   latest assignment before the reference in the same scope (then the module's
   latest); a parameter takes the argument at the invoking call site (the
-  invocation path says which one; outside a path, the function's only call
-  site).  Each replacement records what it used, so cycles stop.
+  invocation path says which one; outside a path -- e.g. ``__init__``
+  reached through ``self.x`` -- the call instance forks once per call site
+  and keeps the choice in ``alt``).  Each replacement records what it used,
+  so cycles stop.
 * ``call_rows`` (F2/J3, J6, X6-X8): target calls with caller text, the
   caller's import-qualified path, and args / kwargs as
   ``struct<kind, value>``.
@@ -56,12 +58,12 @@ def call_edges(facts: DataFrame) -> DataFrame:
 
     ``f(..)`` runs a function defined at module level or in the caller's own
     scope; ``C(..)`` runs ``C.__init__``; ``self.m(..)`` runs ``m`` of the
-    caller's class; ``x.m(..)`` may run any method ``m``.  ``shift`` is 1 when
+    caller's class; ``x.m(..)`` (also ``self.x.m(..)``) may run any method ``m``.  ``shift`` is 1 when
     the callee's first parameter is the instance.
     """
     calls = _facts(facts, "call").select(
         "script_id", F.col("scope").alias("from_scope"), F.col("cls").alias("from_cls"),
-        F.col("name").alias("callee"), "call_form", "receiver_root", F.col("call_ord").alias("site"))
+        F.col("name").alias("callee"), "call_form", "receiver", F.col("call_ord").alias("site"))
     defs = _facts(facts, "def").filter(F.col("kind").isin("function", "class")).select(
         "script_id", F.col("scope").alias("def_scope"), F.col("cls").alias("def_cls"),
         F.col("name").alias("callee"), F.col("qual").alias("def_qual"), F.col("kind").alias("def_kind"))
@@ -71,7 +73,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
         ((F.col("call_form") == "name") & (F.col("def_kind") == "function") & local_or_module & ~is_method)
         | ((F.col("call_form") == "name") & (F.col("def_kind") == "class") & local_or_module)
         | ((F.col("call_form") == "attr") & (F.col("def_kind") == "function") & is_method
-           & ((F.col("receiver_root") != "self") | (F.col("def_cls") == F.col("from_cls"))))
+           & ((F.col("receiver") != "self") | (F.col("def_cls") == F.col("from_cls"))))
     )
     return calls.join(defs, ["script_id", "callee"]).filter(matches).select(
         "script_id", "from_scope", "site",
@@ -129,7 +131,9 @@ def call_instances(facts: DataFrame, inv: DataFrame, targets: DataFrame | None =
 
 # --------------------------------------------------------------------------- J4
 _PART_COLS = ["script_id", "call_ord", "ctx", "slot", "slot_kind", "path", "scope", "cls", "pos", "lvl",
-              "kind", "lit_kind", "value", "text", "key", "fmt", "arg_src", "seen", "done"]
+              "kind", "lit_kind", "value", "text", "key", "fmt", "arg_src", "seen", "done", "alt"]
+INSTANCE_KEY = ["script_id", "call_ord", "ctx", "alt"]
+ALT_TYPE = "array<struct<scope:string,site:int>>"
 
 
 def _fmt_merge(outer: Column, inner: Column) -> Column:
@@ -152,12 +156,13 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         "script_id", "call_ord", "ctx", "slot", "slot_kind", F.array(F.col("part")).alias("path"),
         "scope", "cls", "pos", (F.size("ctx") - 1).alias("lvl"), "kind", "lit_kind", "value", "text", "key",
         "fmt", F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"),
-        (~F.col("kind").isin(REF_KINDS)).alias("done"))
+        (~F.col("kind").isin(REF_KINDS)).alias("done"), F.array().cast(ALT_TYPE).alias("alt"))
 
     bind_id = F.concat_ws(":", F.lit("b"), "scope", "name", F.coalesce("slot", F.lit("")), F.col("pos").cast("string"))
     binds = _facts(facts, "bind").withColumn("used", bind_id)
-    bind_parts = binds.select(
-        "script_id", "used", F.col("part").alias("r_part"), F.coalesce("qual", "scope").alias("r_home"),
+    sizes = binds.groupBy("script_id", "used").agg(F.count(F.lit(1)).alias("r_nparts"))
+    bind_parts = binds.join(sizes, ["script_id", "used"]).select(
+        "script_id", "used", "r_nparts", F.col("part").alias("r_part"), F.coalesce("qual", "scope").alias("r_home"),
         F.col("cls").alias("r_cls"), F.col("pos").alias("r_pos"), F.col("kind").alias("r_kind"),
         F.col("lit_kind").alias("r_lit_kind"), F.col("value").alias("r_value"), F.col("text").alias("r_text"),
         F.col("key").alias("r_subkey"), F.col("fmt").alias("r_fmt"))
@@ -170,93 +175,118 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         F.lit(None).cast("string").alias("r_key"), F.lit(None).cast("long").alias("r_pos"),
         F.lit(None).cast("string").alias("used"), F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind")))
     resolver = cut(resolver)
-    site_args = args.select(
+    arg_sizes = args.groupBy("script_id", "call_ord", "slot").agg(F.count(F.lit(1)).alias("s_nparts"))
+    site_args = args.join(arg_sizes, ["script_id", "call_ord", "slot"]).select(
         F.col("script_id").alias("s_script_id"), F.col("call_ord").alias("s_site"), F.col("slot").alias("s_slot"),
-        F.col("slot_kind").alias("s_slot_kind"), F.col("part").alias("s_part"), F.col("scope").alias("s_scope"),
-        F.col("cls").alias("s_cls"), F.col("pos").alias("s_pos"), F.col("kind").alias("s_kind"),
-        F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"), F.col("text").alias("s_text"),
-        F.col("key").alias("s_subkey"), F.col("fmt").alias("s_fmt"))
+        F.col("slot_kind").alias("s_slot_kind"), F.col("part").alias("s_part"), "s_nparts",
+        F.col("scope").alias("s_scope"), F.col("cls").alias("s_cls"), F.col("pos").alias("s_pos"),
+        F.col("kind").alias("s_kind"), F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"),
+        F.col("text").alias("s_text"), F.col("key").alias("s_subkey"), F.col("fmt").alias("s_fmt"))
     shifts = edges.select("script_id", F.col("site").alias("f_site"), F.col("to_scope").alias("scope"),
                           F.col("shift").alias("f_shift"))
-    only_site = (edges.groupBy("script_id", F.col("to_scope").alias("scope"))
-                 .agg(F.countDistinct("site").alias("n"), F.min("site").alias("u_site"), F.min("shift").alias("u_shift"))
-                 .filter(F.col("n") == 1).drop("n"))
+    entry_sites = edges.select("script_id", F.col("to_scope").alias("fork_scope"), "site").distinct()
+
+    def moved(df: DataFrame, pre: str, used: Column, lvl: Column, sub_alias: bool) -> DataFrame:
+        """Parts that replace a reference: the bound (``r_``) or passed (``s_``) part."""
+        if sub_alias:  # name[key] where name stands for another name: keep the key, follow the name
+            kind, lit_kind, value, text, key = (F.lit("sub"), F.lit(None).cast("string"), F.col(f"{pre}value"),
+                                                F.lit(None).cast("string"), F.col("key"))
+            fmt, done = F.col("fmt"), F.lit(False)
+        else:
+            kind, lit_kind, value, text, key = (F.col(f"{pre}kind"), F.col(f"{pre}lit_kind"), F.col(f"{pre}value"),
+                                                F.col(f"{pre}text"), F.col(f"{pre}subkey"))
+            fmt, done = _fmt_merge(F.col("fmt"), F.col(f"{pre}fmt")), ~F.col(f"{pre}kind").isin(REF_KINDS)
+        home = "r_home" if pre == "r_" else "s_scope"
+        return df.select(
+            "script_id", "call_ord", "ctx", "slot", "slot_kind",
+            F.concat(F.col("path"), F.array(F.col(f"{pre}part"))).alias("path"),
+            F.col(home).alias("scope"), F.col(f"{pre}cls").alias("cls"), F.col(f"{pre}pos").alias("pos"),
+            lvl.alias("lvl"), kind.alias("kind"), lit_kind.alias("lit_kind"), value.alias("value"),
+            text.alias("text"), key.alias("key"), fmt.alias("fmt"), "arg_src",
+            F.concat(F.col("seen"), F.array(used)).alias("seen"), done.alias("done"), "alt")
 
-    pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "ctx", "slot", "path")), 256)
+    pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "ctx", "alt", "slot", "path")), 256)
     w = cut(w)
-    finished = [w.filter(F.col("done"))]
-    todo = cut(w.filter(~F.col("done")))
-    while not todo.isEmpty():
+    while True:
+        todo = w.filter(~F.col("done"))
+        if todo.isEmpty():
+            break
+        self_based = (F.col("kind") == "attr") | ((F.col("kind") == "sub") & F.col("value").startswith("self."))
         t = todo.withColumn("pid", pid).withColumn("l_name", F.col("value")).withColumn(
-            "l_scope", F.when(F.col("kind") == "attr", F.col("cls")).otherwise(F.col("scope"))).withColumn(
-            "l_key", F.when(F.col("kind") == "sub", F.col("key")))
+            "l_scope", F.when(self_based, F.col("cls")).otherwise(F.col("scope"))).withColumn(
+            "l_key", F.when(F.col("kind") == "sub", F.col("key"))).withColumn("self_based", self_based)
         key_ok = F.col("r_key").eqNullSafe(F.col("l_key"))
+        alias = (F.col("kind") == "sub") & F.col("r_key").isNull()
         is_bind = F.col("r_type") == "bind"
+        local = is_bind & (F.col("r_scope") == F.col("l_scope")) & (F.col("self_based") | (F.col("r_pos") < F.col("pos")))
+        module = (is_bind & (F.col("r_scope") == MODULE) & (F.col("scope") != MODULE) & ~F.col("self_based")
+                  & F.col("kind").isin("ref", "sub"))
         prio = (
-            F.when(is_bind & (F.col("r_scope") == F.col("l_scope")) & key_ok
-                   & ((F.col("kind") == "attr") | (F.col("r_pos") < F.col("pos"))), F.lit(1))
-            .when((F.col("r_type") == "param") & (F.col("kind") == "ref") & (F.col("r_scope") == F.col("scope")),
-                  F.lit(2))
-            .when(is_bind & (F.col("r_scope") == MODULE) & (F.col("scope") != MODULE)
-                  & F.col("kind").isin("ref", "sub") & key_ok, F.lit(3))
+            F.when(local & key_ok, F.lit(10)).when(local & alias, F.lit(11))
+            .when((F.col("r_type") == "param") & F.col("kind").isin("ref", "sub") & ~F.col("self_based")
+                  & (F.col("r_scope") == F.col("scope")), F.lit(20))
+            .when(module & key_ok, F.lit(30)).when(module & alias, F.lit(31))
         )
-        cands = (t.select("pid", "script_id", "l_name", "l_scope", "l_key", "kind", "scope", "pos", "seen")
+        cands = (t.select("pid", "script_id", "l_name", "l_scope", "l_key", "kind", "scope", "pos", "seen",
+                          "self_based")
                  .join(resolver, ["script_id", "l_name"]).withColumn("prio", prio).filter(F.col("prio").isNotNull())
                  .withColumn("pkey", F.coalesce("used", F.concat_ws(":", F.lit("p"), "r_scope", "l_name")))
                  .filter(~F.array_contains("seen", F.col("pkey"))))
         best = cands.groupBy("pid").agg(F.min_by(
-            F.struct("prio", "r_type", "used", "p_slot", "p_kind", "pkey"),
+            F.struct("prio", "r_type", "r_key", "used", "p_slot", "p_kind", "pkey"),
             F.struct(F.col("prio"), -F.coalesce("r_pos", F.lit(0)))).alias("c")).select("pid", "c.*")
         chosen = cut(t.join(best, "pid", "left"))
+        is_sub = F.col("kind") == "sub"
+
+        # A parameter outside the invocation path (e.g. of __init__, reached through self.x) is bound at
+        # one of the function's call sites.  The call instance forks once per site and remembers the
+        # choice in ``alt``, so all its arguments agree on it.  One scope per instance and round.
+        alt_site = F.filter("alt", lambda a: a["scope"] == F.col("scope"))
+        need = chosen.filter((F.col("r_type") == "param") & (F.col("lvl") < 0) & (F.size(alt_site) == 0))
+        if not need.isEmpty():
+            req = need.groupBy(*INSTANCE_KEY).agg(F.min("scope").alias("fork_scope"))
+            forks = req.join(entry_sites, ["script_id", "fork_scope"], "left").select(
+                *INSTANCE_KEY, F.array_sort(F.concat("alt", F.array(F.struct(
+                    F.col("fork_scope").alias("scope"), F.col("site").alias("site"))))).alias("new_alt"))
+            w = cut(w.join(forks, INSTANCE_KEY, "left")
+                    .withColumn("alt", F.coalesce("new_alt", "alt")).select(*_PART_COLS))
+            continue
 
         # replacement by a bound value
-        rb = chosen.filter(F.col("r_type") == "bind").join(bind_parts, ["script_id", "used"]).select(
-            "script_id", "call_ord", "ctx", "slot", "slot_kind",
-            F.concat(F.col("path"), F.array(F.col("r_part"))).alias("path"),
-            F.col("r_home").alias("scope"), F.col("r_cls").alias("cls"), F.col("r_pos").alias("pos"),
-            F.when((F.col("prio") == 1) & (F.col("kind") != "attr"), F.col("lvl")).otherwise(F.lit(-1)).alias("lvl"),
-            F.col("r_kind").alias("kind"), F.col("r_lit_kind").alias("lit_kind"), F.col("r_value").alias("value"),
-            F.col("r_text").alias("text"), F.col("r_subkey").alias("key"),
-            _fmt_merge(F.col("fmt"), F.col("r_fmt")).alias("fmt"), "arg_src",
-            F.concat(F.col("seen"), F.array(F.col("used"))).alias("seen"),
-            (~F.col("r_kind").isin(REF_KINDS)).alias("done"))
-
-        # replacement by the argument passed at the invoking call site (left join: none passed -> final)
-        on_path = F.when(F.col("lvl") >= 0, F.element_at("ctx", F.col("lvl") + 1))
+        b = chosen.filter(F.col("r_type") == "bind").join(bind_parts, ["script_id", "used"])
+        b_lvl = F.when((F.col("prio") == 10) & ~F.col("self_based"), F.col("lvl")).otherwise(F.lit(-1))
+        b_used = F.col("used")
+        b_alias = is_sub & F.col("r_key").isNull()
+        b_alias_ok = b_alias & (F.col("r_nparts") == 1) & F.col("r_kind").isin("ref", "attr")
+        rb = (moved(b.filter(~b_alias), "r_", b_used, b_lvl, False)
+              .unionByName(moved(b.filter(b_alias_ok), "r_", b_used, b_lvl, True)))
+        b_stuck = b.filter(b_alias & ~b_alias_ok & (F.col("r_part") == 0))
+
+        # replacement by the argument passed at the invoking call site
+        on_path = F.when(F.col("lvl") >= 0, F.element_at("ctx", F.col("lvl") + 1)).otherwise(
+            F.element_at(alt_site, 1)["site"])
         p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", on_path)
              .join(shifts, ["script_id", "f_site", "scope"], "left")
-             .join(only_site, ["script_id", "scope"], "left")
-             .withColumn("site", F.when(F.col("f_site").isNotNull(), F.col("f_site")).otherwise(F.col("u_site")))
-             .withColumn("shift", F.when(F.col("f_site").isNotNull(), F.col("f_shift")).otherwise(F.col("u_shift"))))
+             .withColumn("site", F.col("f_site")).withColumn("shift", F.col("f_shift")))
         pos_slot = (F.col("p_slot").cast("int") - F.col("shift")).cast("string")
         slot_ok = (((F.col("p_kind") == "pos") & (F.col("s_slot_kind") == "pos") & (F.col("s_slot") == pos_slot))
                    | ((F.col("s_slot_kind") == "kw") & (F.col("s_slot") == F.col("l_name"))))
         pj = p.join(site_args, (F.col("script_id") == F.col("s_script_id")) & (F.col("site") == F.col("s_site"))
                     & slot_ok, "left")
         hit = F.col("s_part").isNotNull()
-        used_site = F.concat_ws(":", F.col("pkey"), F.col("site").cast("string"))
-        rp = pj.select(
-            "script_id", "call_ord", "ctx", "slot", "slot_kind",
-            F.when(hit, F.concat(F.col("path"), F.array(F.col("s_part")))).otherwise(F.col("path")).alias("path"),
-            F.when(hit, F.col("s_scope")).otherwise(F.col("scope")).alias("scope"),
-            F.when(hit, F.col("s_cls")).otherwise(F.col("cls")).alias("cls"),
-            F.when(hit, F.col("s_pos")).otherwise(F.col("pos")).alias("pos"),
-            F.when(hit & (F.col("lvl") >= 0), F.col("lvl") - 1).when(hit, F.lit(-1)).otherwise(F.col("lvl")).alias("lvl"),
-            F.when(hit, F.col("s_kind")).otherwise(F.col("kind")).alias("kind"),
-            F.when(hit, F.col("s_lit_kind")).otherwise(F.col("lit_kind")).alias("lit_kind"),
-            F.when(hit, F.col("s_value")).otherwise(F.col("value")).alias("value"),
-            F.when(hit, F.col("s_text")).otherwise(F.col("text")).alias("text"),
-            F.when(hit, F.col("s_subkey")).otherwise(F.col("key")).alias("key"),
-            F.when(hit, _fmt_merge(F.col("fmt"), F.col("s_fmt"))).otherwise(F.col("fmt")).alias("fmt"),
-            "arg_src",
-            F.when(hit, F.concat(F.col("seen"), F.array(used_site))).otherwise(F.col("seen")).alias("seen"),
-            F.when(hit, ~F.col("s_kind").isin(REF_KINDS)).otherwise(F.lit(True)).alias("done"))
-
-        stuck = chosen.filter(F.col("r_type").isNull()).withColumn("done", F.lit(True))
-        step = cut(rb.unionByName(rp).unionByName(stuck.select(*_PART_COLS)))
-        finished.append(step.filter(F.col("done")))
-        todo = step.filter(~F.col("done"))
-    return reduce(DataFrame.unionByName, finished)
+        p_used = F.concat_ws(":", F.col("pkey"), F.col("site").cast("string"))
+        p_lvl = F.when(F.col("lvl") >= 0, F.col("lvl") - 1).otherwise(F.lit(-1))
+        p_alias_ok = is_sub & (F.col("s_nparts") == 1) & F.col("s_kind").isin("ref", "attr")
+        rp = (moved(pj.filter(hit & ~is_sub), "s_", p_used, p_lvl, False)
+              .unionByName(moved(pj.filter(hit & p_alias_ok), "s_", p_used, p_lvl, True)))
+        p_stuck = pj.filter(~hit | (is_sub & ~p_alias_ok & (F.col("s_part") == 0)))
+
+        stuck = (chosen.filter(F.col("r_type").isNull()).select(*_PART_COLS)
+                 .unionByName(b_stuck.select(*_PART_COLS)).unionByName(p_stuck.select(*_PART_COLS))
+                 .withColumn("done", F.lit(True)))
+        step = rb.unionByName(rp).unionByName(stuck)
+        w = cut(w.filter(F.col("done")).unionByName(step.select(*_PART_COLS)))
+    return w
 
 
 def assemble_arguments(parts: DataFrame) -> DataFrame:
@@ -267,7 +297,7 @@ def assemble_arguments(parts: DataFrame) -> DataFrame:
     ``partial`` with those parts empty; anything else is a ``symbol`` holding
     the argument's source text.
     """
-    per_arg = parts.groupBy("script_id", "call_ord", "ctx", "slot", "slot_kind").agg(
+    per_arg = parts.groupBy("script_id", "call_ord", "ctx", "alt", "slot", "slot_kind").agg(
         F.sort_array(F.collect_list(F.struct("path", "kind", "lit_kind", "value", "text", "fmt"))).alias("p"),
         F.first("arg_src").alias("arg_src"))
     p = F.col("p")
@@ -281,10 +311,10 @@ def assemble_arguments(parts: DataFrame) -> DataFrame:
              .when(composite & is_f, F.array_join(F.transform(
                  p, lambda x: F.when(x["kind"] == "lit", x["text"]).otherwise(F.lit(""))), ""))
              .otherwise(F.col("arg_src")))
-    v = per_arg.select("script_id", "call_ord", "ctx", "slot", "slot_kind",
+    v = per_arg.select("script_id", "call_ord", "ctx", "alt", "slot", "slot_kind",
                        F.struct(kind.alias("kind"), value.alias("value")).alias("v"))
     positional = (F.col("slot_kind") != "kw") & (F.col("slot") != "**")
-    return v.groupBy("script_id", "call_ord", "ctx").agg(
+    return v.groupBy("script_id", "call_ord", "ctx", "alt").agg(
         F.transform(F.sort_array(F.collect_list(F.when(positional, F.struct(F.col("slot").cast("int").alias("i"),
                                                                              F.col("v"))))),
                     lambda x: x["v"]).alias("args"),
@@ -330,7 +360,7 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
     empty_args = F.array().cast(T.ArrayType(VALUE_TYPE))
     empty_kwargs = F.create_map().cast(T.MapType(T.StringType(), VALUE_TYPE))
     return rows.select(
-        "script_id", "script_ord", "call_ord", "ctx", "line", "scope", F.col("name").alias("function"),
+        "script_id", "script_ord", "call_ord", "ctx", F.coalesce("alt", F.array().cast(ALT_TYPE)).alias("alt"), "line", "scope", F.col("name").alias("function"),
         caller.alias("caller"), qualified.alias("caller_qualified"), caller_kind.alias("caller_kind"),
         F.coalesce("args", empty_args).alias("args"), F.coalesce("kwargs", empty_kwargs).alias("kwargs"),
         "reachable", "branch_depth", "branch_arm", "in_orelse", "receiver_is_call", "chain_depth",
@@ -347,7 +377,7 @@ def dedup_calls(rows: DataFrame) -> DataFrame:
     """
     keyed = rows.withColumn("_kw", F.array_sort(F.map_entries("kwargs")))
     first = keyed.groupBy("function", "caller", "args", "_kw").agg(
-        F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("script_ord", "call_ord", "ctx")).alias("r"),
+        F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("script_ord", "call_ord", "ctx", "alt")).alias("r"),
         F.count(F.lit(1)).alias("occurrences"))
     return first.select("r.*", "occurrences")
 

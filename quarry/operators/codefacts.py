@@ -126,11 +126,17 @@ class _Parts:
             return {"kind": "lit", "lit_kind": lit[0], "value": lit[1], "text": lit[2]}
         if isinstance(node, ast.Name):
             return {"kind": "ref", "value": node.id}
-        if (isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name)
-                and _literal(node.slice) is not None):
-            k = _literal(node.slice)
-            key = json.dumps(k[1]) if k[0] == "str" else k[1]
-            return {"kind": "sub", "value": node.value.id, "key": key}
+        if isinstance(node, ast.Subscript) and _literal(node.slice) is not None:
+            base = node.value
+            name = None
+            if isinstance(base, ast.Name):
+                name = base.id
+            elif isinstance(base, ast.Attribute) and isinstance(base.value, ast.Name) and base.value.id == "self":
+                name = f"self.{base.attr}"
+            if name is not None:
+                k = _literal(node.slice)
+                key = json.dumps(k[1]) if k[0] == "str" else k[1]
+                return {"kind": "sub", "value": name, "key": key}
         if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id == "self":
             return {"kind": "attr", "value": f"self.{node.attr}"}
         return {"kind": "expr", "value": self.text_of(node)}
