@@ -81,9 +81,7 @@ def q_reading_rank_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sensor_aggregated(spark: SparkSession, sf: str) -> DataFrame:
-    r, m, l = fx.sensor_inputs(spark, sf)
-    _, agg = sensor_pipeline(r, m, l, as_of=AS_OF)
-    return _rounded(agg)
+    return _rounded(ops.aggregate_by_location(_joined(spark, sf)))
 
 
 def q_sensor_detailed(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,9 @@
 a group holding a third of all rows then becomes one task over a third of the
 data.  The ``range`` strategy instead:
 
+0. cuts the input to a reliable checkpoint, so the upstream runs once and
+   the range sampling job, the data pass and the summary pass all see the
+   same rows in the same order (eager: building the rank runs this job);
 1. range-partitions the rows on ``(g, o, row hash)`` so a hot group is split
    across many tasks, and sorts within partitions;
 2. scans each partition once (Arrow batches through ``mapInPandas``) to give
@@ -31,6 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import checkpoint_root
+
 _TB = "_q_tb"
 _FP, _FO, _FTB = "_q_fp", "_q_fo", "_q_ftb"
 
@@ -127,7 +132,11 @@ def _range_rank(df: DataFrame, group: str, order: str, out: str, num_partitions:
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     fields = {f.name: f for f in df.schema.fields}
     gtype, otype = fields[group].dataType, fields[order].dataType
-    keyed = df.withColumn(_TB, F.xxhash64(*[F.col(c) for c in df.columns]))
+    # Range partitioning samples its input in a job of its own and the two passes below each read
+    # the exchange; cutting the input to a reliable checkpoint evaluates the upstream exactly once
+    # and gives both passes the same, deterministic partitions.
+    checkpoint_root(spark)
+    keyed = df.withColumn(_TB, F.xxhash64(*[F.col(c) for c in df.columns])).checkpoint(eager=True)
     sort_keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first(), F.col(_TB).asc()]
     parted = keyed.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys)
 

@@ -43,8 +43,9 @@ def sensor_pipeline(
     rank_strategy: str = "auto",
     lookup_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Lazy (detailed, aggregated).  The aggregate never sees the rank: Catalyst
-    prunes the window from its plan."""
+    """(detailed, aggregated).  The aggregate is lazy and never sees the rank.
+    With the default skew-safe rank, building ``detailed`` runs one job that
+    materialises the joined rows (see ``quarry.operators.rank``)."""
     valid = ops.transform_readings(readings)
     joined = ops.join_datasets(valid, metadata, lookup, lookup_rows=lookup_rows)
     aggregated = ops.aggregate_by_location(joined)
