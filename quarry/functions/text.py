@@ -31,5 +31,8 @@ def dedent_text(source: Column | str = "source") -> Column:
         lambda n: n.isNotNull(),
     )
     cut = F.coalesce(F.array_min(indents), F.lit(0))
-    dedented = F.transform(emptied, lambda l: F.when(l == "", l).otherwise(F.substring(l, cut + 1, F.length(l))))
+    # The cut is handed to the lambda as a second array (evaluated once per text); referring to it
+    # inside the lambda would recompute it for every line and make long texts quadratic.
+    cuts = F.array_repeat(cut, F.size(emptied))
+    dedented = F.zip_with(emptied, cuts, lambda l, c: F.when(l == "", l).otherwise(F.substring(l, c + 1, F.length(l))))
     return F.array_join(dedented, "\n")
