@@ -110,6 +110,17 @@ def q_run_report(spark: SparkSession, sf: str) -> DataFrame:
     return run.report.select("stage", "metric", "value")
 
 
+def q_stream_calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings derived from ``events`` are written as files, then streamed through the job's stateless part."""
+    from quarry.streaming.sensor_stream import start_sensor_stream
+    base = scratch_path(spark, "stream")
+    r, m, l = fx.sensor_inputs(spark, sf)
+    r.write.parquet(f"{base}/in")
+    q = start_sensor_stream(spark, f"{base}/in", m, l, f"{base}/out", f"{base}/progress")
+    q.awaitTermination()
+    return _rounded(spark.read.parquet(f"{base}/out"))
+
+
 def q_table_clone(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "clone")
     tag = base[-12:]
@@ -136,6 +147,7 @@ QUERIES = {
     "table_roundtrip": q_table_roundtrip,
     "run_report": q_run_report,
     "table_clone": q_table_clone,
+    "stream_calibrated": q_stream_calibrated,
 }
 
 # --------------------------------------------------------------------------- oracle
@@ -194,3 +206,4 @@ ORACLE = {
     ),
     "table_clone": fx.SQL_METADATA,
 }
+ORACLE["stream_calibrated"] = ORACLE["calibrated"]
