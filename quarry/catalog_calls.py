@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.operators import calls as C
 from quarry.operators.codefacts import extract_facts, normalize_sources, quarantine
 from quarry.plans.calls import apply_policies, call_inventory, io_inventory
+from quarry.session import materialize
 from quarry.sources.corpus import templated_scripts
 from quarry.sources.fixtures import table
 from quarry.sources.scripts import targets_frame
@@ -105,7 +106,7 @@ def q_chained_loads(spark, sf):
 
 
 def q_invoked_scopes(spark, sf):
-    facts = C.cut(_facts(spark, sf))
+    facts = materialize(_facts(spark, sf), "facts", partition_by=["fact"])
     return C.invocations(facts, C.call_edges(facts)).select("script_id", "scope", F.size("ctx").alias("depth"))
 
 

@@ -175,6 +175,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         F.lit(None).cast("string").alias("r_key"), F.lit(None).cast("long").alias("r_pos"),
         F.lit(None).cast("string").alias("used"), F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind")))
     resolver = cut(resolver)
+    bind_parts = cut(bind_parts)
     arg_sizes = args.groupBy("script_id", "call_ord", "slot").agg(F.count(F.lit(1)).alias("s_nparts"))
     site_args = args.join(arg_sizes, ["script_id", "call_ord", "slot"]).select(
         F.col("script_id").alias("s_script_id"), F.col("call_ord").alias("s_site"), F.col("slot").alias("s_slot"),
@@ -182,6 +183,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         F.col("scope").alias("s_scope"), F.col("cls").alias("s_cls"), F.col("pos").alias("s_pos"),
         F.col("kind").alias("s_kind"), F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"),
         F.col("text").alias("s_text"), F.col("key").alias("s_subkey"), F.col("fmt").alias("s_fmt"))
+    site_args = cut(site_args)
     shifts = edges.select("script_id", F.col("site").alias("f_site"), F.col("to_scope").alias("scope"),
                           F.col("shift").alias("f_shift"))
     entry_sites = edges.select("script_id", F.col("to_scope").alias("fork_scope"), "site").distinct()

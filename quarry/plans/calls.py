@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import calls as C
 from quarry.operators.codefacts import extract_facts, quarantine
+from quarry.session import materialize
 
 
 @dataclass
@@ -19,8 +20,9 @@ class CallInventory:
 
 
 def call_inventory(scripts: DataFrame, targets: DataFrame) -> CallInventory:
-    """Parse once (checkpointed), find invocation paths, resolve arguments, attribute callers."""
-    facts = C.cut(extract_facts(scripts))
+    """Parse once (written as Parquet partitioned by fact kind, so each later step reads only its
+    rows and columns), find invocation paths, resolve arguments, attribute callers."""
+    facts = materialize(extract_facts(scripts), "facts", partition_by=["fact"])
     edges = C.cut(C.call_edges(facts))
     inv = C.invocations(facts, edges)
     inst = C.cut(C.call_instances(facts, inv, targets))

@@ -66,6 +66,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quarry-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str, partition_by: list[str] | None = None):
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but keeps column pruning, filter
+    pushdown and (with ``partition_by``) partition pruning for every consumer.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
