@@ -102,12 +102,12 @@ def q_caller_path(spark, sf):
 def q_chained_loads(spark, sf):
     rows = apply_policies(_inventory(spark, sf).calls)
     kept = apply_policies(rows, drop_chained_load=True)
-    return rows.join(kept, ["script_id", "call_ord", "ctx", "alt"], "left_anti").select("script_id", "line", "caller")
+    return rows.join(kept, ["script_id", "call_ord", "alt"], "left_anti").select("script_id", "line", "caller")
 
 
 def q_invoked_scopes(spark, sf):
     facts = materialize(_facts(spark, sf), "facts", partition_by=["fact"])
-    return C.invocations(facts, C.call_edges(facts)).select("script_id", "scope", F.size("ctx").alias("depth"))
+    return C.reachable_scopes(facts, C.call_edges(facts)).select("script_id", "scope", "depth")
 
 
 def q_io_inventory(spark, sf):

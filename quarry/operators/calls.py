@@ -1,18 +1,18 @@
 """Script-inventory operators on fact rows: everything after the parse.
 
-* ``call_edges`` / ``invocations`` (J5, F6): which functions run, found by a
-  frontier join over call edges from module level, one round per call depth;
-  every invocation path is kept, as execution would call a function once per
-  path.  Recursion is cut by the path's own set of visited scopes.
+* ``call_edges`` / ``reachable_scopes`` (J5, F6): which functions run, by a
+  breadth-first frontier over call edges from module level with a visited set
+  (linear; stops when a round finds nothing new).
 * ``resolve_arguments`` (J4, X9): argument parts that name a binding, a
   dict-literal entry, ``self.x`` or a parameter are replaced by the parts they
   stand for, round after round, until no part changes.  A binding is the
   latest assignment before the reference in the same scope (then the module's
-  latest); a parameter takes the argument at the invoking call site (the
-  invocation path says which one; outside a path -- e.g. ``__init__``
-  reached through ``self.x`` -- the call instance forks once per call site
-  and keeps the choice in ``alt``).  Each replacement records what it used,
-  so cycles stop.
+  latest).  A parameter is bound at a call site of its function: the first
+  time a call instance needs a parameter of some function, it forks once per
+  reachable call site of that function and keeps the choice in ``alt``, so all
+  its arguments agree on it (forks happen only on demand, never by
+  enumerating call paths).  Each replacement records what it used, so cycles
+  stop.
 * ``call_rows`` (F2/J3, J6, X6-X8): target calls with caller text, the
   caller's import-qualified path, and args / kwargs as
   ``struct<kind, value>``.
@@ -83,56 +83,47 @@ def call_edges(facts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def invocations(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(script_id, scope, ctx): every way a scope is entered from module level.
+def reachable_scopes(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(script_id, scope, depth): scopes entered from module level.
 
-    ``ctx`` lists the call sites on the way, outermost first.  Frontier rounds
-    stop when no new path appears; a path never re-enters a scope it is in.
+    Breadth-first over call edges with a visited set: each round keeps only
+    scopes not seen before, so the work is linear in the call graph and stops
+    when a round finds nothing new.  ``depth`` is the fewest calls needed.
     """
     parsed = facts.filter(F.col("fact") != "error")  # a source that does not parse runs nothing
-    frontier = parsed.select("script_id").distinct().select(
-        "script_id", F.lit(MODULE).alias("scope"),
-        F.array().cast("array<int>").alias("ctx"), F.array(F.lit(MODULE)).alias("seen"))
-    frontier = cut(frontier)
-    found = [frontier]
-    steps = edges.withColumnRenamed("from_scope", "scope")
+    visited = cut(parsed.select("script_id").distinct().select(
+        "script_id", F.lit(MODULE).alias("scope"), F.lit(0).alias("depth")))
+    frontier = visited
+    steps = edges.select("script_id", F.col("from_scope").alias("scope"), "to_scope")
+    depth = 0
     while True:
-        nxt = (
-            frontier.join(steps, ["script_id", "scope"])
-            .filter(~F.array_contains(F.col("seen"), F.col("to_scope")))
-            .select("script_id", F.col("to_scope").alias("scope"),
-                    F.concat(F.col("ctx"), F.array(F.col("site"))).alias("ctx"),
-                    F.concat(F.col("seen"), F.array(F.col("to_scope"))).alias("seen"))
-        )
-        nxt = cut(nxt)
+        depth += 1
+        nxt = cut(
+            frontier.join(steps, ["script_id", "scope"]).select("script_id", F.col("to_scope").alias("scope"))
+            .distinct().join(visited.select("script_id", "scope"), ["script_id", "scope"], "left_anti")
+            .withColumn("depth", F.lit(depth)))
         if nxt.isEmpty():
             break
-        found.append(nxt)
+        visited = cut(visited.unionByName(nxt))
         frontier = nxt
-    return reduce(DataFrame.unionByName, found).drop("seen")
-
+    return visited
 
-def call_instances(facts: DataFrame, inv: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Calls (optionally only target calls) times their invocation paths.
 
-    A call in a scope that is never entered keeps one instance with an empty
-    path and ``reachable = false`` (F6).
-    """
+def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Calls (optionally only target calls) with ``reachable`` (F6): its scope is entered from module level."""
     calls = _facts(facts, "call")
     if targets is not None:
         names = targets.select(F.col("function").alias("name")).distinct()
         calls = calls.join(broadcast_if_bounded(names, 100_000), "name", "left_semi")
-    entered = inv.select("script_id", "scope", "ctx")
-    reach = calls.join(entered, ["script_id", "scope"]).withColumn("reachable", F.lit(True))
-    unreach = (calls.join(entered.select("script_id", "scope").distinct(), ["script_id", "scope"], "left_anti")
-               .withColumn("ctx", F.array().cast("array<int>")).withColumn("reachable", F.lit(False)))
-    return reach.unionByName(unreach)
+    entered = reach.select("script_id", "scope", F.lit(True).alias("reachable"))
+    return calls.join(entered, ["script_id", "scope"], "left").withColumn(
+        "reachable", F.coalesce("reachable", F.lit(False)))
 
 
 # --------------------------------------------------------------------------- J4
-_PART_COLS = ["script_id", "call_ord", "ctx", "slot", "slot_kind", "path", "scope", "cls", "pos", "lvl",
-              "kind", "lit_kind", "value", "text", "key", "fmt", "arg_src", "seen", "done", "alt"]
-INSTANCE_KEY = ["script_id", "call_ord", "ctx", "alt"]
+_PART_COLS = ["script_id", "call_ord", "alt", "slot", "slot_kind", "path", "scope", "cls", "pos",
+              "kind", "lit_kind", "value", "text", "key", "fmt", "arg_src", "seen", "done"]
+INSTANCE_KEY = ["script_id", "call_ord", "alt"]
 ALT_TYPE = "array<struct<scope:string,site:int>>"
 
 
@@ -141,7 +132,7 @@ def _fmt_merge(outer: Column, inner: Column) -> Column:
             .when((outer == "concat") | (inner == "concat"), F.lit("concat")).otherwise(F.lit("plain")))
 
 
-def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> DataFrame:
+def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Resolved parts of every argument of ``inst``; loops until no part changes.
 
     Per round, the unresolved parts meet one static ``resolver`` table on
@@ -152,11 +143,11 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
     candidate, or whose call site passes nothing for the parameter, is final.
     """
     args = _facts(facts, "arg")
-    w = inst.select("script_id", "call_ord", "ctx").join(args, ["script_id", "call_ord"]).select(
-        "script_id", "call_ord", "ctx", "slot", "slot_kind", F.array(F.col("part")).alias("path"),
-        "scope", "cls", "pos", (F.size("ctx") - 1).alias("lvl"), "kind", "lit_kind", "value", "text", "key",
+    w = inst.select("script_id", "call_ord").join(args, ["script_id", "call_ord"]).select(
+        "script_id", "call_ord", F.array().cast(ALT_TYPE).alias("alt"), "slot", "slot_kind",
+        F.array(F.col("part")).alias("path"), "scope", "cls", "pos", "kind", "lit_kind", "value", "text", "key",
         "fmt", F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"),
-        (~F.col("kind").isin(REF_KINDS)).alias("done"), F.array().cast(ALT_TYPE).alias("alt"))
+        (~F.col("kind").isin(REF_KINDS)).alias("done"))
 
     bind_id = F.concat_ws(":", F.lit("b"), "scope", "name", F.coalesce("slot", F.lit("")), F.col("pos").cast("string"))
     binds = _facts(facts, "bind").withColumn("used", bind_id)
@@ -186,9 +177,13 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
     site_args = cut(site_args)
     shifts = edges.select("script_id", F.col("site").alias("f_site"), F.col("to_scope").alias("scope"),
                           F.col("shift").alias("f_shift"))
-    entry_sites = edges.select("script_id", F.col("to_scope").alias("fork_scope"), "site").distinct()
+    # only call sites that run (their own scope is reachable from module level) and that enter the
+    # function from outside (a direct self-call passes values the function already has)
+    live = (edges.filter(F.col("from_scope") != F.col("to_scope"))
+            .join(reach.select("script_id", F.col("scope").alias("from_scope")), ["script_id", "from_scope"]))
+    entry_sites = cut(live.select("script_id", F.col("to_scope").alias("fork_scope"), "site").distinct())
 
-    def moved(df: DataFrame, pre: str, used: Column, lvl: Column, sub_alias: bool) -> DataFrame:
+    def moved(df: DataFrame, pre: str, used: Column, sub_alias: bool) -> DataFrame:
         """Parts that replace a reference: the bound (``r_``) or passed (``s_``) part."""
         if sub_alias:  # name[key] where name stands for another name: keep the key, follow the name
             kind, lit_kind, value, text, key = (F.lit("sub"), F.lit(None).cast("string"), F.col(f"{pre}value"),
@@ -200,14 +195,14 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
             fmt, done = _fmt_merge(F.col("fmt"), F.col(f"{pre}fmt")), ~F.col(f"{pre}kind").isin(REF_KINDS)
         home = "r_home" if pre == "r_" else "s_scope"
         return df.select(
-            "script_id", "call_ord", "ctx", "slot", "slot_kind",
+            "script_id", "call_ord", "alt", "slot", "slot_kind",
             F.concat(F.col("path"), F.array(F.col(f"{pre}part"))).alias("path"),
             F.col(home).alias("scope"), F.col(f"{pre}cls").alias("cls"), F.col(f"{pre}pos").alias("pos"),
-            lvl.alias("lvl"), kind.alias("kind"), lit_kind.alias("lit_kind"), value.alias("value"),
+            kind.alias("kind"), lit_kind.alias("lit_kind"), value.alias("value"),
             text.alias("text"), key.alias("key"), fmt.alias("fmt"), "arg_src",
-            F.concat(F.col("seen"), F.array(used)).alias("seen"), done.alias("done"), "alt")
+            F.concat(F.col("seen"), F.array(used)).alias("seen"), done.alias("done"))
 
-    pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "ctx", "alt", "slot", "path")), 256)
+    pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "alt", "slot", "path")), 256)
     w = cut(w)
     while True:
         todo = w.filter(~F.col("done"))
@@ -240,11 +235,11 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         chosen = cut(t.join(best, "pid", "left"))
         is_sub = F.col("kind") == "sub"
 
-        # A parameter outside the invocation path (e.g. of __init__, reached through self.x) is bound at
-        # one of the function's call sites.  The call instance forks once per site and remembers the
-        # choice in ``alt``, so all its arguments agree on it.  One scope per instance and round.
+        # A parameter is bound at one of its function's (reachable) call sites.  When a call instance
+        # first needs a parameter of some function, it forks once per such site and keeps the choice in
+        # ``alt``, so all its arguments agree on it.  One function per instance and round.
         alt_site = F.filter("alt", lambda a: a["scope"] == F.col("scope"))
-        need = chosen.filter((F.col("r_type") == "param") & (F.col("lvl") < 0) & (F.size(alt_site) == 0))
+        need = chosen.filter((F.col("r_type") == "param") & (F.size(alt_site) == 0))
         if not need.isEmpty():
             req = need.groupBy(*INSTANCE_KEY).agg(F.min("scope").alias("fork_scope"))
             forks = req.join(entry_sites, ["script_id", "fork_scope"], "left").select(
@@ -256,18 +251,15 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
 
         # replacement by a bound value
         b = chosen.filter(F.col("r_type") == "bind").join(bind_parts, ["script_id", "used"])
-        b_lvl = F.when((F.col("prio") == 10) & ~F.col("self_based"), F.col("lvl")).otherwise(F.lit(-1))
         b_used = F.col("used")
         b_alias = is_sub & F.col("r_key").isNull()
         b_alias_ok = b_alias & (F.col("r_nparts") == 1) & F.col("r_kind").isin("ref", "attr")
-        rb = (moved(b.filter(~b_alias), "r_", b_used, b_lvl, False)
-              .unionByName(moved(b.filter(b_alias_ok), "r_", b_used, b_lvl, True)))
+        rb = (moved(b.filter(~b_alias), "r_", b_used, False)
+              .unionByName(moved(b.filter(b_alias_ok), "r_", b_used, True)))
         b_stuck = b.filter(b_alias & ~b_alias_ok & (F.col("r_part") == 0))
 
-        # replacement by the argument passed at the invoking call site
-        on_path = F.when(F.col("lvl") >= 0, F.element_at("ctx", F.col("lvl") + 1)).otherwise(
-            F.element_at(alt_site, 1)["site"])
-        p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", on_path)
+        # replacement by the argument passed at the chosen call site
+        p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", F.element_at(alt_site, 1)["site"])
              .join(shifts, ["script_id", "f_site", "scope"], "left")
              .withColumn("site", F.col("f_site")).withColumn("shift", F.col("f_shift")))
         pos_slot = (F.col("p_slot").cast("int") - F.col("shift")).cast("string")
@@ -276,11 +268,10 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
         pj = p.join(site_args, (F.col("script_id") == F.col("s_script_id")) & (F.col("site") == F.col("s_site"))
                     & slot_ok, "left")
         hit = F.col("s_part").isNotNull()
-        p_used = F.concat_ws(":", F.col("pkey"), F.col("site").cast("string"))
-        p_lvl = F.when(F.col("lvl") >= 0, F.col("lvl") - 1).otherwise(F.lit(-1))
+        p_used = F.col("pkey")  # one site per function in ``alt``: a parameter is used at most once per chain
         p_alias_ok = is_sub & (F.col("s_nparts") == 1) & F.col("s_kind").isin("ref", "attr")
-        rp = (moved(pj.filter(hit & ~is_sub), "s_", p_used, p_lvl, False)
-              .unionByName(moved(pj.filter(hit & p_alias_ok), "s_", p_used, p_lvl, True)))
+        rp = (moved(pj.filter(hit & ~is_sub), "s_", p_used, False)
+              .unionByName(moved(pj.filter(hit & p_alias_ok), "s_", p_used, True)))
         p_stuck = pj.filter(~hit | (is_sub & ~p_alias_ok & (F.col("s_part") == 0)))
 
         stuck = (chosen.filter(F.col("r_type").isNull()).select(*_PART_COLS)
@@ -292,14 +283,14 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame) -> Da
 
 
 def assemble_arguments(parts: DataFrame) -> DataFrame:
-    """(script_id, call_ord, ctx, args, kwargs) from resolved parts.
+    """(script_id, call_ord, alt, args, kwargs) from resolved parts.
 
     One literal part keeps its literal kind; several literal parts (an
     f-string or ``+``) give ``str``; an f-string with unresolved parts gives
     ``partial`` with those parts empty; anything else is a ``symbol`` holding
     the argument's source text.
     """
-    per_arg = parts.groupBy("script_id", "call_ord", "ctx", "alt", "slot", "slot_kind").agg(
+    per_arg = parts.groupBy("script_id", "call_ord", "alt", "slot", "slot_kind").agg(
         F.sort_array(F.collect_list(F.struct("path", "kind", "lit_kind", "value", "text", "fmt"))).alias("p"),
         F.first("arg_src").alias("arg_src"))
     p = F.col("p")
@@ -313,10 +304,10 @@ def assemble_arguments(parts: DataFrame) -> DataFrame:
              .when(composite & is_f, F.array_join(F.transform(
                  p, lambda x: F.when(x["kind"] == "lit", x["text"]).otherwise(F.lit(""))), ""))
              .otherwise(F.col("arg_src")))
-    v = per_arg.select("script_id", "call_ord", "ctx", "alt", "slot", "slot_kind",
+    v = per_arg.select("script_id", "call_ord", "alt", "slot", "slot_kind",
                        F.struct(kind.alias("kind"), value.alias("value")).alias("v"))
     positional = (F.col("slot_kind") != "kw") & (F.col("slot") != "**")
-    return v.groupBy("script_id", "call_ord", "ctx", "alt").agg(
+    return v.groupBy("script_id", "call_ord", "alt").agg(
         F.transform(F.sort_array(F.collect_list(F.when(positional, F.struct(F.col("slot").cast("int").alias("i"),
                                                                              F.col("v"))))),
                     lambda x: x["v"]).alias("args"),
@@ -347,7 +338,7 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
         .withColumn("is_local", F.lit(True))
     param_names = _facts(facts, "param").select("script_id", "scope", F.col("name").alias("receiver_root")) \
         .distinct().withColumn("is_param", F.lit(True))
-    rows = (inst.join(argv, ["script_id", "call_ord", "ctx"], "left")
+    rows = (inst.join(argv, ["script_id", "call_ord"], "left")
             .join(imports, ["script_id", "receiver_root"], "left")
             .join(local_names, ["script_id", "receiver_root"], "left")
             .join(param_names, ["script_id", "scope", "receiver_root"], "left"))
@@ -362,7 +353,7 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
     empty_args = F.array().cast(T.ArrayType(VALUE_TYPE))
     empty_kwargs = F.create_map().cast(T.MapType(T.StringType(), VALUE_TYPE))
     return rows.select(
-        "script_id", "script_ord", "call_ord", "ctx", F.coalesce("alt", F.array().cast(ALT_TYPE)).alias("alt"), "line", "scope", F.col("name").alias("function"),
+        "script_id", "script_ord", "call_ord", F.coalesce("alt", F.array().cast(ALT_TYPE)).alias("alt"), "line", "scope", F.col("name").alias("function"),
         caller.alias("caller"), qualified.alias("caller_qualified"), caller_kind.alias("caller_kind"),
         F.coalesce("args", empty_args).alias("args"), F.coalesce("kwargs", empty_kwargs).alias("kwargs"),
         "reachable", "branch_depth", "branch_arm", "in_orelse", "receiver_is_call", "chain_depth",
@@ -370,7 +361,7 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
 
 
 def dedup_calls(rows: DataFrame) -> DataFrame:
-    """A5: keep the first (script_ord, call_ord, path) of each equal
+    """A5: keep the first (script_ord, call_ord, call-site choice) of each equal
     (function, caller, args, kwargs); kwargs compared as sorted entries.
 
     A grouped ``min_by`` (partial aggregation before the shuffle) instead of a
@@ -379,7 +370,7 @@ def dedup_calls(rows: DataFrame) -> DataFrame:
     """
     keyed = rows.withColumn("_kw", F.array_sort(F.map_entries("kwargs")))
     first = keyed.groupBy("function", "caller", "args", "_kw").agg(
-        F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("script_ord", "call_ord", "ctx", "alt")).alias("r"),
+        F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("script_ord", "call_ord", "alt")).alias("r"),
         F.count(F.lit(1)).alias("occurrences"))
     return first.select("r.*", "occurrences")
 

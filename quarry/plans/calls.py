@@ -15,18 +15,18 @@ from quarry.session import materialize
 @dataclass
 class CallInventory:
     facts: DataFrame
-    calls: DataFrame       # one row per target call and invocation path, before any policy filter
+    calls: DataFrame       # one row per target call and call-site choice, before any policy filter
     quarantine: DataFrame  # sources that could not be parsed
 
 
 def call_inventory(scripts: DataFrame, targets: DataFrame) -> CallInventory:
     """Parse once (written as Parquet partitioned by fact kind, so each later step reads only its
-    rows and columns), find invocation paths, resolve arguments, attribute callers."""
+    rows and columns), find reachable scopes, resolve arguments, attribute callers."""
     facts = materialize(extract_facts(scripts), "facts", partition_by=["fact"])
     edges = C.cut(C.call_edges(facts))
-    inv = C.invocations(facts, edges)
-    inst = C.cut(C.call_instances(facts, inv, targets))
-    parts = C.resolve_arguments(facts, inst, edges)
+    reach = C.reachable_scopes(facts, edges)
+    inst = C.cut(C.call_instances(facts, reach, targets))
+    parts = C.resolve_arguments(facts, inst, edges, reach)
     argv = C.assemble_arguments(parts)
     rows = C.call_rows(facts, inst, argv)
     return CallInventory(facts=facts, calls=rows, quarantine=quarantine(facts))
