@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,11 +135,12 @@ def _fmt_merge(outer: Column, inner: Column) -> Column:
 def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Resolved parts of every argument of ``inst``; loops until no part changes.
 
-    Per round, the unresolved parts meet one static ``resolver`` table on
-    ``(script_id, name)`` -- bindings and parameters by name -- the best
-    candidate per part is a grouped ``min_by`` (scope rule, then the latest
-    position), and the part is replaced by the bound value's parts or by the
-    parts of the argument passed at the invoking call site.  A part with no
+    Per round, each unresolved part looks up bindings with an as-of window
+    (latest binding of the same scope, name and key that ends before it) and
+    parameters with an equi-join on (function, name); the best candidate per
+    part is a grouped ``min_by`` on the rule order.  The part is then replaced
+    by the bound value's parts or by the parts of the argument passed at the
+    chosen call site.  A part with no
     candidate, or whose call site passes nothing for the parameter, is final.
     """
     args = _facts(facts, "arg")
@@ -157,15 +158,13 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach
         F.col("cls").alias("r_cls"), F.col("pos").alias("r_pos"), F.col("kind").alias("r_kind"),
         F.col("lit_kind").alias("r_lit_kind"), F.col("value").alias("r_value"), F.col("text").alias("r_text"),
         F.col("key").alias("r_subkey"), F.col("fmt").alias("r_fmt"))
-    resolver = binds.filter(F.col("part") == 0).select(
-        "script_id", F.col("name").alias("l_name"), F.lit("bind").alias("r_type"), F.col("scope").alias("r_scope"),
-        F.col("slot").alias("r_key"), F.col("pos").alias("r_pos"), "used",
-        F.lit(None).cast("string").alias("p_slot"), F.lit(None).cast("string").alias("p_kind"),
-    ).unionByName(_facts(facts, "param").select(
-        "script_id", F.col("name").alias("l_name"), F.lit("param").alias("r_type"), F.col("scope").alias("r_scope"),
-        F.lit(None).cast("string").alias("r_key"), F.lit(None).cast("long").alias("r_pos"),
-        F.lit(None).cast("string").alias("used"), F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind")))
-    resolver = cut(resolver)
+    heads = binds.filter(F.col("part") == 0).select(
+        "script_id", F.col("scope").alias("a_scope"), F.col("name").alias("a_name"), F.col("slot").alias("a_key"),
+        F.coalesce("end_pos", "pos").alias("a_pos"), "used")
+    params = _facts(facts, "param").select(
+        "script_id", F.col("scope").alias("p_scope"), F.col("name").alias("l_name"),
+        F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind"))
+    heads = cut(heads)
     bind_parts = cut(bind_parts)
     arg_sizes = args.groupBy("script_id", "call_ord", "slot").agg(F.count(F.lit(1)).alias("s_nparts"))
     site_args = args.join(arg_sizes, ["script_id", "call_ord", "slot"]).select(
@@ -212,26 +211,51 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach
         t = todo.withColumn("pid", pid).withColumn("l_name", F.col("value")).withColumn(
             "l_scope", F.when(self_based, F.col("cls")).otherwise(F.col("scope"))).withColumn(
             "l_key", F.when(F.col("kind") == "sub", F.col("key"))).withColumn("self_based", self_based)
-        key_ok = F.col("r_key").eqNullSafe(F.col("l_key"))
-        alias = (F.col("kind") == "sub") & F.col("r_key").isNull()
-        is_bind = F.col("r_type") == "bind"
-        local = is_bind & (F.col("r_scope") == F.col("l_scope")) & (F.col("self_based") | (F.col("r_pos") < F.col("pos")))
-        module = (is_bind & (F.col("r_scope") == MODULE) & (F.col("scope") != MODULE) & ~F.col("self_based")
-                  & F.col("kind").isin("ref", "sub"))
-        prio = (
-            F.when(local & key_ok, F.lit(10)).when(local & alias, F.lit(11))
-            .when((F.col("r_type") == "param") & F.col("kind").isin("ref", "sub") & ~F.col("self_based")
-                  & (F.col("r_scope") == F.col("scope")), F.lit(20))
-            .when(module & key_ok, F.lit(30)).when(module & alias, F.lit(31))
-        )
-        cands = (t.select("pid", "script_id", "l_name", "l_scope", "l_key", "kind", "scope", "pos", "seen",
-                          "self_based")
-                 .join(resolver, ["script_id", "l_name"]).withColumn("prio", prio).filter(F.col("prio").isNotNull())
-                 .withColumn("pkey", F.coalesce("used", F.concat_ws(":", F.lit("p"), "r_scope", "l_name")))
+        # Bindings: an as-of lookup per rule -- the latest binding of the same (scope, name, key) that
+        # ends before the reference -- as a union with the binding heads and a running last() in a
+        # window, so no (reference, binding) pairs are ever formed.  Rules: 10 same scope (self.x: the
+        # class, any position), 11 same scope through an alias (name[key] where name = other), 30/31
+        # the same at module level for references inside functions.
+        never = F.lit(None).cast("string")
+        last_pos = F.lit(1 << 62).cast("long")
+        plain = F.col("kind").isin("ref", "sub") & (F.col("scope") != MODULE) & ~F.col("self_based")
+        rules = [
+            (10, F.lit(True), F.col("l_scope"), F.col("l_key"),
+             F.when(F.col("self_based"), last_pos).otherwise(F.col("pos"))),
+            (11, F.col("kind") == "sub", F.col("l_scope"), never,
+             F.when(F.col("self_based"), last_pos).otherwise(F.col("pos"))),
+            (30, plain, F.lit(MODULE), F.col("l_key"), last_pos),
+            (31, plain & (F.col("kind") == "sub"), F.lit(MODULE), never, last_pos),
+        ]
+        asks = reduce(DataFrame.unionByName, [
+            t.filter(cond).select("script_id", F.lit(prio).alias("prio"), scope_c.alias("a_scope"),
+                                  F.col("l_name").alias("a_name"), key_c.alias("a_key"), pos_c.alias("a_pos"),
+                                  "pid", F.lit(1).alias("side"), never.alias("used"))
+            for prio, cond, scope_c, key_c, pos_c in rules])
+        known = heads.join(asks.select("script_id", "a_name").distinct(), ["script_id", "a_name"], "left_semi")
+        stream = asks.unionByName(known.select(
+            "script_id", F.lit(None).cast("int").alias("prio"), "a_scope", "a_name", "a_key", "a_pos",
+            F.lit(None).cast("string").alias("pid"), F.lit(0).alias("side"), "used"))
+        asof = Window.partitionBy("script_id", "a_scope", "a_name", "a_key").orderBy("a_pos", "side") \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        by_bind = (stream.withColumn("hit", F.last("used", ignorenulls=True).over(asof))
+                   .filter((F.col("side") == 1) & F.col("hit").isNotNull())
+                   .select("pid", "prio", F.lit("bind").alias("r_type"),
+                           F.when(F.col("prio").isin(10, 30), F.col("a_key")).alias("r_key"),
+                           F.col("hit").alias("used"), never.alias("p_slot"), never.alias("p_kind"),
+                           F.col("hit").alias("pkey")))
+        # Parameters: unique per (function, name), so an equi-join forms no pairs either.
+        by_param = (t.filter(F.col("kind").isin("ref", "sub") & ~F.col("self_based"))
+                    .join(params, (t.script_id == params.script_id) & (t.scope == params.p_scope)
+                          & (t.l_name == params.l_name))
+                    .select("pid", F.lit(20).alias("prio"), F.lit("param").alias("r_type"), never.alias("r_key"),
+                            never.alias("used"), "p_slot", "p_kind",
+                            F.concat_ws(":", F.lit("p"), F.col("p_scope"), params.l_name).alias("pkey")))
+        cands = (by_bind.unionByName(by_param).join(t.select("pid", "seen"), "pid")
                  .filter(~F.array_contains("seen", F.col("pkey"))))
         best = cands.groupBy("pid").agg(F.min_by(
-            F.struct("prio", "r_type", "r_key", "used", "p_slot", "p_kind", "pkey"),
-            F.struct(F.col("prio"), -F.coalesce("r_pos", F.lit(0)))).alias("c")).select("pid", "c.*")
+            F.struct("prio", "r_type", "r_key", "used", "p_slot", "p_kind", "pkey"), F.col("prio")).alias("c")
+        ).select("pid", "c.*")
         chosen = cut(t.join(best, "pid", "left"))
         is_sub = F.col("kind") == "sub"
 

@@ -49,6 +49,7 @@ FACT_SCHEMA = T.StructType([
     T.StructField("qual", T.StringType(), True),
     T.StructField("line", T.IntegerType(), True),
     T.StructField("pos", T.LongType(), True),
+    T.StructField("end_pos", T.LongType(), True),
     T.StructField("call_ord", T.IntegerType(), True),
     T.StructField("receiver", T.StringType(), True),
     T.StructField("receiver_root", T.StringType(), True),
@@ -224,6 +225,9 @@ class _Walker(ast.NodeVisitor):
         if node is not None and hasattr(node, "lineno"):
             row["line"] = node.lineno
             row["pos"] = node.lineno * _POS_SCALE + node.col_offset
+            if fact == "bind" and getattr(node, "end_lineno", None) is not None:
+                # a binding takes effect when its statement ends: `x = f(x)` reads the previous x
+                row["end_pos"] = node.end_lineno * _POS_SCALE + node.end_col_offset
         row.update(kw)
         self.rows.append(row)
 

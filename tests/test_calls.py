@@ -94,3 +94,9 @@ def test_quarantine_and_policies_on_templates(spark):
     assert taken == 0
     chained = apply_policies(inv.calls).count() - apply_policies(inv.calls, drop_chained_load=True).count()
     assert chained == len([k for k in range(150) if k % 8 == 0])
+
+
+def test_rebinding_reads_previous_value(spark):
+    src = ["base = 's3a://b'\nbase = base + '/raw'\nname = f'{base}/t'\nload(name)\nbase = 'later'\n"]
+    rows = extract_calls(corpus(spark, src), targets_frame(spark, ["load"]))
+    assert shown(rows) == [("load", "direct_call", '["s3a://b/raw/t"]', "{}")]
