@@ -15,9 +15,9 @@ data.  The ``range`` strategy instead:
 3. a second scan of the same (reused) exchange emits one summary row per
    partition: first key, last key, rows of the last group and of the last
    ``(g, o)`` tie;
-4. a self-join of the summaries (at most one row per partition, so bounded by
-   the partition count) gives, for each partition, how many rows of its first
-   group and first tie lie in earlier partitions;
+4. running sums over the summaries (at most one row per partition, so
+   bounded by the partition count) give, for each partition, how many rows of
+   its first group and first tie lie in earlier partitions;
 5. that small table is broadcast back and the local ranks are shifted.
 
 Ties share a rank and gaps follow, exactly as ``rank()``; null groups and
@@ -152,19 +152,25 @@ def _range_rank(df: DataFrame, group: str, order: str, out: str, num_partitions:
         T.StructField("g_rows", T.LongType(), False), T.StructField("tie_rows", T.LongType(), False),
     ])
     summary = parted.mapInPandas(_summary_fn(group, order), summary_schema)
-    # one row per range partition: ordering it in a single window is bounded
-    ordered = summary.withColumn("ord", F.row_number().over(
-        Window.orderBy(F.col(_FP).asc_nulls_first(), F.col(_FO).asc_nulls_first(), F.col(_FTB))))
-    a, b = ordered.alias("a"), ordered.alias("b")
-    same_g = F.col("b.lg").eqNullSafe(F.col(f"a.{_FP}"))
-    same_tie = same_g & F.col("b.lo").eqNullSafe(F.col(f"a.{_FO}"))
-    offsets = (
-        a.join(b, same_g & (F.col("b.ord") < F.col("a.ord")), "left")
-        .groupBy(F.col(f"a.{_FP}").alias(_FP), F.col(f"a.{_FO}").alias(_FO), F.col(f"a.{_FTB}").alias(_FTB))
-        .agg(
-            F.coalesce(F.sum("b.g_rows"), F.lit(0)).alias("_q_prev_g"),
-            F.coalesce(F.sum(F.when(same_tie, F.col("b.tie_rows"))), F.lit(0)).alias("_q_prev_tie"),
-        )
+    # One row per range partition, so these single-partition windows are bounded by the partition
+    # count.  Partitions are sorted, so the earlier partitions holding rows of a partition's first
+    # group are exactly the run just before it: a running sum per last group, read through lag(),
+    # gives the offsets without pairing partitions.
+    by_ord = Window.orderBy(F.col(_FP).asc_nulls_first(), F.col(_FO).asc_nulls_first(), F.col(_FTB))
+    running = Window.partitionBy("lg").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running_tie = Window.partitionBy("lg", "lo").orderBy("ord").rowsBetween(Window.unboundedPreceding,
+                                                                            Window.currentRow)
+    ordered = (summary.withColumn("ord", F.row_number().over(by_ord))
+               .withColumn("cum_g", F.sum("g_rows").over(running))
+               .withColumn("cum_tie", F.sum("tie_rows").over(running_tie)))
+    prev = Window.orderBy("ord")
+    offsets = ordered.select(
+        _FP, _FO, _FTB,
+        F.when(F.lag("lg").over(prev).eqNullSafe(F.col(_FP)) & (F.col("ord") > 1), F.lag("cum_g").over(prev))
+        .otherwise(F.lit(0)).alias("_q_prev_g"),
+        F.when(F.lag("lg").over(prev).eqNullSafe(F.col(_FP)) & F.lag("lo").over(prev).eqNullSafe(F.col(_FO))
+               & (F.col("ord") > 1), F.lag("cum_tie").over(prev))
+        .otherwise(F.lit(0)).alias("_q_prev_tie"),
     )
     o = F.broadcast(offsets).alias("o")
     l = local.alias("l")
