@@ -91,13 +91,19 @@ def q_sensor_detailed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str):
+    """The whole job as the reference runs it: three Parquet inputs read with declared schemas
+    (S1-S3; here written first from the shared tables), two table sinks and the report."""
     base = scratch_path(spark, "sensor-run")
     cfg = SensorJobConfig(
-        sensor_data_path="", metadata_path="", lookup_path="",
+        sensor_data_path=f"{base}/in/sensor", metadata_path=f"{base}/in/metadata", lookup_path=f"{base}/in/lookup",
         detailed_output_path=f"{base}/detailed", aggregated_output_path=f"{base}/aggregated",
         database="quarry_iot", detailed_table=f"detailed_{base[-12:]}", aggregated_table=f"aggregated_{base[-12:]}",
     )
-    return run_sensor_job(spark, cfg, as_of=AS_OF, inputs=fx.sensor_inputs(spark, sf))
+    r, m, l = fx.sensor_inputs(spark, sf)
+    r.write.parquet(cfg.sensor_data_path)
+    m.write.parquet(cfg.metadata_path)
+    l.write.parquet(cfg.lookup_path)
+    return run_sensor_job(spark, cfg, as_of=AS_OF)
 
 
 def q_table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

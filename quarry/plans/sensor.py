@@ -66,10 +66,12 @@ def run_sensor_job(
 
     Two jobs write data: the detailed table (scan -> joins -> rank), then the
     aggregate, which reads back only ``location`` and ``calibrated_reading``
-    of the written detailed table instead of recomputing the joins.  Counts
-    before the joins are gathered by ``observe`` during the first write; counts
-    of the written tables come from their Parquet footers.  A failure is
-    recorded in the report and re-raised.
+    of the written detailed table instead of recomputing the joins.  Input and
+    output row counts come from Parquet footers (exact, no data read); the
+    count after the null filter (and input counts of DataFrame inputs) is
+    gathered by ``observe`` in the single job that materialises the joined
+    rows -- accumulator-based, so a retried stage could add to it.  A failure
+    is recorded in the report and re-raised.
     """
     log = RunLog(run_id or uuid.uuid4().hex[:12])
     stage = "read"
@@ -78,11 +80,14 @@ def run_sensor_job(
             readings = src.read_sensor_data(spark, cfg.sensor_data_path)
             metadata = src.read_metadata(spark, cfg.metadata_path)
             lookup = src.read_lookup(spark, cfg.lookup_path)
+            # exact and cheap: Parquet row counts come from the file footers
+            log.metric("read", "sensor_records", parquet_rows(spark, cfg.sensor_data_path))
+            log.metric("read", "metadata_records", parquet_rows(spark, cfg.metadata_path))
         else:
             readings, metadata, lookup = inputs
+            readings = log.observe(readings, "read", "sensor_records")
+            metadata = log.observe(metadata, "read", "metadata_records")
         lookup_rows = lookup.count()
-        readings = log.observe(readings, "read", "sensor_records")
-        metadata = log.observe(metadata, "read", "metadata_records")
         log.metric("read", "lookup_records", lookup_rows)
 
         stage = "transform"
