@@ -53,34 +53,55 @@ def _facts(facts: DataFrame, kind: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- J5
-def call_edges(facts: DataFrame) -> DataFrame:
-    """(script_id, from_scope, site, to_scope, shift): a call that may run a local function.
+def _call_signatures(facts: DataFrame) -> DataFrame:
+    return _facts(facts, "call").select(
+        "script_id", F.col("scope").alias("from_scope"), F.col("cls").alias("from_cls"),
+        F.col("name").alias("callee"), "call_form", (F.col("receiver") == "self").alias("on_self"),
+        F.col("call_ord").alias("site"))
+
 
-    ``f(..)`` runs a function defined at module level or in the caller's own
-    scope; ``C(..)`` runs ``C.__init__``; ``self.m(..)`` runs ``m`` of the
-    caller's class; ``x.m(..)`` (also ``self.x.m(..)``) may run any method ``m``.  ``shift`` is 1 when
-    the callee's first parameter is the instance.
+def callable_scopes(facts: DataFrame) -> DataFrame:
+    """(script_id, to_scope, callee, def_kind, def_scope, def_cls, is_method, shift): what a call may enter.
+
+    ``C(..)`` enters ``C.__init__``; ``shift`` is 1 when the callee's first
+    parameter is the instance.
+    """
+    defs = _facts(facts, "def").filter(F.col("kind").isin("function", "class"))
+    is_method = F.col("cls").isNotNull() & (F.col("scope") == F.col("cls")) & (F.col("kind") == "function")
+    return defs.select(
+        "script_id",
+        F.when(F.col("kind") == "class", F.concat(F.col("qual"), F.lit(".__init__"))).otherwise(F.col("qual"))
+        .alias("to_scope"),
+        F.col("name").alias("callee"), F.col("kind").alias("def_kind"), F.col("scope").alias("def_scope"),
+        F.col("cls").alias("def_cls"), is_method.alias("is_method"),
+        F.when((F.col("kind") == "class") | is_method, F.lit(1)).otherwise(F.lit(0)).alias("shift"))
+
+
+def _dispatches() -> Column:
+    """Whether a call may enter a definition of the same name.
+
+    ``f(..)`` enters a function defined at module level or in the caller's own
+    scope; ``C(..)`` a class so defined; ``self.m(..)`` the method ``m`` of the
+    caller's class; ``x.m(..)`` (also ``self.x.m(..)``) any method ``m``.
     """
-    calls = _facts(facts, "call").select(
-        "script_id", F.col("scope").alias("from_scope"), F.col("cls").alias("from_cls"),
-        F.col("name").alias("callee"), "call_form", "receiver", F.col("call_ord").alias("site"))
-    defs = _facts(facts, "def").filter(F.col("kind").isin("function", "class")).select(
-        "script_id", F.col("scope").alias("def_scope"), F.col("cls").alias("def_cls"),
-        F.col("name").alias("callee"), F.col("qual").alias("def_qual"), F.col("kind").alias("def_kind"))
-    is_method = F.col("def_cls").isNotNull() & (F.col("def_scope") == F.col("def_cls"))
     local_or_module = (F.col("def_scope") == MODULE) | (F.col("def_scope") == F.col("from_scope"))
-    matches = (
-        ((F.col("call_form") == "name") & (F.col("def_kind") == "function") & local_or_module & ~is_method)
+    return (
+        ((F.col("call_form") == "name") & (F.col("def_kind") == "function") & local_or_module & ~F.col("is_method"))
         | ((F.col("call_form") == "name") & (F.col("def_kind") == "class") & local_or_module)
-        | ((F.col("call_form") == "attr") & (F.col("def_kind") == "function") & is_method
-           & ((F.col("receiver") != "self") | (F.col("def_cls") == F.col("from_cls"))))
+        | ((F.col("call_form") == "attr") & F.col("is_method")
+           & (~F.col("on_self") | (F.col("def_cls") == F.col("from_cls"))))
     )
-    return calls.join(defs, ["script_id", "callee"]).filter(matches).select(
-        "script_id", "from_scope", "site",
-        F.when(F.col("def_kind") == "class", F.concat(F.col("def_qual"), F.lit(".__init__")))
-        .otherwise(F.col("def_qual")).alias("to_scope"),
-        F.when((F.col("def_kind") == "class") | is_method, F.lit(1)).otherwise(F.lit(0)).alias("shift"),
-    ).distinct()
+
+
+def call_edges(facts: DataFrame) -> DataFrame:
+    """(script_id, from_scope, to_scope): distinct scope-level call edges.
+
+    Calls are first reduced to distinct (scope, name, form) signatures, so many
+    calls of one name never meet the definitions of that name one by one.
+    """
+    sigs = _call_signatures(facts).drop("site").distinct()
+    return (sigs.join(callable_scopes(facts), ["script_id", "callee"]).filter(_dispatches())
+            .select("script_id", "from_scope", "to_scope").distinct())
 
 
 def reachable_scopes(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,7 +153,7 @@ def _fmt_merge(outer: Column, inner: Column) -> Column:
             .when((outer == "concat") | (inner == "concat"), F.lit("concat")).otherwise(F.lit("plain")))
 
 
-def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
+def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> DataFrame:
     """Resolved parts of every argument of ``inst``; loops until no part changes.
 
     Per round, each unresolved part looks up bindings with an as-of window
@@ -174,13 +195,13 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach
         F.col("kind").alias("s_kind"), F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"),
         F.col("text").alias("s_text"), F.col("key").alias("s_subkey"), F.col("fmt").alias("s_fmt"))
     site_args = cut(site_args)
-    shifts = edges.select("script_id", F.col("site").alias("f_site"), F.col("to_scope").alias("scope"),
-                          F.col("shift").alias("f_shift"))
-    # only call sites that run (their own scope is reachable from module level) and that enter the
-    # function from outside (a direct self-call passes values the function already has)
-    live = (edges.filter(F.col("from_scope") != F.col("to_scope"))
-            .join(reach.select("script_id", F.col("scope").alias("from_scope")), ["script_id", "from_scope"]))
-    entry_sites = cut(live.select("script_id", F.col("to_scope").alias("fork_scope"), "site").distinct())
+    targets = cut(callable_scopes(facts))
+    # one shift per scope (a class and its own __init__ both name the same scope)
+    shifts = targets.groupBy("script_id", F.col("to_scope").alias("scope")).agg(F.max("shift").alias("f_shift"))
+    # call sites that run (their own scope is reachable from module level), by callee name; looked up
+    # only for the functions a call instance actually forks on
+    live_calls = cut(_call_signatures(facts).join(
+        reach.select("script_id", F.col("scope").alias("from_scope")), ["script_id", "from_scope"]))
 
     def moved(df: DataFrame, pre: str, used: Column, sub_alias: bool) -> DataFrame:
         """Parts that replace a reference: the bound (``r_``) or passed (``s_``) part."""
@@ -266,6 +287,12 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach
         need = chosen.filter((F.col("r_type") == "param") & (F.size(alt_site) == 0))
         if not need.isEmpty():
             req = need.groupBy(*INSTANCE_KEY).agg(F.min("scope").alias("fork_scope"))
+            # sites entering the function from outside (a direct self-call passes values it already has)
+            entry_sites = (req.select("script_id", "fork_scope").distinct()
+                           .join(targets.withColumnRenamed("to_scope", "fork_scope"), ["script_id", "fork_scope"])
+                           .join(live_calls, ["script_id", "callee"])
+                           .filter(_dispatches() & (F.col("from_scope") != F.col("fork_scope")))
+                           .select("script_id", "fork_scope", "site").distinct())
             forks = req.join(entry_sites, ["script_id", "fork_scope"], "left").select(
                 *INSTANCE_KEY, F.array_sort(F.concat("alt", F.array(F.struct(
                     F.col("fork_scope").alias("scope"), F.col("site").alias("site"))))).alias("new_alt"))
@@ -284,7 +311,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, edges: DataFrame, reach
 
         # replacement by the argument passed at the chosen call site
         p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", F.element_at(alt_site, 1)["site"])
-             .join(shifts, ["script_id", "f_site", "scope"], "left")
+             .join(shifts, ["script_id", "scope"], "left")
              .withColumn("site", F.col("f_site")).withColumn("shift", F.col("f_shift")))
         pos_slot = (F.col("p_slot").cast("int") - F.col("shift")).cast("string")
         slot_ok = (((F.col("p_kind") == "pos") & (F.col("s_slot_kind") == "pos") & (F.col("s_slot") == pos_slot))

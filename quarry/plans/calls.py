@@ -26,7 +26,7 @@ def call_inventory(scripts: DataFrame, targets: DataFrame) -> CallInventory:
     edges = C.cut(C.call_edges(facts))
     reach = C.reachable_scopes(facts, edges)
     inst = C.cut(C.call_instances(facts, reach, targets))
-    parts = C.resolve_arguments(facts, inst, edges, reach)
+    parts = C.resolve_arguments(facts, inst, reach)
     argv = C.assemble_arguments(parts)
     rows = C.call_rows(facts, inst, argv)
     return CallInventory(facts=facts, calls=rows, quarantine=quarantine(facts))
