@@ -282,9 +282,12 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
 
         # A parameter is bound at one of its function's (reachable) call sites.  When a call instance
         # first needs a parameter of some function, it forks once per such site and keeps the choice in
-        # ``alt``, so all its arguments agree on it.  One function per instance and round.
+        # ``alt``, so all its arguments agree on it.  One function per instance and round; the
+        # other parts of the round are replaced meanwhile.
         alt_site = F.filter("alt", lambda a: a["scope"] == F.col("scope"))
-        need = chosen.filter((F.col("r_type") == "param") & (F.size(alt_site) == 0))
+        waits = (F.col("r_type") == "param") & (F.size(alt_site) == 0)
+        need = chosen.filter(waits)
+        forks = None
         if not need.isEmpty():
             req = need.groupBy(*INSTANCE_KEY).agg(F.min("scope").alias("fork_scope"))
             # sites entering the function from outside (a direct self-call passes values it already has)
@@ -296,9 +299,6 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
             forks = req.join(entry_sites, ["script_id", "fork_scope"], "left").select(
                 *INSTANCE_KEY, F.array_sort(F.concat("alt", F.array(F.struct(
                     F.col("fork_scope").alias("scope"), F.col("site").alias("site"))))).alias("new_alt"))
-            w = cut(w.join(forks, INSTANCE_KEY, "left")
-                    .withColumn("alt", F.coalesce("new_alt", "alt")).select(*_PART_COLS))
-            continue
 
         # replacement by a bound value
         b = chosen.filter(F.col("r_type") == "bind").join(bind_parts, ["script_id", "used"])
@@ -310,7 +310,8 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         b_stuck = b.filter(b_alias & ~b_alias_ok & (F.col("r_part") == 0))
 
         # replacement by the argument passed at the chosen call site
-        p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", F.element_at(alt_site, 1)["site"])
+        p = (chosen.filter((F.col("r_type") == "param") & ~waits)
+             .withColumn("f_site", F.element_at(alt_site, 1)["site"])
              .join(shifts, ["script_id", "scope"], "left")
              .withColumn("site", F.col("f_site")).withColumn("shift", F.col("f_shift")))
         pos_slot = (F.col("p_slot").cast("int") - F.col("shift")).cast("string")
@@ -328,8 +329,13 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         stuck = (chosen.filter(F.col("r_type").isNull()).select(*_PART_COLS)
                  .unionByName(b_stuck.select(*_PART_COLS)).unionByName(p_stuck.select(*_PART_COLS))
                  .withColumn("done", F.lit(True)))
-        step = rb.unionByName(rp).unionByName(stuck)
-        w = cut(w.filter(F.col("done")).unionByName(step.select(*_PART_COLS)))
+        waiting = chosen.filter(waits).select(*_PART_COLS)  # resolved next round, once the fork is made
+        step = rb.unionByName(rp).unionByName(stuck).select(*_PART_COLS).unionByName(waiting)
+        nxt = w.filter(F.col("done")).unionByName(step)
+        if forks is not None:  # the forks of this round apply to every part of the forked instances
+            nxt = (nxt.join(forks, INSTANCE_KEY, "left")
+                   .withColumn("alt", F.coalesce("new_alt", "alt")).select(*_PART_COLS))
+        w = cut(nxt)
     return w
 
 
