@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import dedent_text, expand_tabs
+from quarry.session import ship_package
 
 MODULE = "<module>"
 
@@ -413,6 +414,7 @@ def extract_facts(scripts: DataFrame, min_tasks: int | None = None) -> DataFrame
     spread round-robin first, otherwise the input splits are used as they are.
     """
     spark = scripts.sparkSession
+    ship_package(spark)
     want = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     if scripts.rdd.getNumPartitions() < want:
         scripts = scripts.repartition(want)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import checkpoint_root
+from quarry.session import checkpoint_root, ship_package
 
 _TB = "_q_tb"
 _FP, _FO, _FTB = "_q_fp", "_q_fo", "_q_ftb"
@@ -136,6 +136,7 @@ def _range_rank(df: DataFrame, group: str, order: str, out: str, num_partitions:
     # the exchange; cutting the input to a reliable checkpoint evaluates the upstream exactly once
     # and gives both passes the same, deterministic partitions.
     checkpoint_root(spark)
+    ship_package(spark)
     keyed = df.withColumn(_TB, F.xxhash64(*[F.col(c) for c in df.columns])).checkpoint(eager=True)
     sort_keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first(), F.col(_TB).asc()]
     parted = keyed.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys)

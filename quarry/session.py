@@ -36,9 +36,43 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+_ZIP: str | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable on the executors' Python workers (like ``--py-files``).
+
+    The steps that run Python on executors (the script parse, the rank's
+    partition pass) pickle functions by module reference, so the workers must
+    import ``quarry`` whatever the driver's working directory.  The package is
+    zipped once per driver process and added once per Spark application.
+    """
+    global _ZIP
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    if _ZIP is None:
+        import zipfile
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        path = os.path.join(tempfile.mkdtemp(prefix="quarry-py-"), "quarry.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            for base, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        zf.write(full, os.path.relpath(full, root))
+        _ZIP = path
+    sc.addPyFile(_ZIP)
+    _SHIPPED.add(app)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch tables.
 
