@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, secret_scan, token_counts
+from quarry.llm import bpe, decontaminate, ngram_join, secret_scan, token_counts
 
-MODULES = (bpe, secret_scan, token_counts)
+MODULES = (bpe, decontaminate, ngram_join, secret_scan, token_counts)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
