@@ -1,6 +1,8 @@
 """Token counts of whole texts with a tokenizer library, in bounded memory.
 
-Short texts are encoded in one piece.  A huge text is encoded in overlapping
+Short texts are cut at spaces between two other characters: there the pattern
+always begins a pre-token, so the pieces' counts add up, and each distinct piece
+is encoded once while a task remembers it.  A huge text is encoded in overlapping
 chunks with offsets, spliced at stable common boundaries: a position where both
 chunks begin a pre-token.  From such a position on the pre-tokenizer sees the
 same characters in both, so both go on alike; a margin to either chunk edge
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,11 @@ from pyspark.sql import types as T
 from quarry.llm.common import documents, prepared, ranks_bytes, with_text_columns
 
 #: Characters of a chunk, and of the overlap that is tried first.
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 65_536, 1_024
+#: Pieces that a task remembers; beyond it the memory starts afresh.
+MEMO = 1 << 20
+#: A space that neither follows nor precedes white space.
+STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def edge_margin(config: str) -> int:
@@ -92,12 +99,23 @@ def count_tokens(docs: DataFrame, config: str, text: str = "text", out: str = "n
         def one(piece: str):
             return tok.encode(piece, add_special_tokens=False)
 
+        known: dict[str, int] = {}      # piece -> tokens of a space and the piece
+
+        def sizes(pieces: list[str]) -> list[int]:
+            return [len(e) for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
         def counts(texts):
             whole = [(t or b"").decode("utf-8", "replace") for t in texts]
-            short = [t if len(t) <= chunk else "" for t in whole]
-            found = [len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)]
-            return [[count_spliced(one, t, margin, chunk, overlap) if len(t) > chunk else n
-                     for t, n in zip(whole, found, strict=True)]]
+            cut = [STABLE.split(t) if len(t) <= chunk else [""] for t in whole]
+            new = list({p for pieces in cut for p in pieces[1:]} - known.keys())
+            if len(known) + len(new) > MEMO:
+                known.clear()
+                new = list({p for pieces in cut for p in pieces[1:]})
+            known.update(zip(new, sizes([" " + p for p in new]), strict=True))
+            first = sizes([pieces[0] for pieces in cut])
+            return [[count_spliced(one, t, margin, chunk, overlap) if len(t) > chunk
+                     else n + sum(map(known.__getitem__, pieces[1:]))
+                     for t, n, pieces in zip(whole, first, cut, strict=True)]]
         return counts
 
     return with_text_columns(docs, [T.StructField(out, T.LongType())], make, text, drop_text)

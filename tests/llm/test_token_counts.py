@@ -43,6 +43,14 @@ def test_defined_cases(spark, docs, tok):
     assert tc.count_tokens(docs([]), CONFIG).count() == 0
 
 
+def test_pieces_match_whole_texts(spark, docs, tok):
+    rng = random.Random(11)
+    bits = ["word", " ", " ", "  ", "\n", "<|endoftext|>", "<|endof", "é", "漢", "\u00a0", "\u0085", "\x1c", "\u200b", "12", "'re", "'", "!!", "\t"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 30)))) for i in range(400)]
+    got = tc.count_tokens(docs(rows), CONFIG).select("doc_id", "n_tokens").collect()
+    assert dict(map(tuple, got)) == {i: whole(tok, t) for i, t in rows}
+
+
 def test_whole_table(spark, tok):
     sf = "/root/testdata/sf0.001"
     got = {r[0]: tuple(r[1:]) for r in tc.op10_token_counts(spark, sf).select(
