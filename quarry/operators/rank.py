@@ -1,189 +1,52 @@
-"""``rank()`` within a group, with a skew-proof plan.
-
-``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task;
-a group holding a third of all rows then becomes one task over a third of the
-data.  The ``range`` strategy instead:
-
-0. cuts the input to a reliable checkpoint, so the upstream runs once and
-   the range sampling job, the data pass and the summary pass all see the
-   same rows in the same order (eager: building the rank runs this job);
-1. range-partitions the rows on ``(g, o, row hash)`` so a hot group is split
-   across many tasks, and sorts within partitions;
-2. scans each partition once (Arrow batches through ``mapInPandas``) to give
-   every row its rank *inside the partition*, and tags it with the
-   partition's first key;
-3. a second scan of the same (reused) exchange emits one summary row per
-   partition: first key, last key, rows of the last group and of the last
-   ``(g, o)`` tie;
-4. running sums over the summaries (at most one row per partition, so
-   bounded by the partition count) give, for each partition, how many rows of
-   its first group and first tie lie in earlier partitions;
-5. that small table is broadcast back and the local ranks are shifted.
-
-Ties share a rank and gaps follow, exactly as ``rank()``; null groups and
-null order values sort first.
+"""``rank()`` within a group without sending a group's rows to one task.
+
+A window over the group sorts all of its rows in a single task.  Here rows are
+counted per distinct (group, order) first, so ties are combined before the
+shuffle; the counts of wide buckets of the order give the rows before a bucket,
+those inside a bucket the rows before a value.  A group then needs one row per
+bucket in one task (49,711 days for all 32-bit epoch seconds), a bucket one row
+per distinct value (86,400 seconds).  The ranks are joined back by (group,
+order), a join whose skewed side AQE splits.  All steps are built-in expressions:
+no column of the data goes through Python, and nothing is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import checkpoint_root, ship_package
+DAY = 86_400
+
 
-_TB = "_q_tb"
-_FP, _FO, _FTB = "_q_fp", "_q_fo", "_q_ftb"
+def order_bucket(value: Column, kind: T.DataType, width: int) -> Column:
+    """A number that rises with the value: integers and instants by width; other types share one bucket."""
+    if isinstance(kind, T.IntegralType):
+        return F.floor(value / F.lit(width))
+    if isinstance(kind, T.TimestampType):
+        return F.floor(F.unix_seconds(value) / F.lit(width))
+    return F.lit(0)
 
 
-def rank_within(df: DataFrame, group: str, order: str, out: str, strategy: str = "auto",
-                num_partitions: int | None = None) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: str, out: str, strategy: str = "auto", bucket_width: int = DAY) -> DataFrame:
+    """``df`` with ``out``: ``rank()`` per ``group`` by ascending ``order``, nulls first; a null group is a group.
+
+    ``strategy="window"`` is the plain window, for groups that are known to be small.
+    """
     if strategy == "window":
         w = Window.partitionBy(group).orderBy(F.col(order).asc_nulls_first())
         return df.withColumn(out, F.rank().over(w))
-    if strategy not in ("auto", "range"):
-        raise ValueError(f"unknown rank strategy {strategy!r}")
-    return _range_rank(df, group, order, out, num_partitions)
-
-
-def _same(a: pd.Series, b: pd.Series) -> np.ndarray:
-    an, bn = a.isna().to_numpy(), b.isna().to_numpy()
-    eq = (a.to_numpy(dtype=object) == b.to_numpy(dtype=object))
-    return np.where(an | bn, an & bn, eq).astype(bool)
-
-
-class _Runs:
-    """Carries group / tie state across the sorted batches of one partition."""
-
-    def __init__(self) -> None:
-        self.started = False
-        self.last_g = self.last_o = None
-        self.g_rows = 0      # rows of the current group seen so far
-        self.tie_rows = 0    # rows of the current (group, order) tie so far
-        self.tie_rank = 0    # local rank of the current tie
-        self.first = None    # (g, o, tb) of the partition's first row
-
-    def ranks(self, g: pd.Series, o: pd.Series) -> np.ndarray:
-        n = len(g)
-        pos = np.arange(n)
-        prev_g = g.shift(1)
-        prev_o = o.shift(1)
-        new_g = ~_same(g, prev_g)
-        new_o = ~_same(o, prev_o)
-        if self.started:
-            new_g[0] = not _same(g.iloc[:1], pd.Series([self.last_g], dtype=object))[0]
-            new_o[0] = not _same(o.iloc[:1], pd.Series([self.last_o], dtype=object))[0]
-        else:
-            new_g[0] = new_o[0] = True
-        new_tie = new_g | new_o
-        g_start = np.maximum.accumulate(np.where(new_g, pos, -1))
-        t_start = np.maximum.accumulate(np.where(new_tie, pos, -1))
-        before_in_g = np.where(g_start >= 0, pos - g_start, self.g_rows + pos)
-        tie_first = np.where(t_start >= 0, t_start, 0)
-        rank = np.where(t_start >= 0, before_in_g[tie_first] + 1, self.tie_rank)
-        tie_rows = np.where(t_start >= 0, pos - t_start + 1, self.tie_rows + pos + 1)
-        self.started = True
-        self.last_g, self.last_o = g.iloc[-1], o.iloc[-1]
-        self.g_rows = int(before_in_g[-1]) + 1
-        self.tie_rows = int(tie_rows[-1])
-        self.tie_rank = int(rank[-1])
-        return rank.astype("int64")
-
-
-def _local_rank_fn(group: str, order: str, out: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = _Runs()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if state.first is None:
-                state.first = (pdf[group].iloc[0], pdf[order].iloc[0], pdf[_TB].iloc[0])
-            pdf[out] = state.ranks(pdf[group], pdf[order])
-            pdf[_FP], pdf[_FO], pdf[_FTB] = state.first
-            yield pdf.drop(columns=[_TB])
-    return run
-
-
-def _summary_fn(group: str, order: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = _Runs()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if state.first is None:
-                state.first = (pdf[group].iloc[0], pdf[order].iloc[0], pdf[_TB].iloc[0])
-            state.ranks(pdf[group], pdf[order])
-        if state.first is not None:
-            fg, fo, ftb = state.first
-            yield pd.DataFrame({
-                _FP: [fg], _FO: [fo], _FTB: [ftb],
-                "lg": [state.last_g], "lo": [state.last_o],
-                "g_rows": [state.g_rows], "tie_rows": [state.tie_rows],
-            })
-    return run
-
-
-def _range_rank(df: DataFrame, group: str, order: str, out: str, num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    fields = {f.name: f for f in df.schema.fields}
-    gtype, otype = fields[group].dataType, fields[order].dataType
-    # Range partitioning samples its input in a job of its own and the two passes below each read
-    # the exchange; cutting the input to a reliable checkpoint evaluates the upstream exactly once
-    # and gives both passes the same, deterministic partitions.
-    checkpoint_root(spark)
-    ship_package(spark)
-    keyed = df.withColumn(_TB, F.xxhash64(*[F.col(c) for c in df.columns])).checkpoint(eager=True)
-    sort_keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first(), F.col(_TB).asc()]
-    parted = keyed.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys)
-
-    data_schema = T.StructType(df.schema.fields + [
-        T.StructField(out, T.LongType(), False),
-        T.StructField(_FP, gtype, True), T.StructField(_FO, otype, True), T.StructField(_FTB, T.LongType(), True),
-    ])
-    local = parted.mapInPandas(_local_rank_fn(group, order, out), data_schema)
-
-    summary_schema = T.StructType([
-        T.StructField(_FP, gtype, True), T.StructField(_FO, otype, True), T.StructField(_FTB, T.LongType(), True),
-        T.StructField("lg", gtype, True), T.StructField("lo", otype, True),
-        T.StructField("g_rows", T.LongType(), False), T.StructField("tie_rows", T.LongType(), False),
-    ])
-    summary = parted.mapInPandas(_summary_fn(group, order), summary_schema)
-    # One row per range partition, so these single-partition windows are bounded by the partition
-    # count.  Partitions are sorted, so the earlier partitions holding rows of a partition's first
-    # group are exactly the run just before it: a running sum per last group, read through lag(),
-    # gives the offsets without pairing partitions.
-    by_ord = Window.orderBy(F.col(_FP).asc_nulls_first(), F.col(_FO).asc_nulls_first(), F.col(_FTB))
-    running = Window.partitionBy("lg").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running_tie = Window.partitionBy("lg", "lo").orderBy("ord").rowsBetween(Window.unboundedPreceding,
-                                                                            Window.currentRow)
-    ordered = (summary.withColumn("ord", F.row_number().over(by_ord))
-               .withColumn("cum_g", F.sum("g_rows").over(running))
-               .withColumn("cum_tie", F.sum("tie_rows").over(running_tie)))
-    prev = Window.orderBy("ord")
-    offsets = ordered.select(
-        _FP, _FO, _FTB,
-        F.when(F.lag("lg").over(prev).eqNullSafe(F.col(_FP)) & (F.col("ord") > 1), F.lag("cum_g").over(prev))
-        .otherwise(F.lit(0)).alias("_q_prev_g"),
-        F.when(F.lag("lg").over(prev).eqNullSafe(F.col(_FP)) & F.lag("lo").over(prev).eqNullSafe(F.col(_FO))
-               & (F.col("ord") > 1), F.lag("cum_tie").over(prev))
-        .otherwise(F.lit(0)).alias("_q_prev_tie"),
-    )
-    o = F.broadcast(offsets).alias("o")
-    l = local.alias("l")
-    cond = (F.col(f"l.{_FP}").eqNullSafe(F.col(f"o.{_FP}")) & F.col(f"l.{_FO}").eqNullSafe(F.col(f"o.{_FO}"))
-            & (F.col(f"l.{_FTB}") == F.col(f"o.{_FTB}")))
-    joined = l.join(o, cond, "left")
-    in_first_g = F.col(f"l.{group}").eqNullSafe(F.col(f"l.{_FP}"))
-    in_first_tie = in_first_g & F.col(f"l.{order}").eqNullSafe(F.col(f"l.{_FO}"))
-    local_rank = F.col(f"l.{out}")
-    rank = (
-        F.when(in_first_tie, local_rank + F.col("o._q_prev_g") - F.col("o._q_prev_tie"))
-        .when(in_first_g, local_rank + F.col("o._q_prev_g"))
-        .otherwise(local_rank)
-    ).cast("int")
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], rank.alias(out))
+    counts = df.groupBy(F.col(group).alias("__g"), F.col(order).alias("__o")).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__b", order_bucket(F.col("__o"), df.schema[order].dataType, bucket_width))
+
+    def rows_before(*keys: str, by: str) -> Column:
+        w = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_first())
+        return F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    buckets = counts.groupBy("__g", "__b").agg(F.sum("__n").alias("__n")).select(
+        F.col("__g").alias("__bg"), F.col("__b").alias("__bb"), rows_before("__g", by="__b").alias("__earlier"))
+    inside = counts.withColumn("__inside", rows_before("__g", "__b", by="__o"))
+    ranks = inside.join(buckets, F.col("__g").eqNullSafe(F.col("__bg")) & F.col("__b").eqNullSafe(F.col("__bb"))).select(
+        "__g", "__o", (F.col("__earlier") + F.col("__inside") + 1).cast("int").alias("__rank"))
+    joined = df.join(ranks, df[group].eqNullSafe(ranks["__g"]) & df[order].eqNullSafe(ranks["__o"]))
+    return joined.select(*[df[c] for c in df.columns if c != out], ranks["__rank"].alias(out))

@@ -1,41 +1,54 @@
-"""The range-partitioned rank equals rank() over a window, also when one group
-holds most rows and spans many partitions."""
+"""The counted rank equals rank() over a window on all columns, also when one group holds most rows."""
+
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.rank import rank_within
 
+SCHEMA = "g string, t int, id long, big long, x double"
+
 
 def _data(spark, n=4000, seed=7):
     rng = np.random.default_rng(seed)
-    groups = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", "c", None], n))
-    ts = rng.integers(0, 300, n).astype(object)
-    ts[rng.random(n) < 0.02] = None
-    rows = [(g if g != "None" else None, int(t) if t is not None else None, i) for i, (g, t) in enumerate(zip(groups, ts))]
-    return spark.createDataFrame(rows, "g string, t int, id long")
+    groups = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", "c", "none"], n))
+    ts = rng.integers(-200_000, 900_000, n) // 500 * 500
+    special = [float("nan"), float("inf"), -0.0, None, 1.5]
+    rows = [(None if g == "none" else str(g), None if rng.random() < 0.02 else int(t), i, None if i % 7 == 0 else 2 ** 60 + i,
+             special[i % 5]) for i, (g, t) in enumerate(zip(groups, ts, strict=True))]
+    return spark.createDataFrame(rows, SCHEMA)
+
 
+def _rows(df):
+    return sorted((tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in r) for r in df.collect()), key=lambda r: r[2])
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
-def test_range_rank_equals_window(spark, parts):
+
+@pytest.mark.parametrize("width", [1, 86_400, 10_000_000])
+def test_equals_the_window_on_all_columns(spark, width):
     df = _data(spark)
-    a = rank_within(df, "g", "t", "r", strategy="window").select("id", F.col("r").alias("ra"))
-    b = rank_within(df, "g", "t", "r", strategy="range", num_partitions=parts).select("id", F.col("r").alias("rb"))
-    diff = a.join(b, "id").filter(F.col("ra") != F.col("rb")).count()
-    assert diff == 0
-    assert b.count() == df.count()
+    plain = rank_within(df, "g", "t", "r", strategy="window")
+    counted = rank_within(df, "g", "t", "r", bucket_width=width)
+    assert counted.schema["r"].dataType == plain.schema["r"].dataType and counted.columns == plain.columns
+    assert _rows(counted) == _rows(plain)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "timestamp", "date", "bigint"])
+def test_other_order_types(spark, kind):
+    df = _data(spark, 600).withColumn("t", (F.timestamp_seconds("t") if kind in ("timestamp", "date") else F.col("t")).cast(kind))
+    assert _rows(rank_within(df, "g", "t", "r")) == _rows(rank_within(df, "g", "t", "r", strategy="window"))
 
 
-def test_range_rank_all_ties(spark):
+def test_all_ties_and_empty(spark):
     df = spark.createDataFrame([("x", 5, i) for i in range(500)] + [("x", 6, 1000)], "g string, t int, id long")
-    got = {r.id: r.r for r in rank_within(df, "g", "t", "r", strategy="range", num_partitions=8).collect()}
-    assert set(v for k, v in got.items() if k < 1000) == {1}
-    assert got[1000] == 501
+    got = {r.id: r.r for r in rank_within(df, "g", "t", "r").collect()}
+    assert {v for k, v in got.items() if k < 1000} == {1} and got[1000] == 501
+    assert rank_within(df.limit(0), "g", "t", "r").count() == 0
 
 
-def test_range_plan_has_no_window_and_bounded_broadcast(spark):
-    df = _data(spark, 200)
-    plan = rank_within(df, "g", "t", "r", strategy="range", num_partitions=4)._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "rangepartitioning" in plan.lower()
+def test_plan_is_built_in(spark):
+    plan = rank_within(_data(spark, 200), "g", "t", "r")._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Python" not in plan and "Scan ExistingRDD checkpoint" not in plan
+    assert isinstance(rank_within(_data(spark, 5), "g", "t", "r").schema["big"].dataType, T.LongType)
