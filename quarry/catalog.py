@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from quarry import catalog_sensor
+from quarry import catalog_calls, catalog_sensor
 
-QUERIES = dict(catalog_sensor.QUERIES)
-ORACLE = dict(catalog_sensor.ORACLE)
-
-try:  # the script-inventory queries
-    from quarry import catalog_calls
-except ImportError:  # pragma: no cover - during bring-up only
-    catalog_calls = None
-if catalog_calls is not None:
-    QUERIES.update(catalog_calls.QUERIES)
-    ORACLE.update(catalog_calls.ORACLE)
+QUERIES = catalog_sensor.QUERIES | catalog_calls.QUERIES
+ORACLE = catalog_sensor.ORACLE | catalog_calls.ORACLE

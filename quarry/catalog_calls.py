@@ -22,7 +22,8 @@ from quarry.sources.scripts import targets_frame
 TARGETS = ["load", "saveAsTable"]
 INLINE_TARGET = "track"
 SCRIPT_TAG = r"(?s)<script[^>]*>(.*?)</script>"
-CALL_RE = r"\b(" + INLINE_TARGET + r")\s*\(([^()]*)\)"
+# arguments may hold parentheses, two levels deep
+CALL_RE = r"\b(" + INLINE_TARGET + r")\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
 
 
 def _inventory(spark: SparkSession, sf: str):
@@ -218,7 +219,10 @@ ORACLE = {
                       "UNION ALL SELECT k, 'run', 1 FROM c WHERE t = 2",
     "io_inventory": _EXP + "SELECT script_id, line, function, CASE function WHEN 'load' THEN 'source' "
                            "ELSE 'sink' END AS direction, caller, kind0 AS kind, value0 AS target "
-                           "FROM e WHERE reachable",
+                           "FROM (SELECT function, caller, args, kwargs, any_value(kind0) AS kind0, any_value(value0) AS value0, "
+                           "arg_min(script_id, script_id * 100000 + line) AS script_id, "
+                           "arg_min(line, script_id * 100000 + line) AS line "
+                           "FROM e WHERE reachable GROUP BY function, caller, args, kwargs)",
     "inline_call_sites": (
         "SELECT page_id, '" + INLINE_TARGET + "' AS function, a AS args FROM ("
         "SELECT page_id, unnest(regexp_extract_all(body, '" + CALL_RE + "', 2)) AS a FROM ("

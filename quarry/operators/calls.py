@@ -19,8 +19,8 @@
 * ``dedup_calls`` (A5, W2, O1): first occurrence of each structurally equal
   row, kwargs compared without regard to order.
 
-Every loop round is cut from its lineage with a reliable ``checkpoint`` in the
-cluster's ``spark.checkpoint.dir``.
+Every loop round ends in a reliable ``checkpoint`` in the cluster's
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.codefacts import MODULE
-from quarry.operators.joins import broadcast_if_bounded
 from quarry.session import checkpoint_root
 
 REF_KINDS = ["ref", "sub", "attr"]
@@ -57,7 +56,10 @@ def _call_signatures(facts: DataFrame) -> DataFrame:
     return _facts(facts, "call").select(
         "script_id", F.col("scope").alias("from_scope"), F.col("cls").alias("from_cls"),
         F.col("name").alias("callee"), "call_form", (F.col("receiver") == "self").alias("on_self"),
-        F.col("call_ord").alias("site"))
+        F.col("call_ord").alias("site")).join(
+        _facts(facts, "def").filter((F.col("kind") == "class") & (F.col("detail") == "bases"))
+        .select("script_id", F.col("qual").alias("from_cls"), F.lit(True).alias("inherits")).distinct(),
+        ["script_id", "from_cls"], "left")
 
 
 def callable_scopes(facts: DataFrame) -> DataFrame:
@@ -80,28 +82,47 @@ def callable_scopes(facts: DataFrame) -> DataFrame:
 def _dispatches() -> Column:
     """Whether a call may enter a definition of the same name.
 
-    ``f(..)`` enters a function defined at module level or in the caller's own
-    scope; ``C(..)`` a class so defined; ``self.m(..)`` the method ``m`` of the
-    caller's class; ``x.m(..)`` (also ``self.x.m(..)``) any method ``m``.
+    ``f(..)`` enters a function defined at module level, in the caller's own
+    scope or in one around it; ``C(..)`` a class so defined; ``self.m(..)`` the
+    method ``m`` of the caller's class, or any method ``m`` if that class has
+    bases; ``x.m(..)`` (also ``self.x.m(..)``) any method ``m``.
     """
-    local_or_module = (F.col("def_scope") == MODULE) | (F.col("def_scope") == F.col("from_scope"))
+    local_or_module = (F.col("def_scope") == MODULE) | (F.col("def_scope") == F.col("from_scope")) \
+        | F.col("from_scope").startswith(F.concat("def_scope", F.lit(".")))
     return (
         ((F.col("call_form") == "name") & (F.col("def_kind") == "function") & local_or_module & ~F.col("is_method"))
         | ((F.col("call_form") == "name") & (F.col("def_kind") == "class") & local_or_module)
         | ((F.col("call_form") == "attr") & F.col("is_method")
-           & (~F.col("on_self") | (F.col("def_cls") == F.col("from_cls"))))
+           & (~F.coalesce("on_self", F.lit(False)) | (F.col("def_cls") == F.col("from_cls")) | F.col("inherits")))
     )
 
 
 def call_edges(facts: DataFrame) -> DataFrame:
-    """(script_id, from_scope, to_scope): distinct scope-level call edges.
+    """(script_id, from_scope, to_scope): distinct scope-level call edges, never fewer than may run.
 
     Calls are first reduced to distinct (scope, name, form) signatures, so many
-    calls of one name never meet the definitions of that name one by one.
+    calls of one name never meet the definitions of that name one by one.  The
+    scope of a class statement runs its body; a class with bases may run any
+    ``__init__`` of the script; a function whose name is bound or passed on may
+    be called by whoever gets it.
     """
     sigs = _call_signatures(facts).drop("site").distinct()
-    return (sigs.join(callable_scopes(facts), ["script_id", "callee"]).filter(_dispatches())
-            .select("script_id", "from_scope", "to_scope").distinct())
+    scopes = callable_scopes(facts)
+    called = sigs.join(scopes, ["script_id", "callee"]).filter(_dispatches())
+    defs = _facts(facts, "def")
+    bodies = defs.filter(F.col("kind") == "class").select("script_id", F.col("scope").alias("from_scope"), F.col("qual").alias("to_scope"))
+    inits = defs.filter((F.col("kind") == "function") & (F.col("name") == "__init__")).select("script_id", F.col("qual").alias("init"))
+    heirs = defs.filter((F.col("kind") == "class") & (F.col("detail") == "bases")).select("script_id", F.col("qual").alias("heir"))
+    # one node per script stands for "some __init__", so classes and inits are not paired
+    some_init = F.lit("<init>")
+    inherited = heirs.select("script_id", F.concat("heir", F.lit(".__init__")).alias("from_scope"), some_init.alias("to_scope")) \
+        .unionByName(inits.select("script_id", some_init.alias("from_scope"), F.col("init").alias("to_scope")))
+    named = facts.filter(F.col("fact").isin("arg", "bind") & (F.col("kind") == "ref")).select(
+        "script_id", F.coalesce("qual", "scope").alias("from_scope"), F.col("value").alias("callee")).distinct()
+    escaped = named.join(scopes.select("script_id", "callee", "to_scope"), ["script_id", "callee"])
+    cols = ["script_id", "from_scope", "to_scope"]
+    return called.select(cols).unionByName(bodies.select(cols)).unionByName(inherited.select(cols)) \
+        .unionByName(escaped.select(cols)).distinct()
 
 
 def reachable_scopes(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,7 +148,7 @@ def reachable_scopes(facts: DataFrame, edges: DataFrame) -> DataFrame:
             break
         visited = cut(visited.unionByName(nxt))
         frontier = nxt
-    return visited
+    return visited.filter(F.col("scope") != "<init>")
 
 
 def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -135,7 +156,7 @@ def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None
     calls = _facts(facts, "call")
     if targets is not None:
         names = targets.select(F.col("function").alias("name")).distinct()
-        calls = calls.join(broadcast_if_bounded(names, 100_000), "name", "left_semi")
+        calls = calls.join(names, "name", "left_semi")
     entered = reach.select("script_id", "scope", F.lit(True).alias("reachable"))
     return calls.join(entered, ["script_id", "scope"], "left").withColumn(
         "reachable", F.coalesce("reachable", F.lit(False)))
@@ -143,7 +164,7 @@ def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None
 
 # --------------------------------------------------------------------------- J4
 _PART_COLS = ["script_id", "call_ord", "alt", "slot", "slot_kind", "path", "scope", "cls", "pos",
-              "kind", "lit_kind", "value", "text", "key", "fmt", "arg_src", "seen", "done"]
+              "kind", "lit_kind", "value", "text", "key", "home", "fmt", "arg_src", "seen", "done"]
 INSTANCE_KEY = ["script_id", "call_ord", "alt"]
 ALT_TYPE = "array<struct<scope:string,site:int>>"
 
@@ -168,7 +189,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
     w = inst.select("script_id", "call_ord").join(args, ["script_id", "call_ord"]).select(
         "script_id", "call_ord", F.array().cast(ALT_TYPE).alias("alt"), "slot", "slot_kind",
         F.array(F.col("part")).alias("path"), "scope", "cls", "pos", "kind", "lit_kind", "value", "text", "key",
-        "fmt", F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"),
+        "home", "fmt", F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"),
         (~F.col("kind").isin(REF_KINDS)).alias("done"))
 
     bind_id = F.concat_ws(":", F.lit("b"), "scope", "name", F.coalesce("slot", F.lit("")), F.col("pos").cast("string"))
@@ -178,10 +199,16 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         "script_id", "used", "r_nparts", F.col("part").alias("r_part"), F.coalesce("qual", "scope").alias("r_home"),
         F.col("cls").alias("r_cls"), F.col("pos").alias("r_pos"), F.col("kind").alias("r_kind"),
         F.col("lit_kind").alias("r_lit_kind"), F.col("value").alias("r_value"), F.col("text").alias("r_text"),
-        F.col("key").alias("r_subkey"), F.col("fmt").alias("r_fmt"))
+        F.col("key").alias("r_subkey"), F.col("home").alias("r_at"), F.col("fmt").alias("r_fmt"))
     heads = binds.filter(F.col("part") == 0).select(
         "script_id", F.col("scope").alias("a_scope"), F.col("name").alias("a_name"), F.col("slot").alias("a_key"),
         F.coalesce("end_pos", "pos").alias("a_pos"), "used")
+    # A function may run before or after any module-level statement: it sees a module name's value only if
+    # that name, and each of its entries, is bound once.
+    times = Window.partitionBy("script_id", "a_scope", "a_name", "a_key")
+    heads = heads.withColumn("once", F.count(F.lit(1)).over(times) == 1)
+    again = heads.filter(~F.col("once")).select("script_id", "a_scope", "a_name").distinct().withColumn("rebound", F.lit(True))
+    heads = heads.join(again, ["script_id", "a_scope", "a_name"], "left").withColumn("rebound", F.coalesce("rebound", F.lit(False))).drop("once")
     params = _facts(facts, "param").select(
         "script_id", F.col("scope").alias("p_scope"), F.col("name").alias("l_name"),
         F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind"))
@@ -193,7 +220,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         F.col("slot_kind").alias("s_slot_kind"), F.col("part").alias("s_part"), "s_nparts",
         F.col("scope").alias("s_scope"), F.col("cls").alias("s_cls"), F.col("pos").alias("s_pos"),
         F.col("kind").alias("s_kind"), F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"),
-        F.col("text").alias("s_text"), F.col("key").alias("s_subkey"), F.col("fmt").alias("s_fmt"))
+        F.col("text").alias("s_text"), F.col("key").alias("s_subkey"), F.col("home").alias("s_at"), F.col("fmt").alias("s_fmt"))
     site_args = cut(site_args)
     targets = cut(callable_scopes(facts))
     # one shift per scope (a class and its own __init__ both name the same scope)
@@ -219,7 +246,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
             F.concat(F.col("path"), F.array(F.col(f"{pre}part"))).alias("path"),
             F.col(home).alias("scope"), F.col(f"{pre}cls").alias("cls"), F.col(f"{pre}pos").alias("pos"),
             kind.alias("kind"), lit_kind.alias("lit_kind"), value.alias("value"),
-            text.alias("text"), key.alias("key"), fmt.alias("fmt"), "arg_src",
+            text.alias("text"), key.alias("key"), F.col(f"{pre}at").alias("home"), fmt.alias("fmt"), "arg_src",
             F.concat(F.col("seen"), F.array(used)).alias("seen"), done.alias("done"))
 
     pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "alt", "slot", "path")), 256)
@@ -239,11 +266,12 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         # the same at module level for references inside functions.
         never = F.lit(None).cast("string")
         last_pos = F.lit(1 << 62).cast("long")
-        plain = F.col("kind").isin("ref", "sub") & (F.col("scope") != MODULE) & ~F.col("self_based")
+        own = F.col("self_based") | (F.col("home") == F.col("scope"))
+        plain = F.col("kind").isin("ref", "sub") & (F.col("scope") != MODULE) & ~F.col("self_based") & (F.col("home") == MODULE)
         rules = [
-            (10, F.lit(True), F.col("l_scope"), F.col("l_key"),
+            (10, own, F.col("l_scope"), F.col("l_key"),
              F.when(F.col("self_based"), last_pos).otherwise(F.col("pos"))),
-            (11, F.col("kind") == "sub", F.col("l_scope"), never,
+            (11, own & (F.col("kind") == "sub"), F.col("l_scope"), never,
              F.when(F.col("self_based"), last_pos).otherwise(F.col("pos"))),
             (30, plain, F.lit(MODULE), F.col("l_key"), last_pos),
             (31, plain & (F.col("kind") == "sub"), F.lit(MODULE), never, last_pos),
@@ -251,17 +279,20 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         asks = reduce(DataFrame.unionByName, [
             t.filter(cond).select("script_id", F.lit(prio).alias("prio"), scope_c.alias("a_scope"),
                                   F.col("l_name").alias("a_name"), key_c.alias("a_key"), pos_c.alias("a_pos"),
-                                  "pid", F.lit(1).alias("side"), never.alias("used"))
+                                  "pid", F.lit(1).alias("side"), never.alias("used"), F.lit(False).alias("rebound"))
             for prio, cond, scope_c, key_c, pos_c in rules])
         known = heads.join(asks.select("script_id", "a_name").distinct(), ["script_id", "a_name"], "left_semi")
         stream = asks.unionByName(known.select(
             "script_id", F.lit(None).cast("int").alias("prio"), "a_scope", "a_name", "a_key", "a_pos",
-            F.lit(None).cast("string").alias("pid"), F.lit(0).alias("side"), "used"))
+            F.lit(None).cast("string").alias("pid"), F.lit(0).alias("side"), "used", "rebound"))
         asof = Window.partitionBy("script_id", "a_scope", "a_name", "a_key").orderBy("a_pos", "side") \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        by_bind = (stream.withColumn("hit", F.last("used", ignorenulls=True).over(asof))
+        found = F.when(F.col("side") == 0, F.struct("used", "a_pos", "rebound"))
+        by_bind = (stream.withColumn("last", F.last(found, ignorenulls=True).over(asof)).withColumn("hit", F.col("last.used"))
                    .filter((F.col("side") == 1) & F.col("hit").isNotNull())
-                   .select("pid", "prio", F.lit("bind").alias("r_type"),
+                   .filter((F.col("prio") < 30) | ~F.col("last.rebound"))
+                   .withColumn("hit_pos", F.col("last.a_pos"))
+                   .select("hit_pos", "pid", "prio", F.lit("bind").alias("r_type"),
                            F.when(F.col("prio").isin(10, 30), F.col("a_key")).alias("r_key"),
                            F.col("hit").alias("used"), never.alias("p_slot"), never.alias("p_kind"),
                            F.col("hit").alias("pkey")))
@@ -269,13 +300,15 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         by_param = (t.filter(F.col("kind").isin("ref", "sub") & ~F.col("self_based"))
                     .join(params, (t.script_id == params.script_id) & (t.scope == params.p_scope)
                           & (t.l_name == params.l_name))
-                    .select("pid", F.lit(20).alias("prio"), F.lit("param").alias("r_type"), never.alias("r_key"),
+                    .select(F.lit(0).cast("long").alias("hit_pos"), "pid", F.lit(20).alias("prio"), F.lit("param").alias("r_type"), never.alias("r_key"),
                             never.alias("used"), "p_slot", "p_kind",
                             F.concat_ws(":", F.lit("p"), F.col("p_scope"), params.l_name).alias("pkey")))
         cands = (by_bind.unionByName(by_param).join(t.select("pid", "seen"), "pid")
                  .filter(~F.array_contains("seen", F.col("pkey"))))
         best = cands.groupBy("pid").agg(F.min_by(
-            F.struct("prio", "r_type", "r_key", "used", "p_slot", "p_kind", "pkey"), F.col("prio")).alias("c")
+            F.struct("prio", "r_type", "r_key", "used", "p_slot", "p_kind", "pkey"),
+            # of an entry and its whole dict the one bound later counts, the entry if both are one statement
+            F.struct(F.floor(F.col("prio") / 10), -F.col("hit_pos"), F.col("prio"))).alias("c")
         ).select("pid", "c.*")
         chosen = cut(t.join(best, "pid", "left"))
         is_sub = F.col("kind") == "sub"

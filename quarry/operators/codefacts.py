@@ -14,20 +14,24 @@ Fact kinds (column ``fact``):
 ``bind``   one row per part of an assigned value; dict literals also bind
            each constant key (``key``); ``self.x = ...`` binds in the class
 ``param``  function parameters with their position
-``def``    functions, classes and simple-name assignment targets
+``def``    functions, classes (``detail`` is ``bases`` if a class has any) and simple-name assignment targets
 ``import`` one row per imported alias
 ``error``  the source could not be parsed (no other rows for it)
 
 A part is ``lit`` (a literal; ``value`` is the raw text of a string or the
 JSON of any other literal, ``text`` is what ``str()`` would give), ``ref`` (a
 plain name), ``sub`` (``name[<constant>]``), ``attr`` (``self.x``) or ``expr``
-(anything else; ``value`` is its source text).
+(anything else; ``value`` is its source text).  Every other way to bind a name
+(loops, ``with``, ``except``, imports, definitions, unpacking, ``del``, ``global``)
+is a ``bind`` of kind ``expr``: what refers to it stays a symbol.  ``home`` is the
+scope whose variable a reference names, by Python's rules.
 """
 
 from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,9 +76,27 @@ FACT_SCHEMA = T.StructType([
     T.StructField("src", T.StringType(), True),
     T.StructField("module", T.StringType(), True),
     T.StructField("detail", T.StringType(), True),
+    T.StructField("home", T.StringType(), True),
 ])
 _COLS = [f.name for f in FACT_SCHEMA.fields]
-_POS_SCALE = 1_000_000
+
+
+def _at(line: int, col: int) -> int:
+    """A position that orders like (line, column) for lines of any length."""
+    return (line << 32) | col
+
+
+def _canonical(v):
+    """A literal as JSON that keeps types apart: dict entries sorted, tuples, sets and other keys than text tagged."""
+    if isinstance(v, dict):
+        items = [(_canonical(k), _canonical(x)) for k, x in v.items()]
+        if all(isinstance(k, str) for k in v):
+            return dict(sorted(items))
+        return {"!dict": sorted(items, key=lambda e: json.dumps(e[0]))}
+    if isinstance(v, (tuple, set, frozenset)):
+        items = [_canonical(x) for x in v]
+        return {"!tuple": items} if isinstance(v, tuple) else {"!set": sorted(items, key=json.dumps)}
+    return [_canonical(x) for x in v] if isinstance(v, list) else v
 
 
 def _lit_kind(v) -> str | None:
@@ -107,8 +129,8 @@ def _literal(node: ast.AST):
     if kind == "str":
         return kind, v, v
     try:
-        return kind, json.dumps(v, ensure_ascii=False), str(v)
-    except (TypeError, ValueError):
+        return kind, json.dumps(_canonical(v), ensure_ascii=False), str(v)
+    except (TypeError, ValueError, RecursionError):
         return None
 
 
@@ -116,11 +138,15 @@ class _Parts:
     """Splits an expression into parts; shared by arguments and bound values."""
 
     def __init__(self, source: str):
-        self.source = source
+        # the parser's columns are UTF-8 bytes of lines that end with \n, \r\n or \r
+        self.lines = [x.encode() for x in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", source)]
 
     def text_of(self, node: ast.AST) -> str:
-        seg = ast.get_source_segment(self.source, node)
-        return seg if seg is not None else ast.unparse(node)
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            return self.lines[first][node.col_offset:node.end_col_offset].decode()
+        return b"".join([self.lines[first][node.col_offset:], *self.lines[first + 1:last],
+                         self.lines[last][:node.end_col_offset]]).decode()
 
     def leaf(self, node: ast.AST) -> dict:
         lit = _literal(node)
@@ -155,15 +181,13 @@ class _Parts:
                     parts.append({"kind": "expr", "value": self.text_of(v)})
             return "fstring", parts
         if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and _literal(node) is None:
-            items: list[ast.AST] = []
-
-            def flat(n):
+            items, todo = [], [node]
+            while todo:
+                n = todo.pop()
                 if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Add):
-                    flat(n.left)
-                    flat(n.right)
+                    todo += [n.right, n.left]
                 else:
                     items.append(n)
-            flat(node)
             parts = []
             for it in items:
                 if isinstance(it, ast.JoinedStr):
@@ -209,7 +233,12 @@ def _receiver(func: ast.Attribute) -> tuple[str, str, bool, int]:
     return text, root, is_call, depth
 
 
-class _Walker(ast.NodeVisitor):
+class _Walker:
+    """Walks a tree in order with a stack of its own, so nesting of any depth that parses is walked.
+
+    A ``visit_*`` method is a generator of the nodes to walk below its node.
+    """
+
     def __init__(self, source: str, sid: int, sord: int):
         self.sid, self.sord = sid, sord
         self.parts = _Parts(source)
@@ -217,7 +246,42 @@ class _Walker(ast.NodeVisitor):
         self.scopes = [MODULE]
         self.classes: list[str | None] = [None]
         self.arms: list[str] = []
+        self.class_scopes: set[str] = set()
         self.calls = 0
+        self.bound: dict[str, set[str]] = {}          # names that a scope binds
+        self.globals: set[str] = set()                # names that functions rebind at module level
+        self.declared: list[set[str]] = [set()]       # global and nonlocal names of the scopes being walked
+
+    def steps(self, node: ast.AST):
+        visit = getattr(self, f"visit_{type(node).__name__}", None)
+        return visit(node) if visit else ast.iter_child_nodes(node)
+
+    def walk(self, tree: ast.AST) -> None:
+        stack = [iter([tree])]
+        while stack:
+            node = next(stack[-1], None)
+            if node is None:
+                stack.pop()
+            else:
+                stack.append(iter(self.steps(node)))
+        self.settle()
+
+    def home(self, scope: str, name: str) -> str:
+        """The function scope whose variable a name is (MODULE if none): class bodies are not seen from inside."""
+        at = scope
+        while at != MODULE:
+            if name in self.bound.get(at, ()) and (at == scope or at not in self.class_scopes):
+                return at
+            at = at.rpartition(".")[0] or MODULE
+        return MODULE
+
+    def settle(self) -> None:
+        """Names of each reference's own scope, and bindings that no position can order made unknown."""
+        for row in self.rows:
+            if row["fact"] in ("arg", "bind") and row.get("kind") in ("ref", "sub") and not str(row["value"]).startswith("self."):
+                row["home"] = self.home(row.get("qual") or row["scope"] if row["fact"] == "bind" else row["scope"], row["value"])
+            if row["fact"] == "bind" and row["scope"] == MODULE and row["name"] in self.globals:
+                row.update(kind="expr", value="<global>", home=None, lit_kind=None, text=None, key=None)
 
     # ---------------------------------------------------------------- emit
     def emit(self, fact: str, node: ast.AST | None = None, **kw) -> None:
@@ -225,10 +289,10 @@ class _Walker(ast.NodeVisitor):
                "cls": self.classes[-1]}
         if node is not None and hasattr(node, "lineno"):
             row["line"] = node.lineno
-            row["pos"] = node.lineno * _POS_SCALE + node.col_offset
+            row["pos"] = _at(node.lineno, node.col_offset)
             if fact == "bind" and getattr(node, "end_lineno", None) is not None:
                 # a binding takes effect when its statement ends: `x = f(x)` reads the previous x
-                row["end_pos"] = node.end_lineno * _POS_SCALE + node.end_col_offset
+                row["end_pos"] = _at(node.end_lineno, node.end_col_offset)
         row.update(kw)
         self.rows.append(row)
 
@@ -246,65 +310,78 @@ class _Walker(ast.NodeVisitor):
                 "in_orelse": "orelse" in self.arms}
 
     # ---------------------------------------------------------------- scopes
-    def _function(self, node) -> None:
-        for d in node.decorator_list:
-            self.visit(d)
+    def _inside(self, qual: str, cls: str | None, body: list[ast.stmt]):
+        self.scopes.append(qual)
+        self.classes.append(cls)
+        self.declared.append(set())
+        saved, self.arms = self.arms, []
+        yield from body
+        self.arms = saved
+        self.declared.pop()
+        self.classes.pop()
+        self.scopes.pop()
+
+    def _named(self, node, kind: str, detail: str | None = None) -> str:
         parent = self.scopes[-1]
         qual = node.name if parent == MODULE else f"{parent}.{node.name}"
-        self.emit("def", node, name=node.name, qual=qual, kind="function")
+        self.emit("def", node, name=node.name, qual=qual, kind=kind, detail=detail)
+        self.unknown(node, node.name, "<def>")
+        return qual
+
+    def _function(self, node):
+        yield from node.decorator_list
+        parent = self.scopes[-1]
+        qual = self._named(node, "function")
         a = node.args
         positional = list(a.posonlyargs) + list(a.args)
+        names = self.bound.setdefault(qual, set())
         for i, arg in enumerate(positional):
             self.emit("param", node, scope=qual, name=arg.arg, slot=str(i), slot_kind="pos")
         for arg in a.kwonlyargs:
             self.emit("param", node, scope=qual, name=arg.arg, slot=None, slot_kind="kw")
-        for dflt in list(a.defaults) + [d for d in a.kw_defaults if d is not None]:
-            self.visit(dflt)
-        self.scopes.append(qual)
-        self.classes.append(self.classes[-1] if parent != MODULE and self.classes[-1] == parent else None)
-        saved, self.arms = self.arms, []
-        for stmt in node.body:
-            self.visit(stmt)
-        self.arms = saved
-        self.classes.pop()
-        self.scopes.pop()
+        names.update(x.arg for x in [*positional, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))])
+        yield from [*a.defaults, *[d for d in a.kw_defaults if d is not None]]
+        yield from self._inside(qual, self.classes[-1] if parent != MODULE and self.classes[-1] == parent else None, node.body)
 
     visit_FunctionDef = _function
     visit_AsyncFunctionDef = _function
 
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        for d in node.decorator_list:
-            self.visit(d)
-        for b in node.bases:
-            self.visit(b)
-        parent = self.scopes[-1]
-        qual = node.name if parent == MODULE else f"{parent}.{node.name}"
-        self.emit("def", node, name=node.name, qual=qual, kind="class")
-        self.scopes.append(qual)
-        self.classes.append(qual)
-        saved, self.arms = self.arms, []
-        for stmt in node.body:
-            self.visit(stmt)
-        self.arms = saved
-        self.classes.pop()
-        self.scopes.pop()
+    def visit_ClassDef(self, node: ast.ClassDef):
+        yield from [*node.decorator_list, *node.bases]
+        qual = self._named(node, "class", "bases" if node.bases else None)
+        self.class_scopes.add(qual)
+        yield from self._inside(qual, qual, node.body)
 
-    def visit_If(self, node: ast.If) -> None:
-        self.visit(node.test)
+    def visit_If(self, node: ast.If):
+        yield node.test
         for arm, body in (("body", node.body), ("orelse", node.orelse)):
             self.arms.append(arm)
-            for stmt in body:
-                self.visit(stmt)
+            yield from body
             self.arms.pop()
 
     # ---------------------------------------------------------------- bindings
+    def unknown(self, node: ast.AST, name: str, why: str, slot: str | None = None) -> None:
+        """A binding whose value is not known: references after it stay symbols."""
+        if name in self.declared[-1]:
+            self.globals.add(name)
+        else:
+            self.bound.setdefault(self.scopes[-1], set()).add(name)
+        self.emit("bind", node, name=name, slot=slot, part=0, fmt="plain", kind="expr", value=why, src=why)
+
+    def targets(self, node: ast.AST, target: ast.AST, why: str) -> None:
+        """Unknown bindings of every name in a target, nested ones included."""
+        for x in ast.walk(target):
+            if isinstance(x, ast.Name) and isinstance(x.ctx, (ast.Store, ast.Del)):
+                self.unknown(node, x.id, why)
+
     def _bind_target(self, node: ast.AST, target: ast.AST, value: ast.AST | None, simple_def: bool) -> None:
         if isinstance(target, ast.Name):
             if simple_def:
                 self.emit("def", node, name=target.id, qual=None, kind="assign")
-            if value is None:
-                self.emit("bind", node, name=target.id, part=0, fmt="plain", kind="expr", value="<augmented>")
+            if value is None or target.id in self.declared[-1]:
+                self.unknown(node, target.id, "<augmented>" if value is None else "<global>")
                 return
+            self.bound.setdefault(self.scopes[-1], set()).add(target.id)
             self.emit_value("bind", node, value, name=target.id)
             if isinstance(value, ast.Dict):
                 for k, v in zip(value.keys, value.values):
@@ -314,26 +391,90 @@ class _Walker(ast.NodeVisitor):
                     key = json.dumps(lit[1]) if lit[0] == "str" else lit[1]
                     self.emit_value("bind", node, v, name=target.id, slot=key)
         elif (isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name)
-              and target.value.id == "self" and self.classes[-1] is not None and value is not None):
-            self.emit_value("bind", node, value, name=f"self.{target.attr}", scope=self.classes[-1],
-                            qual=self.scopes[-1])
+              and target.value.id == "self" and self.classes[-1] is not None):
+            if value is None:
+                self.emit("bind", node, name=f"self.{target.attr}", scope=self.classes[-1], qual=self.scopes[-1], part=0,
+                          fmt="plain", kind="expr", value="<augmented>", src="<augmented>")
+            else:
+                self.emit_value("bind", node, value, name=f"self.{target.attr}", scope=self.classes[-1], qual=self.scopes[-1])
+        elif isinstance(target, ast.Subscript) and isinstance(target.value, ast.Name):
+            lit = _literal(target.slice)
+            if lit is None or value is None:          # any entry may have changed
+                self.unknown(node, target.value.id, "<entry>")
+            else:
+                key = json.dumps(lit[1]) if lit[0] == "str" else lit[1]
+                self.emit_value("bind", node, value, name=target.value.id, slot=key)
+        else:
+            self.targets(node, target, "<unpacked>")
 
-    def visit_Assign(self, node: ast.Assign) -> None:
-        self.visit(node.value)
+    def visit_Assign(self, node: ast.Assign):
+        yield node.value
         for t in node.targets:
             self._bind_target(node, t, node.value, simple_def=True)
             if not isinstance(t, ast.Name):
-                self.visit(t)
+                yield t
 
-    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+    def visit_AnnAssign(self, node: ast.AnnAssign):
         if node.value is not None:
-            self.visit(node.value)
+            yield node.value
             self._bind_target(node, node.target, node.value, simple_def=False)
 
-    def visit_AugAssign(self, node: ast.AugAssign) -> None:
-        self.visit(node.value)
+    def visit_AugAssign(self, node: ast.AugAssign):
+        yield node.value
         self._bind_target(node, node.target, None, simple_def=False)
 
+    def visit_NamedExpr(self, node: ast.NamedExpr):
+        yield node.value
+        self.targets(node, node.target, "<walrus>")
+
+    def _loop(self, node):
+        yield node.iter
+        self.targets(node.target, node.target, "<loop>")
+        yield node.target
+        yield from [*node.body, *node.orelse]
+
+    visit_For = _loop
+    visit_AsyncFor = _loop
+
+    def visit_withitem(self, node: ast.withitem):
+        yield node.context_expr
+        if node.optional_vars is not None:
+            self.targets(node.optional_vars, node.optional_vars, "<with>")
+
+    def visit_ExceptHandler(self, node: ast.ExceptHandler):
+        if node.type is not None:
+            yield node.type
+        if node.name:
+            start = node.body[0]
+            self.unknown(start, node.name, "<except>")
+            self.rows[-1]["end_pos"] = self.rows[-1]["pos"]
+        yield from node.body
+
+    def visit_Delete(self, node: ast.Delete):
+        for t in node.targets:
+            self.targets(node, t, "<deleted>")
+            yield t
+
+    def _declare(self, node):
+        self.declared[-1].update(node.names)
+        if isinstance(node, ast.Nonlocal):
+            self.globals.update(node.names)
+        yield from ()
+
+    visit_Global = _declare
+    visit_Nonlocal = _declare
+
+    def visit_Match(self, node):
+        yield node.subject
+        for case in node.cases:
+            for x in ast.walk(case.pattern):
+                name = getattr(x, "name", None) or getattr(x, "rest", None)
+                if isinstance(name, str):
+                    self.unknown(case.body[0], name, "<match>")
+            if case.guard is not None:
+                yield case.guard
+            yield from case.body
+
     def _import(self, node) -> None:
         base = getattr(node, "module", None)
         for alias in node.names:
@@ -346,12 +487,14 @@ class _Walker(ast.NodeVisitor):
                 module = f"{'.' * node.level}{base or ''}"
                 target = f"{module}.{alias.name}" if module else alias.name
             self.emit("import", node, name=bound, qual=target, module=module)
+            self.unknown(node, bound, "<import>")
+        yield from ()
 
     visit_Import = _import
     visit_ImportFrom = _import
 
     # ---------------------------------------------------------------- calls
-    def visit_Call(self, node: ast.Call) -> None:
+    def visit_Call(self, node: ast.Call):
         func = node.func
         info = None
         if isinstance(func, ast.Name):
@@ -377,19 +520,19 @@ class _Walker(ast.NodeVisitor):
                               kind="expr", value=self.parts.text_of(kw.value), src=self.parts.text_of(kw.value))
                 else:
                     self.emit_value("arg", node, kw.value, call_ord=ordinal, slot=kw.arg, slot_kind="kw")
-        self.generic_visit(node)
+        yield from ast.iter_child_nodes(node)
 
 
 def parse_source(source: str, script_id: int, script_ord: int) -> list[dict]:
     """Fact rows of one script; a script that does not parse gives one error row."""
     try:
         tree = ast.parse(source)
-        walker = _Walker(source, script_id, script_ord)
-        walker.visit(tree)
-        return walker.rows
     except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
         return [{"script_id": script_id, "script_ord": script_ord, "fact": "error", "scope": MODULE,
                  "detail": f"{type(exc).__name__}: {exc}"}]
+    walker = _Walker(source, script_id, script_ord)
+    walker.walk(tree)
+    return walker.rows
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -406,18 +549,14 @@ def normalize_sources(scripts: DataFrame) -> DataFrame:
     return scripts.withColumn("normalized", dedent_text(expand_tabs("source")))
 
 
-def extract_facts(scripts: DataFrame, min_tasks: int | None = None) -> DataFrame:
+def extract_facts(scripts: DataFrame, tasks: int | None = None) -> DataFrame:
     """``scripts(script_id, script_ord, source)`` -> fact rows (see module doc).
 
-    Parsing is CPU work per script; when the corpus arrives in fewer input
-    splits than ``min_tasks`` (default: the shuffle partition count) it is
-    spread round-robin first, otherwise the input splits are used as they are.
+    The input splits are parsed as they are; ``tasks`` deals the scripts out to that many first.
     """
-    spark = scripts.sparkSession
-    ship_package(spark)
-    want = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if scripts.rdd.getNumPartitions() < want:
-        scripts = scripts.repartition(want)
+    ship_package(scripts.sparkSession)
+    if tasks:
+        scripts = scripts.repartition(tasks)
     norm = normalize_sources(scripts).select("script_id", "script_ord", "normalized")
     return norm.mapInPandas(_parse_batches, FACT_SCHEMA)
 

@@ -53,16 +53,24 @@ def extract_calls(scripts: DataFrame, targets: DataFrame, reachable_only: bool =
     """The call rows the reference's extractor returns, de-duplicated, in script then call order."""
     inv = call_inventory(scripts, targets)
     rows = apply_policies(inv.calls, reachable_only, branches, drop_chained_load)
-    return C.dedup_calls(rows) if dedup else rows
+    return (C.dedup_calls(rows) if dedup else rows).orderBy("script_ord", "call_ord", "alt")
+
+
+# The keyword that names what a sink or source call works on.
+TARGET_KEYWORDS = {"source": "path", "sink": "name"}
 
 
 def io_inventory(scripts: DataFrame, sources=("load",), sinks=("saveAsTable",)) -> DataFrame:
-    """Which paths are read and which tables are written, per script."""
+    """Which paths are read and which tables are written; equal calls count once (A5).
+
+    The target is the first positional argument or the keyword of ``TARGET_KEYWORDS``; a call with
+    neither is listed with a null target.
+    """
     spark = scripts.sparkSession
-    names = [(n, "source") for n in sources] + [(n, "sink") for n in sinks]
-    targets = spark.createDataFrame(names, "function string, direction string")
-    rows = apply_policies(call_inventory(scripts, targets.select("function")).calls)
-    first = F.coalesce(F.col("args")[0], F.col("kwargs")["path"])
+    names = [(n, "source", TARGET_KEYWORDS["source"]) for n in sources] + [(n, "sink", TARGET_KEYWORDS["sink"]) for n in sinks]
+    targets = spark.createDataFrame(names, "function string, direction string, keyword string")
+    rows = C.dedup_calls(apply_policies(call_inventory(scripts, targets.select("function")).calls))
+    first = F.coalesce(F.get("args", F.lit(0)), F.try_element_at("kwargs", F.col("keyword")))
     return rows.join(F.broadcast(targets), "function").select(
         "script_id", "line", "function", "direction", "caller",
         first["kind"].alias("kind"), first["value"].alias("target"))

@@ -1,81 +1,46 @@
-"""Hand-written programs for the extractor tests (our own wording).
+"""Small programs for the extractor tests, one feature each."""
 
-``WAREHOUSE_JOB`` is an ETL-style program: a config dict chosen at module
-level in three branch arms, a job class that keeps the config on ``self``,
-three reads through ``self.cfg[...]`` and a writer method that names its table
-with an f-string of two parameters, called twice.
-"""
+# Paths reach load() through a constructor argument, an attribute and a dict entry.
+ATTRIBUTE_PATHS = '''
+class Feed:
+    def __init__(self, engine, places):
+        self.engine = engine
+        self.places = places
 
-WAREHOUSE_JOB = '''
-import json
-from pyspark.sql import SparkSession
+    def north(self):
+        return self.engine.open().load(self.places["n"])
 
+    def south(self):
+        return self.engine.open().load(self.places["s"])
 
-class TableWriter:
-    def __init__(self, session):
-        self.session = session
-        self.count = 0
 
-    def publish(self, frame, schema, name, location, mode="append"):
-        frame.write.format("parquet").mode(mode).option("path", location).saveAsTable(f"{schema}.{name}")
-        self.count += 1
-
-
-class NightlyJob:
-    def __init__(self, session, cfg):
-        self.session = session
-        self.cfg = cfg
-        self.out = TableWriter(session)
-
-    def orders(self):
-        return self.session.read.format("parquet").load(self.cfg["orders_in"])
-
-    def items(self):
-        return self.session.read.format("parquet").load(self.cfg["items_in"])
-
-    def prices(self):
-        return self.session.read.format("parquet").load(self.cfg["prices_in"])
-
-    def run(self):
-        a = self.orders()
-        b = self.items()
-        c = self.prices()
-        joined = a.join(b, "id").join(c, "sku")
-        self.out.publish(joined, self.cfg["schema"], self.cfg["wide_table"], self.cfg["wide_path"])
-        self.out.publish(joined, self.cfg["schema"], self.cfg["summary_table"], self.cfg["summary_path"])
-        return joined
+where = {"n": "mem://north", "s": "mem://south"}
+feed = Feed(make_engine(), where)
+feed.north()
+feed.south()
+'''
 
+# A table name is put together from two parameters of a function called twice.
+NAMED_TABLES = '''
+def store(rows, area, label):
+    rows.saveAsTable(f"{area}.{label}")
 
-if __name__ == "__main__":
-    settings = {
-        "orders_in": "s3a://shop/raw/orders/",
-        "items_in": "s3a://shop/raw/items/",
-        "prices_in": "s3a://shop/raw/prices/",
-        "wide_path": "s3a://shop/out/wide/",
-        "summary_path": "s3a://shop/out/summary/",
-        "schema": "shop_dw",
-        "wide_table": "orders_wide",
-        "summary_table": "orders_summary",
-    }
-    spark = SparkSession.builder.getOrCreate()
-    NightlyJob(spark, settings).run()
-elif 3 > 1:
-    settings = {
-        "orders_in": "s3a://shop/raw/orders/",
-        "items_in": "s3a://shop/raw/items/",
-        "prices_in": "s3a://shop/raw/prices/",
-        "wide_path": "s3a://shop/out/wide/",
-        "summary_path": "s3a://shop/out/summary/",
-        "schema": "shop_dw",
-        "wide_table": "orders_wide",
-        "summary_table": "orders_summary",
-    }
-    spark = SparkSession.builder.getOrCreate()
-    NightlyJob(spark, settings).run()
+store(a, "lab", "trials")
+store(b, label="scores", area="lab")
 '''
 
-# the same job whose table name uses a name that is never defined
-BROKEN_NAME_JOB = WAREHOUSE_JOB.replace('f"{schema}.{name}"', 'f"{schema}.{missing}"')
+# The same with a name that nothing defines.
+UNDEFINED_PART = NAMED_TABLES.replace("{label}", "{missing}")
+
+# The same call in three arms.
+THREE_ARMS = '''
+if mode == 1:
+    load("mem://same")
+elif mode == 2:
+    load("mem://same")
+else:
+    load("mem://same")
+'''
 
-# a function that is defined but never called, plus one top-level call
+# A function that is defined but never called, plus one top-level call.
 UNCALLED = ["def helper(v): emit(v); emit(7)", "emit('hello')"]

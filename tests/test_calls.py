@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quarry.operators.calls import dedup_calls, render_args, render_kwargs
 from quarry.plans.calls import apply_policies, call_inventory, extract_calls, io_inventory
 from quarry.sources.scripts import targets_frame
-from scripts_fixture import BROKEN_NAME_JOB, UNCALLED, WAREHOUSE_JOB
+from scripts_fixture import ATTRIBUTE_PATHS, NAMED_TABLES, THREE_ARMS, UNCALLED, UNDEFINED_PART
 
 
 def corpus(spark, sources):
@@ -19,25 +19,20 @@ def shown(df):
                   df.select("function", "caller", render_args().alias("a"), render_kwargs().alias("k")).collect())
 
 
-def test_reads_resolved_through_self_config(spark):
-    rows = extract_calls(corpus(spark, [WAREHOUSE_JOB]), targets_frame(spark, ["load"]))
-    assert shown(rows) == [
-        ("load", "self.session.read.format()", '["s3a://shop/raw/items/"]', "{}"),
-        ("load", "self.session.read.format()", '["s3a://shop/raw/orders/"]', "{}"),
-        ("load", "self.session.read.format()", '["s3a://shop/raw/prices/"]', "{}"),
-    ]
+def test_reads_resolved_through_attributes(spark):
+    rows = extract_calls(corpus(spark, [ATTRIBUTE_PATHS]), targets_frame(spark, ["load"]))
+    assert shown(rows) == [("load", "self.engine.open()", '["mem://north"]', "{}"), ("load", "self.engine.open()", '["mem://south"]', "{}")]
 
 
 def test_table_names_from_fstring_of_parameters(spark):
-    rows = extract_calls(corpus(spark, [WAREHOUSE_JOB]), targets_frame(spark, ["saveAsTable"]))
-    assert [a for _, _, a, _ in shown(rows)] == ['["shop_dw.orders_summary"]', '["shop_dw.orders_wide"]']
+    rows = extract_calls(corpus(spark, [NAMED_TABLES]), targets_frame(spark, ["saveAsTable"]))
+    assert [a for _, _, a, _ in shown(rows)] == ['["lab.scores"]', '["lab.trials"]']
 
 
 def test_undefined_name_in_fstring_is_partial(spark):
-    rows = extract_calls(corpus(spark, [BROKEN_NAME_JOB]), targets_frame(spark, ["saveAsTable"]),
-                         branches="taken")
+    rows = extract_calls(corpus(spark, [UNDEFINED_PART]), targets_frame(spark, ["saveAsTable"]), branches="taken")
     got = rows.select(F.col("args")[0].alias("v")).collect()
-    assert [(r.v.kind, r.v.value) for r in got] == [("partial", "shop_dw.")]
+    assert [(r.v.kind, r.v.value) for r in got] == [("partial", "lab.")]
 
 
 def test_uncalled_function_not_recorded(spark):
@@ -78,11 +73,10 @@ def test_recursion_terminates(spark):
 
 
 def test_io_inventory_directions(spark):
-    out = io_inventory(corpus(spark, [WAREHOUSE_JOB])).select("direction", "target").distinct().collect()
-    got = sorted((r.direction, r.target) for r in out)
-    assert got == [("sink", "shop_dw.orders_summary"), ("sink", "shop_dw.orders_wide"),
-                   ("source", "s3a://shop/raw/items/"), ("source", "s3a://shop/raw/orders/"),
-                   ("source", "s3a://shop/raw/prices/")]
+    sources = [ATTRIBUTE_PATHS, NAMED_TABLES, THREE_ARMS, "load(path='mem://k')\nx.saveAsTable(name='t')\nload()\nload(fmt=1)\n"]
+    got = sorted(((r.direction, r.target) for r in io_inventory(corpus(spark, sources)).collect()), key=repr)
+    assert got == sorted([("sink", "lab.scores"), ("sink", "lab.trials"), ("sink", "t"), ("source", "mem://k"), ("source", "mem://north"),
+                          ("source", "mem://same"), ("source", "mem://south"), ("source", None), ("source", None)], key=repr)
 
 
 def test_quarantine_and_policies_on_templates(spark):
@@ -100,3 +94,60 @@ def test_rebinding_reads_previous_value(spark):
     src = ["base = 's3a://b'\nbase = base + '/raw'\nname = f'{base}/t'\nload(name)\nbase = 'later'\n"]
     rows = extract_calls(corpus(spark, src), targets_frame(spark, ["load"]))
     assert shown(rows) == [("load", "direct_call", '["s3a://b/raw/t"]', "{}")]
+
+
+# Sources whose load(p) must not be reported with a literal that it does not get.
+UNKNOWN_VALUE = [
+    "p='stale'\nfor p in ['a']:\n    load(p)\n",
+    "p='stale'\np, q = 'a', 'b'\nload(p)\n",
+    "p='stale'\nwith o() as p:\n    load(p)\n",
+    "p='stale'\ntry:\n    o()\nexcept E as p:\n    load(p)\n",
+    "p='stale'\nimport p\nload(p)\n",
+    "p='stale'\ndef p(): pass\nload(p)\n",
+    "p='stale'\ndel p\nload(p)\n",
+    "p='stale'\nif (p := o()):\n    load(p)\n",
+    "p='one'\ndef f():\n    global p\n    p='two'\nf()\nload(p)\n",
+    "p='one'\ndef f():\n    load(p)\nf()\np='two'\n",
+    "p='one'\ndef outer():\n    p=o()\n    def inner():\n        load(p)\n    inner()\nouter()\n",
+    "cfg={'k':'old'}\ncfg[o()]='new'\nload(cfg['k'])\n",
+    "cfg={'k':'old'}\ncfg=o()\nload(cfg['k'])\n",
+]
+
+
+def test_never_a_wrong_literal(spark):
+    rows = call_inventory(corpus(spark, UNKNOWN_VALUE), targets_frame(spark, ["load"])).calls
+    got = {r.script_id: r.v.kind for r in rows.select("script_id", F.col("args")[0].alias("v")).collect()}
+    assert got == dict.fromkeys(range(len(UNKNOWN_VALUE)), "symbol")
+
+
+def test_entries_follow_their_latest_binding(spark):
+    rows = extract_calls(corpus(spark, ["cfg={'k':'old','j':'x'}\ncfg['k']='new'\nload(cfg['k'])\nload(cfg['j'])\ncfg={'k':'late'}\nload(cfg['k'])\n"]),
+                         targets_frame(spark, ["load"]))
+    assert [a for _, _, a, _ in shown(rows)] == ['["late"]', '["new"]', '["x"]']
+
+
+# Sources whose load() runs.
+LIVE = [
+    "class K:\n    load('a')\n",
+    "class B:\n    def m(self): load('a')\nclass K(B):\n    def go(self): self.m()\nK().go()\n",
+    "class B:\n    def __init__(self): load('a')\nclass J(B):\n    pass\nJ()\n",
+    "def f():\n    def a(): load('a')\n    def b(): a()\n    b()\nf()\n",
+    "def h(): load('a')\nk = h\nk()\n",
+    "def h(): load('a')\nrun(h)\n",
+]
+
+
+def test_live_calls_stay(spark):
+    rows = extract_calls(corpus(spark, LIVE), targets_frame(spark, ["load"]), dedup=False)
+    assert {r.script_id for r in rows.collect()} == set(range(len(LIVE)))
+
+
+def test_literals_keep_their_types_and_not_their_order(spark):
+    src = "load({'a':1,'b':2})\nload({'b':2,'a':1})\nload({1:'x'})\nload({'1':'x'})\nload((1,2))\nload([1,2])\n"
+    rows = extract_calls(corpus(spark, [src]), targets_frame(spark, ["load"]))
+    assert [r.line for r in rows.collect()] == [1, 3, 4, 5, 6]          # also the final order
+
+
+def test_order_of_the_result(spark):
+    rows = extract_calls(corpus(spark, ["load(2)\nload(1)\n", "load(0)\n"]), targets_frame(spark, ["load"]))
+    assert [(r.script_id, r.line) for r in rows.collect()] == [(0, 1), (0, 2), (1, 1)]
