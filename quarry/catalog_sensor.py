@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from dataclasses import replace
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ from quarry.functions.numeric import round_double
 from quarry.operators import sensor as ops
 from quarry.operators.rank import rank_within
 from quarry.operators.sinks import clone_table, write_table
-from quarry.plans.sensor import SensorJobConfig, run_sensor_job, sensor_pipeline
+from quarry.operators.report import metrics_json
+from quarry.plans.sensor import SensorJobConfig, run_sensor_job, sensor_pipeline, write_report
 from quarry.session import scratch_path
 from quarry.sources import fixtures as fx
 
@@ -35,7 +39,7 @@ def _valid(spark, sf):
 
 def _joined(spark, sf):
     r, m, l = fx.sensor_inputs(spark, sf)
-    return ops.join_datasets(ops.transform_readings(r), m, l)
+    return ops.calibrated_readings(ops.transform_readings(r), m, l)
 
 
 def q_sensor_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +85,7 @@ def q_reading_rank_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sensor_aggregated(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.aggregate_by_location(_joined(spark, sf)))
+    return _rounded(ops.location_summary(_joined(spark, sf)))
 
 
 def q_sensor_detailed(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +95,7 @@ def q_sensor_detailed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str):
-    """The whole job as the reference runs it: three Parquet inputs read with declared schemas
+    """The whole job: three Parquet inputs read with declared schemas
     (S1-S3; here written first from the shared tables), two table sinks and the report."""
     base = scratch_path(spark, "sensor-run")
     cfg = SensorJobConfig(
@@ -103,16 +107,44 @@ def _run(spark: SparkSession, sf: str):
     r.write.parquet(cfg.sensor_data_path)
     m.write.parquet(cfg.metadata_path)
     l.write.parquet(cfg.lookup_path)
-    return run_sensor_job(spark, cfg, as_of=AS_OF)
+    return run_sensor_job(spark, cfg, as_of=AS_OF), cfg
+
+
+def q_lookup_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.calibration_lookup(spark, sf)
+
+
+def q_detailed_readback(spark: SparkSession, sf: str) -> DataFrame:
+    """The detailed table of a whole run, read by its name."""
+    _, cfg = _run(spark, sf)
+    return _rounded(spark.table(f"{cfg.database}.{cfg.detailed_table}"))
+
+
+def q_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's metrics as JSON, read back from the JSON text."""
+    text = metrics_json(_run(spark, sf)[0].report)
+    return text.select(F.explode(F.from_json("metrics", "map<string,bigint>")).alias("metric", "value"))
+
+
+def q_report_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Report table after a run and a run whose input is missing: the second leaves an error row."""
+    run, cfg = _run(spark, sf)
+    name, path = f"report_{cfg.detailed_table}", f"{cfg.detailed_output_path}-report"
+    write_report(run.report, cfg.database, name, path)
+    try:
+        run_sensor_job(spark, replace(cfg, sensor_data_path=f"{cfg.sensor_data_path}-missing"), as_of=AS_OF)
+    except AnalysisException as failed:
+        write_report(failed.run_report, cfg.database, name, path)
+    return spark.table(f"{cfg.database}.{name}").select("stage", "metric", "value", F.col("error").isNotNull().alias("failed"))
 
 
 def q_table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    run = _run(spark, sf)
+    run, _ = _run(spark, sf)
     return _rounded(run.aggregated)
 
 
 def q_run_report(spark: SparkSession, sf: str) -> DataFrame:
-    run = _run(spark, sf)
+    run, _ = _run(spark, sf)
     return run.report.select("stage", "metric", "value")
 
 
@@ -154,6 +186,10 @@ QUERIES = {
     "run_report": q_run_report,
     "table_clone": q_table_clone,
     "stream_calibrated": q_stream_calibrated,
+    "lookup_scan": q_lookup_scan,
+    "detailed_readback": q_detailed_readback,
+    "metrics_json": q_metrics_json,
+    "report_table": q_report_table,
 }
 
 # --------------------------------------------------------------------------- oracle
@@ -213,3 +249,10 @@ ORACLE = {
     "table_clone": fx.SQL_METADATA,
 }
 ORACLE["stream_calibrated"] = ORACLE["calibrated"]
+ORACLE["lookup_scan"] = fx.SQL_LOOKUP
+ORACLE["detailed_readback"] = ORACLE["sensor_detailed"]
+ORACLE["report_table"] = (f"SELECT *, false AS failed FROM ({ORACLE['run_report']}) "
+                          "UNION ALL SELECT 'read', NULL, NULL, true")
+# of a metric that several stages give the last counts
+ORACLE["metrics_json"] = (f"SELECT metric, max(value) AS value FROM ({ORACLE['run_report']}) "
+                          "WHERE stage <> 'write:detailed' GROUP BY metric")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,6 @@ class RunLog:
 
     run_id: str
     rows: list[tuple] = field(default_factory=list)
-    observations: list[tuple[str, str, Observation]] = field(default_factory=list)
 
     def metric(self, stage: str, metric: str, value: int) -> None:
         self.rows.append((self.run_id, len(self.rows), stage, metric, int(value), None))
@@ -32,17 +31,6 @@ class RunLog:
     def error(self, stage: str, message: str) -> None:
         self.rows.append((self.run_id, len(self.rows), stage, None, None, message))
 
-    def observe(self, df: DataFrame, stage: str, metric: str) -> DataFrame:
-        """Count rows of ``df`` while a later action runs (no extra job)."""
-        obs = Observation(f"{self.run_id}:{metric}")
-        self.observations.append((stage, metric, obs))
-        return df.observe(obs, F.count(F.lit(1)).alias("n"))
-
-    def resolve_observations(self) -> None:
-        for stage, metric, obs in self.observations:
-            self.metric(stage, metric, obs.get["n"])
-        self.observations.clear()
-
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, REPORT_SCHEMA)
 
@@ -52,5 +40,5 @@ def metrics_json(report: DataFrame) -> DataFrame:
     m = (report.filter(F.col("metric").isNotNull())
          .groupBy("run_id", "metric").agg(F.max_by("value", "seq").alias("value")))
     return m.groupBy("run_id").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value"))), {"pretty": "true"}).alias("metrics")
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))), {"pretty": "true"}).alias("metrics")
     )

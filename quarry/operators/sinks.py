@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -18,7 +17,7 @@ def write_table(df: DataFrame, database: str | None, table: str, path: str, mode
     """Write ``df`` as Parquet at ``path`` and register it as ``database.table``.
 
     The explicit path makes the table EXTERNAL: dropping it keeps the files.
-    ``partition_by`` is off by default (the reference writes unpartitioned);
+    ``partition_by`` is off by default;
     pass e.g. ``["processing_date"]`` to get date-pruned reads.
     """
     spark = df.sparkSession
@@ -66,6 +65,3 @@ def parquet_rows(spark: SparkSession, path: str) -> int:
     """Exact row count of written Parquet files; reads footers only."""
     return spark.read.parquet(path).count()
 
-
-def lit_str(value: str | None):
-    return F.lit(value).cast("string")

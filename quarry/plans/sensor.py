@@ -18,6 +18,8 @@ from quarry.sources import sensor as src
 
 @dataclass
 class SensorJobConfig:
+    """Where a run reads and writes.  Fixed values: the names of the job's eight settings."""
+
     sensor_data_path: str
     metadata_path: str
     lookup_path: str
@@ -41,14 +43,11 @@ def sensor_pipeline(
     lookup: DataFrame,
     as_of: _dt.datetime | None = None,
     rank_strategy: str = "auto",
-    lookup_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(detailed, aggregated).  The aggregate is lazy and never sees the rank.
-    With the default skew-safe rank, building ``detailed`` runs one job that
-    materialises the joined rows (see ``quarry.operators.rank``)."""
+    """(detailed, aggregated), both lazy; the aggregate never sees the rank."""
     valid = ops.transform_readings(readings)
-    joined = ops.join_datasets(valid, metadata, lookup, lookup_rows=lookup_rows)
-    aggregated = ops.aggregate_by_location(joined)
+    joined = ops.calibrated_readings(valid, metadata, lookup)
+    aggregated = ops.location_summary(joined)
     detailed = ops.enrich_with_time(ops.rank_readings(joined, strategy=rank_strategy), as_of)
     return detailed.select(*ops.DETAILED_COLUMNS), aggregated
 
@@ -68,10 +67,8 @@ def run_sensor_job(
     aggregate, which reads back only ``location`` and ``calibrated_reading``
     of the written detailed table instead of recomputing the joins.  Input and
     output row counts come from Parquet footers (exact, no data read); the
-    count after the null filter (and input counts of DataFrame inputs) is
-    gathered by ``observe`` in the single job that materialises the joined
-    rows -- accumulator-based, so a retried stage could add to it.  A failure
-    is recorded in the report and re-raised.
+    count after the null filter scans one column.  A failure is recorded in the
+    report and re-raised.
     """
     log = RunLog(run_id or uuid.uuid4().hex[:12])
     stage = "read"
@@ -85,15 +82,15 @@ def run_sensor_job(
             log.metric("read", "metadata_records", parquet_rows(spark, cfg.metadata_path))
         else:
             readings, metadata, lookup = inputs
-            readings = log.observe(readings, "read", "sensor_records")
-            metadata = log.observe(metadata, "read", "metadata_records")
-        lookup_rows = lookup.count()
-        log.metric("read", "lookup_records", lookup_rows)
+            log.metric("read", "sensor_records", readings.count())
+            log.metric("read", "metadata_records", metadata.count())
+        log.metric("read", "lookup_records", lookup.count())
 
         stage = "transform"
-        valid = log.observe(ops.transform_readings(readings), "transform", "valid_sensor_records")
+        valid = ops.transform_readings(readings)
+        log.metric("transform", "valid_sensor_records", valid.count())
         stage = "join"
-        joined = ops.join_datasets(valid, metadata, lookup, lookup_rows=lookup_rows)
+        joined = ops.calibrated_readings(valid, metadata, lookup)
         stage = "window"
         detailed = ops.enrich_with_time(ops.rank_readings(joined, strategy=rank_strategy), as_of)
         detailed = detailed.select(*ops.DETAILED_COLUMNS)
@@ -101,14 +98,13 @@ def run_sensor_job(
         stage = "write"
         write_table(detailed, cfg.database, cfg.detailed_table, cfg.detailed_output_path,
                     partition_by=partition_by)
-        log.resolve_observations()
         written = parquet_rows(spark, cfg.detailed_output_path)
         log.metric("join", "joined_records", written)
         log.metric("write:detailed", "records_written", written)
         log.metric("write:detailed", "write_operations", 1)
 
         stored = spark.read.parquet(cfg.detailed_output_path)
-        aggregated = ops.aggregate_by_location(stored.select("location", "calibrated_reading"))
+        aggregated = ops.location_summary(stored.select("location", "calibrated_reading"))
         write_table(aggregated, cfg.database, cfg.aggregated_table, cfg.aggregated_output_path)
         groups = parquet_rows(spark, cfg.aggregated_output_path)
         log.metric("window", "locations_analyzed", groups)

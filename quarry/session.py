@@ -74,7 +74,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and scratch tables.
+    """Shared folder for checkpoints and scratch tables.
 
     Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the
     cluster sets one.  Only a local master may fall back to a fresh temporary
@@ -84,7 +84,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(_CHECKPOINT_KEY, None)
     if not current:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)"
             )
@@ -103,7 +103,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts lineage like ``checkpoint()`` but keeps column pruning, filter
+    Ends the plan like ``checkpoint()`` but keeps column pruning, filter
     pushdown and (with ``partition_by``) partition pruning for every consumer.
     """
     spark = df.sparkSession
@@ -114,10 +114,3 @@ def materialize(df, name: str, partition_by: list[str] | None = None):
     writer.parquet(path)
     return spark.read.parquet(path)
 
-
-def default_parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-
-
-def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
-    return os.environ.get("QUARRY_SF_DIR", default)

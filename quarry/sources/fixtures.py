@@ -3,10 +3,10 @@
 Sensor shapes (all derived by Spark from the tables, so they grow with them):
 
 * readings  <- ``events``: ``user_id`` as text, ``value``, epoch seconds of ``ts``;
-* metadata  <- ``customer`` accounts in good standing (``c_acctbal >= 0``), so
-  sensors of the others stay unmatched, joined to ``nation`` for the location;
-* lookup    <- a fixed calibration table for three of the five device types,
-  so readings of the other two keep a null calibration.
+* metadata  <- ``customer`` joined to ``nation`` for the location;
+* lookup    <- the distinct device types of ``customer`` with a factor of their name's length.
+
+Unmatched sensors and device types are left to pytest: the shared tables have none.
 """
 
 from __future__ import annotations
@@ -14,11 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.sensor import LOOKUP_SCHEMA
-
-# Calibration factor per device type (HOUSEHOLD, FURNITURE absent).
-CALIBRATION = [("BUILDING", 1.1), ("MACHINERY", 0.9), ("AUTOMOBILE", 1.25)]
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -43,7 +38,7 @@ def sensor_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sensor_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+    cust = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     return cust.join(nation, cust.c_nationkey == nation.n_nationkey, "inner").select(
         F.col("c_custkey").cast("string").alias("sensor_id"),
@@ -52,18 +47,18 @@ def sensor_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calibration_lookup(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CALIBRATION, LOOKUP_SCHEMA)
+def calibration_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("device_type"), (F.length("c_mktsegment") / 8).alias("calibration_factor")).distinct()
 
 
 def sensor_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return sensor_readings(spark, sf_dir), sensor_metadata(spark, sf_dir), calibration_lookup(spark)
+    return sensor_readings(spark, sf_dir), sensor_metadata(spark, sf_dir), calibration_lookup(spark, sf_dir)
 
 
 # SQL twins of the views above, for the DuckDB oracle.
 SQL_READINGS = ("SELECT CAST(user_id AS VARCHAR) AS sensor_id, CAST(value AS DOUBLE) AS reading, "
                 "CAST(epoch_us(ts) // 1000000 AS INTEGER) AS \"timestamp\" FROM events")
 SQL_METADATA = ("SELECT CAST(c_custkey AS VARCHAR) AS sensor_id, n_name AS location, c_mktsegment AS device_type "
-                "FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0")
-SQL_LOOKUP = ("SELECT device_type, CAST(calibration_factor AS DOUBLE) AS calibration_factor FROM (VALUES "
-              + ", ".join(f"('{k}', {v})" for k, v in CALIBRATION) + ") AS t(device_type, calibration_factor)")
+                "FROM customer JOIN nation ON c_nationkey = n_nationkey")
+SQL_LOOKUP = "SELECT DISTINCT c_mktsegment AS device_type, length(c_mktsegment) / 8.0::DOUBLE AS calibration_factor FROM customer"

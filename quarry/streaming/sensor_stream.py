@@ -23,7 +23,7 @@ def calibrated_stream(spark: SparkSession, readings_dir: str, metadata: DataFram
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     readings = reader.load(readings_dir)
-    return ops.join_datasets(ops.transform_readings(readings), metadata, lookup)
+    return ops.calibrated_readings(ops.transform_readings(readings), metadata, lookup)
 
 
 def start_sensor_stream(spark: SparkSession, readings_dir: str, metadata: DataFrame, lookup: DataFrame,

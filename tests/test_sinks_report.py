@@ -49,7 +49,7 @@ def test_run_from_parquet_paths(spark, tmp_dir):
     n = r.count()
     assert rep[("read", "sensor_records")] == n
     assert rep[("read", "metadata_records")] == m.count()
-    assert rep[("read", "lookup_records")] == 3
+    assert rep[("read", "lookup_records")] == l.count()
     assert rep[("transform", "valid_sensor_records")] == n
     assert rep[("final", "final_records")] == run.detailed.count() == rep[("join", "joined_records")]
     assert rep[("window", "locations_analyzed")] == run.aggregated.count()
