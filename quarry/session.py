@@ -112,5 +112,5 @@ def materialize(df, name: str, partition_by: list[str] | None = None):
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 

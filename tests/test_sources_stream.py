@@ -30,7 +30,7 @@ def test_stream_matches_batch(spark, tmp_dir):
     q = start_sensor_stream(spark, f"{tmp_dir}/in", m, l, f"{tmp_dir}/out", f"{tmp_dir}/progress")
     q.awaitTermination()
     streamed = spark.read.parquet(f"{tmp_dir}/out")
-    batch = ops.join_datasets(ops.transform_readings(r), m, l)
+    batch = ops.calibrated_readings(ops.transform_readings(r), m, l)
     cols = batch.columns
     assert streamed.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert batch.exceptAll(streamed.select(*cols)).count() == 0
