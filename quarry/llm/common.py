@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 
 from quarry.session import checkpoint_root, materialize, ship_package
 
-__all__ = ["cut", "documents", "fold", "prepared", "ranks_bytes", "table", "with_text_columns"]
+__all__ = ["BUCKETS", "cut", "documents", "fold", "in_buckets", "prepared", "ranks_bytes", "same_row", "table",
+           "with_text_columns", "without_rows"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
+#: Hash buckets of rows that are looked for: at most this many numbers are broadcast.
+BUCKETS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,27 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def same_row(docs: DataFrame, rows: DataFrame, text: str, ident: str) -> Column:
+    """Join condition: a row of ``docs`` has the id and text hash of (id, text_hash) in ``rows``."""
+    return docs[ident].eqNullSafe(rows["id"]) & (F.xxhash64(docs[text]) == rows["text_hash"])
+
+
+def in_buckets(docs: DataFrame, rows: DataFrame, text: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` that may be among ``rows`` (how: left_semi), or cannot be (left_anti), without a shuffle.
+
+    Only the distinct buckets of the text hashes are broadcast, never more than
+    ``BUCKETS``; where all are taken every row may be among them.
+    """
+    taken = rows.select(F.pmod("text_hash", F.lit(BUCKETS)).alias("__bucket")).distinct()
+    return docs.join(F.broadcast(taken), F.pmod(F.xxhash64(docs[text]), F.lit(BUCKETS)) == taken["__bucket"], how)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``docs`` without those whose id and text hash are in ``rows``; most texts are not shuffled."""
+    maybe = in_buckets(docs, rows, text)
+    return in_buckets(docs, rows, text, "left_anti").unionByName(maybe.join(rows, same_row(maybe, rows, text, ident), "left_anti"))
+
+
 def ranks_bytes(path: str) -> bytes:
     """A vocabulary file's bytes, read on the driver: executors get them with the task."""
     with open(path, "rb") as f:

@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, documents, prepared, table
+from quarry.llm.common import cut, documents, prepared, table, without_rows
 from quarry.llm.native import bind, covered
 
 WINDOW = 13
@@ -109,9 +109,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """``docs`` without its contaminated documents."""
-    bad = (find_hits(docs, benchmark, text, ident).filter(contaminated(F.col("n_hit"), F.col("n_words")))
-           .select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return docs.join(bad, docs[ident].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
+    found = find_hits(docs, benchmark, text, ident).filter(contaminated(F.col("n_hit"), F.col("n_words")))
+    return without_rows(docs, cut(found.select("id", "text_hash").distinct(), "contaminated"), text, ident)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:

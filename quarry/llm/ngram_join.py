@@ -3,7 +3,7 @@
 A text's set holds its distinct 5-word shingles as 64-bit hashes (a shorter text
 is one shingle).  Texts whose sets are equal are one node.
 
-1. A fixed-size table counts all shingles by a hash of theirs.  It makes the
+1. A table of fixed size counts all shingles by a hash of theirs.  It makes the
    first global order: shingles from small counts first, so that passages which
    many texts share come last.
 2. A text is posted under the prefix of its set in that order, the part that two
@@ -34,16 +34,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, cut, documents, prepared
+from quarry.llm.common import SLICE_ROWS, cut, documents, in_buckets, prepared, same_row, without_rows
 from quarry.llm.graph import components
 
 WORDS = 5                 # words of a shingle
 SIMILAR = (3, 4)          # least Jaccard similarity as a fraction
 ORDERS = 3                # global token orders
-SMALL = 32                # nodes of a token that are paired with each other
-BLOCK = 192               # nodes of a block, on average
-SKETCH_BITS = 16          # the count table has 2**SKETCH_BITS entries
-MEMO = 1 << 18            # word hashes, and nodes already posted, that a task remembers
+SMALL = 64                # nodes of a token that are paired with each other
+BLOCK = 128               # nodes of a block, on average
+SKETCH_BITS = 18          # the count table has 2**SKETCH_BITS entries
+WANTED = 300_000          # rows to fetch that are broadcast (id, hash and group: about 100 bytes each)
+MEMO = 1 << 17            # word hashes, and nodes already posted, that a task remembers
 
 _ODD = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(64)], dtype=np.uint64)
 
@@ -90,29 +91,35 @@ def prefix(tokens: np.ndarray, key: np.ndarray) -> np.ndarray:
     return tokens[key <= np.partition(key, keep - 1)[keep - 1]] if n else tokens
 
 
+def spots(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Places of tokens in a count table whose size is a power of two: their first bits."""
+    return (tokens >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def order_key(tokens: np.ndarray, order: int, counts: np.ndarray | None = None) -> np.ndarray:
     """Sort key of the tokens in a global order; the first puts small counts first."""
     if counts is None:
         return mix(tokens, order)
-    frequency = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    frequency = counts[spots(tokens, len(counts))].astype(np.uint64)
     return (np.minimum(frequency, np.uint64((1 << 31) - 1)) << np.uint64(32)) | (mix(tokens, order) >> np.uint64(32))
 
 
 def token_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingle counts of all texts by hash: summed in each task, then by Spark; a fixed-size array."""
+    """Shingle counts of all texts by hash: summed in each task, then by Spark; an array of fixed size."""
+    size = 1 << SKETCH_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64)
+        words, counts = WordHash(), np.zeros(size, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 sets = [shingle_set(t, words) for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
-                spots = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts += np.bincount(spots, minlength=1 << SKETCH_BITS)
-        spots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(counts[spots])], names=["spot", "n"])
+                counts += np.bincount(spots(np.concatenate(sets), size), minlength=size)
+        taken = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(taken), pa.array(counts[taken])], names=["spot", "n"])
 
     rows = (docs.select(F.col(text).cast("binary")).mapInArrow(run, "spot long, n long")
             .groupBy("spot").agg(F.sum("n").alias("n")).toPandas())
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(size, np.int64)
     counts[rows["spot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
 
@@ -142,7 +149,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, text: str, ident: str) -> Da
                         posted.clear()
                     posted.add(node)
                     first = prefix(s, order_key(s, 0, counts))
-                    often = counts[(first >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > hot_from
+                    often = counts[spots(first, len(counts))] > hot_from
                     rare.append(first[~often])
                     hot.append(first[often])
                 yield pa.RecordBatch.from_arrays(
@@ -165,26 +172,34 @@ def candidate_ties(signed: DataFrame) -> DataFrame:
 
     num, den = SIMILAR
     token = Window.partitionBy("token")
-    rare = (signed.select("node", "n", F.explode("rare").alias("token"))
-            .withColumn("many", F.count("*").over(token)).filter("many > 1")
-            .withColumn("pivot", F.min("node").over(token)))
-    small = rare.filter(F.col("many") <= SMALL)
-    one = small.select("token", F.col("node").alias("a"), F.col("n").alias("na"))
-    two = small.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
+    # Most tokens are in one node only.  The others leave one row with their members, or one per member if they
+    # are frequent; both are grouped where the window has dealt them already.
+    frequent = F.col("many") > SMALL
+    shared_tokens = cut(
+        signed.select("node", F.col("n").cast("int").alias("n"), F.explode("rare").alias("token"))
+        .withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token))
+        .withColumn("many", F.count("*").over(token)).filter("low < high")
+        .groupBy("token", F.when(frequent, F.col("low")).alias("pivot"), F.when(frequent, F.col("node")).alias("node"))
+        .agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("members"))
+        .select("pivot", "node", F.when(F.col("pivot").isNull(), F.col("members")).alias("members")), "ngram-tokens")
+    later = F.transform("members", lambda x, i: F.transform(
+        F.slice("members", i + 2, F.size("members")),
+        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))))
+    met = shared_tokens.filter("pivot IS NULL").select(F.explode(F.flatten(later)).alias("p")).select("p.*")
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
     needed = ceil_div((F.col("na") + F.col("nb")) * num, num + den)
     # ceil(t n) - 1 tokens are behind a prefix, so a similar pair has at least this many common prefix tokens.
-    # A node posted by several tasks counts more than once, which keeps more candidates, never fewer.
-    pairs = (one.join(two, "token").filter(F.col("a") < F.col("b")).filter(low * den >= high * num)
+    # Pairs that also share a frequent token are tied by its pivot, whatever their count here.
+    pairs = (met.filter(low * den >= high * num)
              .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
              .filter(F.col("common") + ceil_div(high * num, den) - 1 >= needed).select("a", "b"))
-    stars = rare.filter(F.col("many") > SMALL).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    stars = shared_tokens.filter("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     hot = signed.select("node", F.explode("hot").alias("token"))
     pivots = hot.groupBy("token").agg(F.min("node").alias("a"))
     return pairs.union(stars).union(hot.join(pivots, "token").select("a", F.col("node").alias("b"))).filter("a != b")
 
 
-def shared(parts: list[np.ndarray], left: int, step: int = 8192) -> np.ndarray:
+def shared(parts: list[np.ndarray], left: int, step: int = 4096) -> np.ndarray:
     """Common tokens of each of the first ``left`` sets with every set, as a matrix."""
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     _, token, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
@@ -262,21 +277,28 @@ def verify_groups(docs: DataFrame, signed: DataFrame, groups: DataFrame, text: s
                                 F.first("root").alias("grp")))
     wanted = one.join(sizes.withColumnRenamed("root", "grp"), "grp").select(
         "node", "grp", "blocks", "row.id", "row.text_hash", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    body = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("body"))
-    nodes = cut(wanted.join(body, wanted["id"].eqNullSafe(body["id"]) & (wanted["text_hash"] == body["text_hash"]))
-                .select("node", "grp", "blocks", "block", "body"), "ngram-nodes")
+    wanted = cut(wanted, "ngram-wanted")
+    small = wanted.count() <= WANTED
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        body = docs if small else in_buckets(docs, rows, text)
+        rows = F.broadcast(rows) if small else rows
+        return rows.join(body, same_row(body, rows, text, ident)).select(
+            "node", "grp", "blocks", "block", F.col(text).cast("binary").alias("body"))
+
+    one = fetched(wanted.filter("blocks = 1")).withColumn("task", F.lit(0)).withColumn("side", F.lit(0))
+    found = cut(verified(one), "ngram-links")
+    many = wanted.filter("blocks > 1")
+    if many.isEmpty():
+        return found
     # The first block with itself and with every other one.
-    first = nodes.select(
+    nodes = cut(fetched(many), "ngram-nodes")
+    first = cut(verified(nodes.select(
         "grp", "node", "body", (F.col("block") > 0).cast("int").alias("side"),
         F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1))
-                  .otherwise(F.array("block"))).alias("task"))
-    found = cut(verified(first), "ngram-links")
-    if nodes.filter("blocks > 1").isEmpty():
-        return found
+                  .otherwise(F.array("block"))).alias("task"))), "ngram-links")
     # What is not connected with its group's main part: with that part and with each other, in blocks.
-    several = nodes.filter("blocks > 1")
-    roots = components(found, "ngram-first")
-    placed = several.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    placed = nodes.join(components(first, "ngram-first"), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     parts = placed.groupBy("grp", "part").agg(F.count("*").alias("many"))
     main = parts.groupBy("grp").agg(F.max(F.struct("many", "part"))["part"].alias("main"), F.sum("many").alias("all"),
                                     F.max("many").alias("most"))
@@ -294,11 +316,11 @@ def verify_groups(docs: DataFrame, signed: DataFrame, groups: DataFrame, text: s
     as_right = F.filter(F.transform(F.sequence(F.lit(0), F.col("mine")), lambda i: F.struct((i * width + F.col("mine")).alias("task"), F.lit(1).alias("side"))),
                         lambda t: t["task"] != F.col("mine") * width + F.col("mine"))
     rows = dealt.select("grp", "node", "body", F.explode(F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right))).alias("t"))
-    return found.union(cut(verified(rows.select("grp", "node", "body", "t.task", "t.side")), "ngram-links"))
+    return found.union(first).union(cut(verified(rows.select("grp", "node", "body", "t.task", "t.side")), "ngram-links"))
 
 
 def link_documents(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Per row: id, text_hash, n (set size), node (null without a set) and component (smallest id linked)."""
+    """Per row: id, text_hash, n (set size), root (of its class, null without a set) and component (smallest id linked)."""
     docs = docs.select(ident, text)
     signed = cut(signatures(docs, token_counts(docs, text), text, ident), "ngram-signatures")
     groups = components(candidate_ties(signed), "ngram-groups")
@@ -307,9 +329,25 @@ def link_documents(docs: DataFrame, text: str = "text", ident: str = "doc_id") -
     classes = some.groupBy("node").agg(F.min("id").alias("low")).join(roots, "node", "left") \
         .select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
-    named = classes.join(lowest, "root").select("node", "component")
-    return some.join(named, "node").select("id", "text_hash", "node", "n", "component").union(
-        none.select("id", "text_hash", "node", "n", F.col("id").alias("component")))
+    named = classes.join(lowest, "root").select("node", "root", "component")
+    return some.join(named, "node").select("id", "text_hash", "n", "root", "component").union(
+        none.select("id", "text_hash", "n", F.col("node").alias("root"), F.col("id").alias("component")))
+
+
+def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of similar texts: the one with the smallest id.
+
+    Of rows that are equal in id and text one stays; texts without a set all stay.
+    """
+    linked = cut(link_documents(docs, text, ident), "ngram-linked").filter("root IS NOT NULL")
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    first = linked.groupBy("root").agg(F.min(own).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    judged = cut(linked.join(first, "root").select("id", "text_hash", (own == F.col("first")).alias("__stays")).distinct(), "ngram-judged")
+    single = without_rows(docs, judged.select("id", "text_hash"), text, ident)
+    kept = judged.filter("__stays")
+    maybe = in_buckets(docs, kept, text)
+    return single.unionByName(maybe.join(kept, same_row(maybe, kept, text, ident), "left_semi")
+                              .withColumn("__hash", F.xxhash64(text)).dropDuplicates([ident, "__hash"]).drop("__hash"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,8 +357,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ORACLE = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS sh

@@ -51,6 +51,7 @@ def family(rng, size, words, edits, vocabulary=4000):
 def test_families_of_near_copies(spark, docs, monkeypatch, small, block, spread):
     monkeypatch.setattr(nj, "SMALL", small)
     monkeypatch.setattr(nj, "BLOCK", block)
+    monkeypatch.setattr(nj, "WANTED", 100 * (block - 2))
     rng = random.Random(small)
     texts = []
     for k in range(spread):
