@@ -1,29 +1,60 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+Toxic texts go, one of each class of similar texts stays, contaminated texts go,
+secrets are masked, and what is left is encoded.  All stages but the last keep
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.bpe import digests
-from quarry.llm.common import cut, documents, prepared
+from quarry.llm.common import cut, documents, prepared, table
+from quarry.llm.decontaminate import remove_contaminated
+from quarry.llm.ngram_join import keep_one
 from quarry.llm.secret_scan import redact_secrets
+from quarry.llm.toxicity import remove_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5; the classifier learns from the rows and labels of its folds."""
+    return remove_toxic(docs, table(prepared(spark), sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of similar texts."""
+    prepared(spark)
+    return keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    return remove_contaminated(docs, table(prepared(spark), sf_dir, "benchmark"))
 
 
-def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported secret span of a text is masked; n_chars stays that of the document as it came."""
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported secret span of a text is masked, and n_chars counts the new text."""
     prepared(spark)
-    return redact_secrets(docs)
+    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document kept: number of ids, digest of the ids and of the bytes they decode to."""
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: number of ids, digest of the ids and of the bytes that they decode to."""
     prepared(spark)
     return digests(docs)
 
 
-STAGES = [("secret_scan", remove_secrets), ("byte_bpe", encode_ids)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", mask_secrets),
+    ("byte_bpe", encode_texts),
+]
 
-#: Classifier training and tokenization are not SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Classifier training and tokenization are not SQL; tests/llm/test_pipeline.py holds brute-force versions.
 ORACLE_SQL = None
 
 

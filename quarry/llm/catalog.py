@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import (bpe, decontaminate, language_id, ngram_join, quality_ranker, quality_rules, secret_scan,
+from quarry.llm import (bpe, decontaminate, language_id, license_scan, ngram_join, quality_ranker, quality_rules, secret_scan,
                         token_counts, toxicity)
 
-MODULES = (language_id, secret_scan, quality_rules, bpe, toxicity, decontaminate, ngram_join, quality_ranker, token_counts)
+MODULES = (language_id, secret_scan, quality_rules, bpe, license_scan, toxicity, decontaminate, ngram_join, quality_ranker, token_counts)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
