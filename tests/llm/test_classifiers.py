@@ -108,3 +108,8 @@ def test_quality_cases(spark, docs, labels):
     assert {round(r["score"], 6) for r in quality_ranker.score(docs(rows), one).collect()} == {0.7}
     assert quality_ranker.score(docs([]), model).count() == 0
     assert quality_ranker.fit(docs([]), labels([])).cut == 0.0
+
+
+def test_cut_lies_in_the_gap():
+    s = np.array([-5, -4.5, -4, 2, 2.1, 2.2, 2.3, 2.4, 2.5, 2.6])
+    assert all(-4 < quality_ranker.quantile_cut(s, bad) < 2 for bad in (3, 4)) and quality_ranker.quantile_cut(s[:2], 1) == -4.75
