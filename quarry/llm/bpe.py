@@ -14,6 +14,7 @@ replaced.  Texts are encoded whole; a pre-token of n bytes costs O(n log n).
 from __future__ import annotations
 
 import base64
+import struct
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import documents, prepared, ranks_bytes, with_text_columns
 
-#: Pre-tokens remembered by a task's encoder; beyond it the memory starts afresh.
-MEMO = 1 << 18
+#: Pre-tokens in a task's memory; when it is full it becomes the older half, which is asked before encoding anew.
+MEMO = 1 << 17
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -77,18 +78,21 @@ class PerfectHash:
         return self.slots[s] if self.keys[s] == key else -1
 
 
+#: Packers of 1, 2, ... little-endian unsigned 32-bit integers.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
+
+
+def pack(ids: list[int]) -> bytes:
+    return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, dtype="<u4").tobytes()
+
+
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token that is no vocabulary entry: lowest rank first, leftmost on ties."""
-    n = len(word)
+    n, rank = len(word), ranks.get
     after = list(range(1, n + 1))      # start of the next piece
     before = list(range(-1, n - 1))    # start of the piece before
-    best = [-1] * n                    # rank of the pair that begins at a live piece
-    heap = []
-    for i in range(n - 1):
-        r = ranks.get(word[i:i + 2], -1)
-        if r >= 0:
-            best[i] = r
-            heap.append((r << 32) | i)
+    best = [rank(word[i:i + 2], -1) for i in range(n - 1)] + [-1]  # rank of the pair that begins at a live piece
+    heap = [(r << 32) | i for i, r in enumerate(best) if r >= 0]
     heapify(heap)
     while heap:
         top = heappop(heap)
@@ -100,14 +104,14 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         best[j] = -1
         if end < n:
             before[end] = i
-            best[i] = r = ranks.get(word[i:after[end]], -1)
+            best[i] = r = rank(word[i:after[end]], -1)
             if r >= 0:
                 heappush(heap, (r << 32) | i)
         else:
             best[i] = -1
         p = before[i]
         if p >= 0:
-            best[p] = r = ranks.get(word[p:end], -1)
+            best[p] = r = rank(word[p:end], -1)
             if r >= 0:
                 heappush(heap, (r << 32) | p)
     out, i = [], 0
@@ -125,14 +129,18 @@ class Encoder(dict):
         self.whole = PerfectHash(list(self.ranks))
         self.ids = list(self.ranks.values())
         self.split = regex.compile(pattern).findall
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        word = token.encode("utf-8", "replace")
-        k = self.whole.find(word)
-        ids = [self.ids[k]] if k >= 0 else merge_bytes(word, self.ranks)
-        packed = self[token] = np.array(ids, dtype="<u4").tobytes()
+        packed = self.older.get(token)
+        if packed is None:
+            word = token.encode("utf-8", "replace")
+            k = self.whole.find(word)
+            packed = PACK[1](self.ids[k]) if k >= 0 else pack(merge_bytes(word, self.ranks))
+        self[token] = packed
         return packed
 
     def encode(self, text: bytes | None) -> bytes:
@@ -159,6 +167,21 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded")
     return with_text_columns(df, [T.StructField(out, T.BinaryType())], make, ids)
 
 
+def encode_and_decode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", drop_text: bool = False) -> DataFrame:
+    """``docs`` with ids and decoded as by ``encode`` and ``decode``, in one pass over the texts."""
+    def make():
+        enc = Encoder(ranks, pattern)
+        by_rank = {r: tok for tok, r in enc.ranks.items()}
+
+        def both(texts):
+            ids = [enc.encode(t) for t in texts]
+            return [ids, [b"".join(map(by_rank.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in ids]]
+        return both
+
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    return with_text_columns(docs, fields, make, text, drop_text)
+
+
 def vocabulary() -> tuple[bytes, str]:
     import public_tokenizers
 
@@ -168,7 +191,7 @@ def vocabulary() -> tuple[bytes, str]:
 def digests(docs: DataFrame) -> DataFrame:
     """Per document the number of ids and the digests of the ids and of the decoded bytes."""
     ranks, pattern = vocabulary()
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern, drop_text=True), ranks)
+    coded = encode_and_decode(docs.select("doc_id", "text"), ranks, pattern, drop_text=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

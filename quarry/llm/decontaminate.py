@@ -2,9 +2,10 @@
 
 Item texts are cut into windows of 13 normalised words (an item of fewer words
 is one window).  Every document's word windows of the lengths that items have
-are hashed and met with the hash set of item windows; hits are verified word by
-word.  The set is broadcast where its measured size is within ``BROADCAST_BYTES``,
-else Spark joins by shuffle.  Only hits and one row per document are shuffled.
+are hashed and met with the hash set of item windows; texts that meet it are
+scanned again and their hits verified word by word.  The set is broadcast where
+its measured size is within ``BROADCAST_BYTES``, else Spark joins by shuffle.
+Only hits and one row per document are shuffled.
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and all characters
 beyond ASCII.  Defined cases: null and blank texts have no words, are never hit
@@ -20,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, documents, prepared, table, without_rows
+from quarry.llm.common import cut, documents, in_buckets, prepared, table, without_rows
 from quarry.llm.native import bind, covered
 
 WINDOW = 13
@@ -62,45 +63,74 @@ def item_windows(benchmark: DataFrame, text: str = "text", ident: str = "item_id
             .withColumn("key", bind(hashes(F.col("window")), lambda h: window_key(h, F.lit(0), F.col("length")))))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: id, text_hash, n_words, hits (array of pos, length), n_hit and sorted items."""
-    windows = cut(item_windows(benchmark), "item-windows")
-    size = windows.agg(F.sum(F.lit(64) + F.aggregate("window", F.lit(0), lambda n, w: n + 16 + F.octet_length(w))
-                             + F.aggregate("items", F.lit(0), lambda n, w: n + 16 + F.octet_length(w)))).first()[0] or 0
-    lengths = [r[0] for r in windows.select("length").distinct().collect()]  # at most WINDOW numbers
-    # Key 0 with an empty window stands for the document itself, so that every row leaves one.
-    marker = windows.sparkSession.range(1).select(
-        F.lit(0).cast("int").alias("length"), F.array().cast("array<string>").alias("window"),
-        F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("key"))
-    known = windows.select("length", "window", "items", "key").union(marker)
-    known = F.broadcast(known) if size <= BROADCAST_BYTES else known
+def window_keys(h: Column, n: int) -> Column:
+    """The key of every window of ``n`` words."""
+    return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: window_key(h, i, n))) \
+        .otherwise(F.array().cast("array<bigint>"))
+
+
+def scan_rows(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str, ident: str) -> DataFrame:
+    """Per id and text hash: copies (equal rows), n_words and whether a window's hash is an item window's.
+
+    Key 0 stands for the row itself, so every row leaves one.  Only keys go through the join, not the words.
+    """
+    known = windows.select("key").union(windows.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"))).distinct()
+    rows = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("ws"))
+    keyed = rows.select("id", "text_hash", F.size("ws").cast("long").alias("n_words"), F.explode(bind(
+        hashes(F.col("ws")), lambda h: F.concat(F.array(F.lit(0).cast("long")), *[window_keys(h, n) for n in lengths]))).alias("key"))
+    own = F.col("key") == 0
+    return keyed.join(bounded(known, windows), "key").groupBy("id", "text_hash").agg(
+        F.count(F.when(own, 1)).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.max(~own).alias("met"))
+
+
+def bounded(side: DataFrame, windows: DataFrame) -> DataFrame:
+    """``side``, made from the item windows, marked for broadcast if their measured size allows it."""
+    def length(column: str) -> Column:
+        return F.aggregate(column, F.lit(0).cast("long"), lambda n, w: n + 16 + F.octet_length(w))
 
-    def probes(h: Column) -> Column:
-        own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("key")))
-        return F.concat(own, *[positions(h, n) for n in lengths])
+    size = windows.agg(F.sum(64 + length("window") + length("items"))).first()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
 
+
+def verified_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str, ident: str) -> DataFrame:
+    """Per id and text hash with a hit: the hit windows (pos, length) and the items, compared word by word."""
     rows = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("ws"))
-    probed = rows.select("id", "text_hash", "ws", F.explode(bind(hashes(F.col("ws")), probes)).alias("p"))
-    met = probed.select("id", "text_hash", "ws", "p.pos", "p.key").join(known, "key")
-    true = met.filter((F.col("pos") < 0) & (F.col("length") == 0) | (F.col("pos") >= 0) & F.when(
-        (F.col("pos") >= 0) & (F.col("length") > 0),
-        exact(F.slice("ws", F.greatest(F.col("pos") + 1, F.lit(1)), F.col("length"))) == F.col("window")))
-    hit = F.col("pos") >= 0
-    per = (true.withColumn("n_words", F.when(~hit, F.size("ws")))
-           .groupBy("id", "text_hash").agg(
-               F.count(F.when(~hit, 1)).cast("int").alias("copies"), F.max("n_words").cast("long").alias("n_words"),
-               F.collect_set(F.when(hit, F.struct("pos", "length"))).alias("hits"),
-               F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items")))
-    return (per.withColumn("hits", F.array_sort("hits")).withColumn("n_hit", covered(F.col("hits")))
-            .select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "*").drop("col", "copies"))
+    probed = rows.select("id", "text_hash", "ws", F.explode(bind(hashes(F.col("ws")), lambda h: F.concat(
+        F.array().cast(PLACES), *[positions(h, n) for n in lengths]))).alias("p"))
+    met = probed.select("id", "text_hash", "ws", "p.pos", "p.key").join(bounded(windows, windows), "key")
+    return (met.filter(exact(F.slice("ws", F.col("pos") + 1, F.col("length"))) == F.col("window"))
+            .groupBy("id", "text_hash").agg(
+                F.array_sort(F.collect_set(F.struct("pos", "length"))).alias("hits"),
+                F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
+
+
+PLACES = "array<struct<pos:int,key:bigint>>"
 
 
 def positions(h: Column, n: int) -> Column:
     """(pos, key) of every window of ``n`` words."""
     return F.when(F.size(h) >= n, F.transform(
         F.sequence(F.lit(0), F.size(h) - n),
-        lambda i: F.struct(i.alias("pos"), window_key(h, i, n).alias("key")))).otherwise(
-        F.array().cast("array<struct<pos:int,key:bigint>>"))
+        lambda i: F.struct(i.alias("pos"), window_key(h, i, n).alias("key")))).otherwise(F.array().cast(PLACES))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: id, text_hash, n_words, hits (array of pos, length), n_hit and sorted items.
+
+    All texts are scanned for keys; those with a key of an item window are scanned again and verified.
+    """
+    windows = cut(item_windows(benchmark), "item-windows")
+    lengths = [r[0] for r in windows.select("length").distinct().collect()]  # at most WINDOW numbers
+    scanned = cut(scan_rows(docs, windows, lengths, text, ident), "scanned-texts")
+    maybe = in_buckets(docs, scanned.filter("met"), text)
+    hits = verified_hits(maybe, windows, lengths, text, ident).withColumnsRenamed({"id": "h_id", "text_hash": "h_hash"})
+    joined = scanned.join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
+    none = F.array().cast("array<struct<pos:int,length:int>>")
+    return joined.select(
+        "id", "text_hash", "n_words", F.coalesce("hits", none).alias("hits"),
+        F.coalesce(covered(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

@@ -44,7 +44,7 @@ SMALL = 64                # nodes of a token that are paired with each other
 BLOCK = 128               # nodes of a block, on average
 SKETCH_BITS = 18          # the count table has 2**SKETCH_BITS entries
 WANTED = 300_000          # rows to fetch that are broadcast (id, hash and group: about 100 bytes each)
-MEMO = 1 << 17            # word hashes, and nodes already posted, that a task remembers
+MEMO = 1 << 16            # word hashes, and nodes already posted, that a task remembers
 
 _ODD = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(64)], dtype=np.uint64)
 

@@ -38,7 +38,8 @@ GRAM_LENGTHS = (4, 5, 6)
 MIN_POSITIVE, MIN_Z = 3, 2.0
 EPOCHS, BATCH, RATE, DECAY = 80, 500, 0.02, 3e-4
 SEED = 5
-MEMO = 1 << 17
+#: Words that a task remembers, and parts it counts before it hands them on.
+MEMO = FLUSH = 1 << 17
 
 
 def parts(word: str) -> set[str]:
@@ -113,7 +114,7 @@ def select_features(rows: DataFrame, n_positive: int, n_free: int) -> list[str]:
                 piece = batch.slice(at, SLICE_ROWS)
                 for y, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     counts[y].update({p for w in distinct_words(text) for p in parts(w)})
-                if sum(map(len, counts)) > 4 * MEMO:
+                if sum(map(len, counts)) > FLUSH:
                     yield from handed()
         yield from handed()
 
