@@ -36,7 +36,7 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again: lineage ends there."""
+    """``df`` written to the shared checkpoint folder and read again, so that its plan ends there."""
     return materialize(df, name)
 
 
