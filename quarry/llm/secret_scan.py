@@ -2,11 +2,12 @@
 
 Strong spans (assignments, access identifiers, long hexadecimal runs) are always
 reported.  Weak parts (identifiers, opaque tokens, endpoints) are reported only
-where a complementary part lies in the same scope and at most ``MAX_GAP`` code
-points away: an identifier or endpoint needs a secret, an opaque token needs an
-identifier or an endpoint.  A scope is a block of lines without a blank line.
-The parts are intervals sorted by start; one sweep in each direction joins each
-with the nearest complementary one, so no pairs are listed.
+where a complementary part lies in the same scope, however far apart: an
+identifier or endpoint needs a secret, an opaque token needs an identifier or an
+endpoint.  A scope is a block of lines without a blank line.  The parts are
+intervals sorted by start; one sweep in each direction joins each with the
+nearest complementary one, so no pairs are listed.  Only a direct call of
+``find_spans`` bounds the distance (``MAX_GAP``) unless told ``gap=None``.
 
 Spans are ``kind:start:end`` in code points, end exclusive.  Defined cases: a
 null text is empty and has no spans; repeated rows are scanned each; an empty
@@ -89,8 +90,8 @@ def weak_parts(data: bytes, text: str, strong: list[tuple[int, int, str]]) -> li
     return out
 
 
-def linked(parts: list[tuple[int, int, str]], breaks: list[int], gap: int) -> list[tuple[int, int, str]]:
-    """The weak ones among ``parts`` (sorted) that have a complementary part within ``gap`` in their scope."""
+def linked(parts: list[tuple[int, int, str]], breaks: list[int], gap: int | None) -> list[tuple[int, int, str]]:
+    """The weak ones among ``parts`` (sorted) that have a complementary part in their scope, within ``gap`` if given."""
     kept = set()
     for forward in (True, False):
         last: dict[str, int] = {}
@@ -100,14 +101,14 @@ def linked(parts: list[tuple[int, int, str]], breaks: list[int], gap: int) -> li
             while cut is not None and (cut <= s if forward else cut >= e):
                 last, cut = {}, next(cuts, None)
             wanted = PARTNERS.get(kind, ())
-            if any(r in last and (s - last[r] if forward else last[r] - e) <= gap for r in wanted):
+            if any(r in last and (gap is None or (s - last[r] if forward else last[r] - e) <= gap) for r in wanted):
                 kept.add((s, e, kind))
             role = ROLE[kind]
             last[role] = (max(last.get(role, 0), e) if forward else min(last.get(role, s), s))
     return [p for p in parts if p in kept]
 
 
-def find_spans(data: bytes | None, gap: int = MAX_GAP) -> list[tuple[int, int, str]]:
+def find_spans(data: bytes | None, gap: int | None = MAX_GAP) -> list[tuple[int, int, str]]:
     """All reported spans (start, end, kind) of a text, by start, then by kind in order."""
     data = data or b""
     text = data.decode("utf-8", "replace")
@@ -119,7 +120,7 @@ def find_spans(data: bytes | None, gap: int = MAX_GAP) -> list[tuple[int, int, s
     return sorted(strong + weak, key=lambda p: (p[0], KINDS.index(p[2])))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans", gap: int = MAX_GAP,
+def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans", gap: int | None = None,
                  drop_text: bool = False) -> DataFrame:
     """``docs`` with ``out``: array of (kind, start, end), by start, then kind."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
@@ -131,7 +132,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans", gap: i
     return with_text_columns(docs, [T.StructField(out, T.ArrayType(span))], make, text, drop_text)
 
 
-def redact(data: bytes | None, gap: int = MAX_GAP, mark: str = "[SECRET]") -> str | None:
+def redact(data: bytes | None, gap: int | None = None, mark: str = "[SECRET]") -> str | None:
     """The text with each maximal run of overlapping spans replaced by ``mark``."""
     spans = find_spans(data, gap)
     if data is None or not spans:
@@ -144,7 +145,7 @@ def redact(data: bytes | None, gap: int = MAX_GAP, mark: str = "[SECRET]") -> st
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", gap: int = MAX_GAP) -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", gap: int | None = None) -> DataFrame:
     """``docs`` with every reported span of the text masked; texts without one stay as they are."""
     def make():
         return lambda texts: [[redact(t, gap) for t in texts]]

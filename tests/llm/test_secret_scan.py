@@ -65,3 +65,18 @@ def test_redact(spark, docs):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r[0]: r[1] for r in out.collect()} == {1: "é [SECRET] end [SECRET]", 2: None, 3: "clean"}
     assert ss.redact_secrets(docs([])).count() == 0
+
+
+def test_links_across_the_whole_scope(spark, on_disk):
+    def block(n, sep):
+        line = "word_word " * 4 + "words"
+        return f"client_id = acme-17\nendpoint https://db.example.com/x\n{(line + sep) * (n // 46 + 1)}{OPAQUE}\nend"
+
+    rows = [(1, block(1000, "\n")), (2, block(10000, "\n")), (3, block(10000, " ")), (4, block(1000, "\n").replace(OPAQUE, "\n" + OPAQUE))]
+    got = {r["doc_id"]: [p.split(":")[0] for p in r["spans"].split(",") if p] for r in ss.op2_secret_spans(spark, on_disk(rows)).collect()}
+    assert got == {1: ["ident", "endpoint", "opaque"], 2: ["ident", "endpoint", "opaque"], 3: ["ident", "endpoint", "opaque"], 4: []}
+    for i, text in rows:
+        masked = ss.redact(text.encode())
+        assert (OPAQUE in masked, masked.count("[SECRET]")) == ((True, 0) if i == 4 else (False, 3))
+    text = "user=bob " * 20000 + OPAQUE
+    assert kinds(text, gap=None).count("ident") == 20000
