@@ -5,15 +5,16 @@ is padded and cut into n-grams of length ``MAX_N``; if the model knows any, the
 mean of their log frequencies counts, else the next shorter length is tried.
 
 The model is fitted on a bounded sample: about ``SAMPLE_PER_LANG`` labelled rows
-per language, chosen by a hash of the row.  Words and n-grams of their whole
+per language, chosen by a hash of id and text, so that copies of a text are
+chosen each on its own.  Words and n-grams of their whole
 texts are counted by Spark; the ``MAX_WORDS`` most frequent words and the
 ``MAX_GRAMS`` most frequent n-grams make the model, whose size these numbers and
 the number of languages bound (4 bytes times both).  What is pruned backs off.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties
 go to the language that comes first by name; repeated rows are predicted each;
-rows with a null language teach nothing; without any labelled row every text is
-``und``; an empty table gives an empty table; extra columns are carried.
+rows with a null language teach nothing; more than ``MAX_LANGS`` languages are
+refused; without any labelled row every text is ``und``; an empty table gives an empty table; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -102,15 +103,17 @@ class Scorer(dict):
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def sample(docs: DataFrame, per_lang: int, text: str, lang: str) -> tuple[DataFrame, list[str]]:
+def sample(docs: DataFrame, per_lang: int, text: str, lang: str, ident: str = "doc_id") -> tuple[DataFrame, list[str]]:
     """About ``per_lang`` rows of each language (all if it has fewer), and the languages by name."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(ident, text, F.lit(17)).alias("draw"))
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect())
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: rarer ones could never be predicted")
     share = F.broadcast(docs.sparkSession.createDataFrame(
         [(name, min(1.0, per_lang / n)) for name, n in sizes], "lang string, share double"))
-    chosen = rows.join(share, "lang").filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    return chosen.drop("share"), [name for name, _ in sizes]
+    chosen = rows.join(share, "lang").filter(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    return chosen.drop("share", "draw"), [name for name, _ in sizes]
 
 
 def key_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
@@ -145,9 +148,10 @@ def key_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
                                      for i in range(len(langs))])
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG,
+        ident: str = "doc_id") -> Model:
     """The model from the labelled rows of ``docs``."""
-    rows, langs = sample(docs, per_lang, text, lang)
+    rows, langs = sample(docs, per_lang, text, lang, ident)
     if not langs:
         return Model([], [], np.zeros((0, 0)), [], np.zeros((0, 0)))
     names = [f"n{i}" for i in range(len(langs))]

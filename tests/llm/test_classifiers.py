@@ -36,6 +36,16 @@ def test_language_cases(spark, docs):
     assert language_id.predict(docs([]), model).count() == 0
 
 
+def test_language_sample_of_copies(spark, docs, monkeypatch):
+    rows = docs([(i, "one text in many copies", "en", "s") for i in range(20_000)] + [(30_000, "ein text", "de", "s")])
+    chosen, langs = language_id.sample(rows, 1000, "text", "lang")
+    n = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    assert langs == ["de", "en"] and n["de"] == 1 and 800 < n["en"] < 1200
+    monkeypatch.setattr(language_id, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(rows)
+
+
 def test_words_come_before_grams(spark):
     langs, none = ["a", "b"], np.zeros((0, 2), np.float32)
     s = language_id.Scorer(language_id.Model(langs, ["xy"], np.array([[-1, -9]], np.float32), ["xy", "x", "z"],
