@@ -7,6 +7,10 @@ with the digests of known licence texts and notices.  The known ones are a fixed
 table of a few rows, which is broadcast; one row per document and one per match
 are shuffled.
 
+Known are the notices and short texts of ``KNOWN`` and the full texts in the
+folder ``licenses``, with and without their usual title.  The oracle SQL knows
+``KNOWN`` only; a text that is one of the others is null there.
+
 Defined cases: a null, empty or blank text matches nothing; repeated rows each
 get their row; equal lines count each; a text that is one known notice matches
 as a whole and as a line; an empty table gives an empty table; extra columns are
@@ -15,6 +19,8 @@ not carried.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +58,16 @@ KNOWN = [
             "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
 
+# Usual titles of full texts whose file has none.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["The MIT License", "The MIT License (MIT)"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+}
+
 # Steps to the canonical form, in this order; each works on the text in lower case and keeps line ends.
 STEPS = [
     (r"(?m)^[^\pL\pN\n]*(?:copyright|\(c\)|©|all rights reserved)(?:[^\pL\n][^\n]*)?$", ""),
@@ -82,6 +98,24 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Full licence texts with their usual titles, and the forms in which some are spread."""
+    found = [(f.name[:-4], f.read_text("utf-8")) for f in files("quarry.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt")]
+    found += [(k, body.split("\n", 1)[1]) for k, body in KNOWN if body.startswith("MIT License\n")]
+    # BSD with bullets, Apache without its appendix, ISC and Unlicense in their older words.
+    for name, body in list(found):
+        if name.startswith("BSD-"):
+            found.append((name, body.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")))
+        elif name == "Apache-2.0":
+            end = body.index("END OF TERMS AND CONDITIONS")
+            found += [(name, body[:end]), (name, body[:end] + "END OF TERMS AND CONDITIONS")]
+        elif name == "ISC":
+            found.append((name, body.replace("and/or distribute", "and distribute")))
+        elif name == "Unlicense":
+            found.append((name, body.replace("https://unlicense.org/", "http://unlicense.org/")))
+    return found + [(name, f"{title}\n\n{body}") for name, body in found for title in TITLES.get(name, [])]
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
     """(digest, license) of the known texts; equal canonical texts must be one licence."""
     rows = spark.createDataFrame(known, "license string, body string")
@@ -93,7 +127,7 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, t
     """Per row: id, text_hash, whole (licence of the entire text), n_lines (that are notices) and their licences."""
     spark = docs.sparkSession
     marker = spark.createDataFrame([("", None)], "digest string, license string")
-    table = F.broadcast(known_digests(spark, KNOWN if known is None else known).union(marker))
+    table = F.broadcast(known_digests(spark, KNOWN + full_texts() if known is None else known).union(marker))
     rows = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"), canonical_lines(F.col(text)).alias("body"))
     lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     probe = rows.select("id", "text_hash", F.explode(F.concat(

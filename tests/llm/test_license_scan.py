@@ -26,3 +26,15 @@ def test_forms(docs):
 def test_own_table_of_licences(docs):
     out = ls.scan_licenses(docs([(1, "be NICE.")]), [("NICE", "Be nice!")]).collect()
     assert [(r["whole"], r["n_lines"]) for r in out] == [("NICE", 1)]
+
+
+def test_full_texts(docs):
+    texts = {f.name[:-4]: f.read_text("utf-8") for f in ls.files("quarry.llm").joinpath("licenses").iterdir()}
+    assert {"BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "Apache-2.0"} <= set(texts)
+    names = sorted(texts)
+    rows = [(i, texts[n]) for i, n in enumerate(names)]
+    rows += [(100, "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + texts["BSD-3-Clause"]),
+             (101, "The MIT License (MIT)\n\nCopyright (c) 2020 X\n" + MIT.split("\n", 1)[1]),
+             (102, texts["BSD-2-Clause"] + "\nand more words")]
+    got = {r[0]: r[1] for r in run(docs, rows)}
+    assert got == dict(enumerate(names)) | {100: "BSD-3-Clause", 101: "MIT", 102: None}
