@@ -29,14 +29,15 @@ longer than a shard's usual size has a shard of its own.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,9 @@ MAGIC = b"QRYIDS01"
 SHARD_BYTES = 32 << 20
 SHARD_ROWS = 1 << 16
 #: Pieces in a task's memory; when it is full it becomes the older half, which is asked before encoding anew.
-MEMO = 1 << 17
+MEMO = 1 << 18
+#: Pieces from this length on are not remembered.
+LONG = 64
 
 # --------------------------------------------------------------------------- encoding
 
@@ -62,8 +65,10 @@ CUT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 CUT_PRETOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": CUT_PATTERN}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-#: Letters of the first two Unicode blocks, perhaps before one mark: one or two pre-tokens, lower-cased letter by letter.
-PLAIN = regex.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+#: Pieces of letters of the first two Unicode blocks, digits and ASCII signs without quotes and bars: their pre-tokens are
+#: runs of letters, single digits and runs of signs, lower-cased letter by letter.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\\[-`{}~]+").fullmatch
+PRE_TOKENS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
 def byte_letters() -> dict[int, str]:
@@ -82,9 +87,11 @@ class Pieces(dict):
         self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
+        self.older_words: dict[str, bytes] = {}
+        self.packers = [struct.Struct(f"<{n}{'H' if dtype == '<u2' else 'I'}").pack for n in range(33)]
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, dtype=self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -93,34 +100,35 @@ class Pieces(dict):
         """Ids of one lower-case pre-token."""
         packed = self.words.get(word)
         if packed is None:
-            shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            packed = self.pack([t.id for t in self.model.tokenize(shown)])
+            packed = self.older_words.get(word)
+            if packed is None:
+                shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                packed = self.pack([t.id for t in self.model.tokenize(shown)])
             if len(self.words) >= MEMO:
-                self.words = {"": b""}
+                self.words, self.older_words = {"": b""}, self.words
             self.words[word] = packed
         return packed
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            plain = PLAIN(piece) if len(piece) < 64 else None
-            if plain:
-                packed = self.word(plain[1].lower()) + self.word(plain[2])
-            else:
-                packed = self.whole(piece) if piece else b""
-        if len(piece) < 64:
-            if len(self) >= MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = packed
+            if len(piece) >= LONG:
+                return self.whole(piece)
+            packed = b"".join(map(self.word, PRE_TOKENS(piece.lower()))) if PLAIN(piece) else self.whole(piece) if piece else b""
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
 
+@lru_cache(maxsize=1)
 def encoder(spec: str, dtype: str) -> Callable[[str], bytes]:
     """Text -> packed ids as the tokenizers library gives them without special tokens.
 
     ``spec`` is the tokenizer's JSON.  Where its rules let texts be cut at
     spaces each distinct piece is encoded once; otherwise texts are encoded whole.
+    A worker process keeps its encoder, with the pieces it knows, for its next task.
     """
     from tokenizers import Tokenizer
 
