@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quarry.session import checkpoint_root, materialize, ship_package
 
-__all__ = ["BUCKETS", "cut", "documents", "fold", "in_buckets", "prepared", "ranks_bytes", "same_row", "table",
+__all__ = ["BUCKETS", "cut", "documents", "fold", "free_name", "in_buckets", "prepared", "ranks_bytes", "same_row", "table",
            "with_text_columns", "without_rows"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
@@ -46,6 +46,14 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same_row(docs: DataFrame, rows: DataFrame, text: str, ident: str) -> Column:
     """Join condition: a row of ``docs`` has the id and text hash of (id, text_hash) in ``rows``."""
     return docs[ident].eqNullSafe(rows["id"]) & (F.xxhash64(docs[text]) == rows["text_hash"])
@@ -89,9 +97,7 @@ def with_text_columns(
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new and not (drop and c == source)]
     schema = T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in keep] + fields)
-    hidden = "__in"
-    while hidden in {c.lower() for c in df.columns}:
-        hidden += "_"
+    hidden = free_name(df, "__in")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute, out_types = make(), None

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate as dc
 
@@ -18,10 +19,10 @@ def brute(docs, items):
     wins = {}
     for i, t in items:
         ws = words(t)
-        if ws and i is not None:
+        if ws:
             n = min(13, len(ws))
             for k in range(len(ws) - n + 1):
-                wins.setdefault(tuple(ws[k:k + n]), set()).add(str(i))
+                wins.setdefault(tuple(ws[k:k + n]), set()).update(() if i is None else (str(i),))
     lengths = {len(w) for w in wins}
     out = []
     for d, t in docs:
@@ -91,3 +92,38 @@ def test_removal(spark, docs, bench):
 def test_main_path_is_native(spark):
     plan = dc.op7_decontaminate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_clashing_names(spark, docs, bench):
+    rows = docs([(1, "z " * 100 + LONG), (2, LONG), (3, "clean")])
+    for name in ("hits", "__hits", "id", "text_hash", "__id", "pos", "key"):
+        rows = rows.withColumn(name, F.lit(name))
+    cleaned = {r["doc_id"]: r for r in dc.remove_spans(rows, bench([(1, LONG)])).collect()}
+    assert words(cleaned[2]["text"]) == [] and cleaned[3]["text"] == "clean" and cleaned[1]["__hits"] == "__hits"
+    left = dc.remove_contaminated(rows, bench([(1, LONG)]))
+    assert left.columns == rows.columns and [r["doc_id"] for r in left.collect()] == [3]
+
+
+def test_very_long_text(spark, on_disk, bench):
+    items = [(1, LONG), (2, "solo"), (None, "no id here")]
+    docs = [(1, "z y " * 40_000 + LONG + " q" * 20_000 + " solo"), (2, "no id here " * 20_000)]
+    assert run(spark, on_disk(docs, benchmark=bench(items))) == brute(docs, items)
+
+
+def test_texts_do_not_go_through_the_key_join(spark, docs, bench, monkeypatch):
+    """With nothing broadcast, what is shuffled by window key holds no word array of a text."""
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(dc, "cut", lambda df, name: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = dc.item_windows(bench([(1, LONG)]))
+        plan = dc.verified_hits(docs([(1, LONG)]), windows, [13], "text", "doc_id")._jdf.queryExecution().optimizedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join" and "key" in node.condition().toString():
+            joins.append([node.children().apply(i).output().mkString(",") for i in range(2)])
+    assert joins and all("ws#" not in side for sides in joins for side in sides)
