@@ -38,6 +38,8 @@ MAX_N = 4
 SAMPLE_PER_LANG = 6_000
 MAX_WORDS, MAX_GRAMS = 100_000, 60_000
 MAX_LANGS = 1_000
+#: Numbers that the model has at most: with many languages it keeps fewer words and n-grams.
+MAX_CELLS = 1 << 24
 SMOOTH = 0.5
 #: Unseen words that a task remembers, and distinct keys it counts before it hands them on.
 MEMO = FLUSH = 1 << 17
@@ -48,6 +50,11 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i:i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
+def has_letter(word: str) -> bool:
+    """Whether a word is one: signs such as a raised two count as word characters without being letters."""
+    return any(map(str.isalpha, word))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -62,9 +69,10 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.known = {w: i + 1 for i, w in enumerate(model.words)}
+        self.known = {w: i + 1 if has_letter(w) else 0 for i, w in enumerate(model.words)}
         self.grams = dict(zip(model.grams, model.gram_rows, strict=True))
-        self.table = np.zeros((len(model.words) + 1 + MEMO, len(model.langs)), np.float32)
+        self.memo = max(1024, min(MEMO, MAX_CELLS // max(1, len(model.langs))))
+        self.table = np.zeros((len(model.words) + 1 + self.memo, len(model.langs)), np.float32)
         self.table[1:len(model.words) + 1] = model.word_rows
         self.langs = model.langs
         self.restart()
@@ -75,7 +83,7 @@ class Scorer(dict):
         self.free = len(self.known) + 1
 
     def __missing__(self, word: str) -> int:
-        if not any(c.isalpha() for c in word):
+        if not has_letter(word):
             return 0
         at = self[word] = self.free
         self.free += 1
@@ -90,8 +98,8 @@ class Scorer(dict):
     def predict(self, text: bytes | None) -> tuple[str, float]:
         words = WORD.findall((text or b"").decode("utf-8", "replace").lower())
         total, letters = np.zeros(len(self.langs)), False
-        for i in range(0, len(words), MEMO // 2):
-            some = words[i:i + MEMO // 2]
+        for i in range(0, len(words), self.memo // 2):
+            some = words[i:i + self.memo // 2]
             if self.free + len(some) > len(self.table):
                 self.restart()
             rows = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
@@ -124,6 +132,8 @@ def key_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
         for i, words in enumerate(counts):
             out: Counter = Counter()
             for w, c in words.items():
+                if not has_letter(w):
+                    continue
                 out["w" + w] += c
                 for n in range(1, MAX_N + 1):
                     for g in grams(w, n):
@@ -168,7 +178,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
         size = np.array([totals[k[0]]["keys"] for k in keys], np.float64)[:, None]
         return [k[1:] for k in keys], np.log((n + SMOOTH) / (seen + SMOOTH * size)).astype(np.float32)
 
-    return Model(langs, *top(True, MAX_WORDS), *top(False, MAX_GRAMS))
+    share = min(1.0, MAX_CELLS / (len(langs) * (MAX_WORDS + MAX_GRAMS)))
+    return Model(langs, *top(True, int(share * MAX_WORDS)), *top(False, int(share * MAX_GRAMS)))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import SLICE_ROWS, cut, documents, fold, prepared, table, with_text_columns
+from quarry.llm.common import SLICE_ROWS, cut, documents, fold, free_name, prepared, table, with_text_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 15_000
@@ -173,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(features, w, b)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """``docs`` with score, the estimated probability that the text is toxic."""
+def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the estimated probability that the text is toxic."""
     def make():
         finder = Finder(model.features)
 
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
             return float(1 / (1 + np.exp(-(model.bias + sum(model.weights[i] for i in finder.find(t))))))
         return lambda texts: [[one(t) for t in texts]]
 
-    return with_text_columns(docs, [T.StructField("score", T.DoubleType())], make, text, drop_text)
+    return with_text_columns(docs, [T.StructField(out, T.DoubleType())], make, text, drop_text)
 
 
 def training_part(df: DataFrame) -> DataFrame:
@@ -192,9 +192,8 @@ def training_part(df: DataFrame) -> DataFrame:
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold."""
     model = fit(training_part(docs), training_part(labels))
-    order = docs.columns
-    scored = score(docs.withColumnRenamed("score", "__score"), model)
-    return scored.filter(F.col("score") < threshold).drop("score").withColumnRenamed("__score", "score").select(*order)
+    name = free_name(docs, "score")
+    return score(docs, model, out=name).filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,46 @@ def test_language_cases(spark, docs):
     assert language_id.predict(docs([]), model).count() == 0
 
 
+def test_signs_are_no_letters(spark, docs):
+    train = docs([(i, "² the ² ½", "en", "s") for i in range(40)] + [(100 + i, "der ¾ Ⅷ", "de", "s") for i in range(40)])
+    model = language_id.fit(train)
+    assert not any(map(str.isdigit, model.words))
+    rows = docs([(1, "² ²"), (2, "² ½ ¾"), (3, "² the"), (4, "der ²")])
+    assert {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language_id.predict(rows, model).collect()} == \
+        {1: ("und", False), 2: ("und", False), 3: ("en", True), 4: ("de", True)}
+    signs = language_id.Scorer(language_id.Model(["a", "b"], ["²"], np.array([[-1, -9]], np.float32), [], np.zeros((0, 2), np.float32)))
+    assert signs.predict("² ²".encode()) == ("und", 0.0)
+
+
+def test_language_score_equals_plain_sums(spark, docs):
+    """The score against the method said plainly: words by their log frequency, unseen ones by their longest known n-grams."""
+    train = docs([(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat the dog", "en"), ("der hund der tag", "de"), ("le chat", "fr")] * 3)])
+    m = language_id.fit(train)
+    words, grams = dict(zip(m.words, m.word_rows)), dict(zip(m.grams, m.gram_rows))
+
+    def row(w):
+        if w in words:
+            return words[w]
+        for n in range(4, 0, -1):
+            have = [grams[g] for g in language_id.grams(w, n) if g in grams]
+            if have:
+                return np.mean(have, axis=0)
+        return np.zeros(len(m.langs))
+
+    texts = ["the hund", "cats und dogs", "xq", "tage chats lehr", "ß"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs(list(enumerate(texts))), m).collect()}
+    for i, t in enumerate(texts):
+        total = sum(row(w) for w in t.split())
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[i][0] == m.langs[int(p.argmax())] and abs(got[i][1] - p.max()) < 1e-5
+
+
+def test_many_languages_keep_the_model_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_CELLS", 40)
+    model = language_id.fit(docs([(i, f"word{i} common", f"l{i}", "s") for i in range(4)]))
+    assert (len(model.words) + len(model.grams)) * 4 <= 40
+
+
 def test_language_sample_of_copies(spark, docs, monkeypatch):
     rows = docs([(i, "one text in many copies", "en", "s") for i in range(20_000)] + [(30_000, "ein text", "de", "s")])
     chosen, langs = language_id.sample(rows, 1000, "text", "lang")
@@ -123,3 +163,11 @@ def test_quality_cases(spark, docs, labels):
 def test_cut_lies_in_the_gap():
     s = np.array([-5, -4.5, -4, 2, 2.1, 2.2, 2.3, 2.4, 2.5, 2.6])
     assert all(-4 < quality_ranker.quantile_cut(s, bad) < 2 for bad in (3, 4)) and quality_ranker.quantile_cut(s[:2], 1) == -4.75
+
+
+def test_removal_with_clashing_names(spark):
+    docs = documents(spark, SF).withColumn("score", F.lit("own")).withColumn("__score", F.lit(3)).withColumn("score_", F.lit(4))
+    left = toxicity.remove_toxic(docs, table(spark, SF, "labels"))
+    assert left.columns == docs.columns
+    assert left.select("score", "__score", "score_").distinct().collect() == [("own", 3, 4)]
+    assert left.count() == toxicity.remove_toxic(documents(spark, SF), table(spark, SF, "labels")).count()
