@@ -13,7 +13,7 @@ language's estimate, or that of all rows.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null
 language or source is a value of its own; repeated rows count each; a group
-without spread has the least scatter ``FLOOR`` and rejects nothing equal; an
+without spread has the scatter ``FLOOR`` and rejects nothing equal; an
 empty table gives an empty table; extra columns are not carried.
 """
 
@@ -35,8 +35,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 DIMS = 5
 CORE = 0.75
 STEPS = 4
+#: Groups times starts whose one number each is broadcast.
+FEW_GROUPS = 100_000
 MIN_GROUP = 100
-#: Least variance of each transformed statistic.
+#: Added to the variance of each transformed statistic, so that none is next to zero.
 FLOOR = (0.25, 0.02, 0.5, 1.0, 1.0)
 #: Variances of a core of 0.75 of a 5-variate normal sample are this factor too small.
 CONSISTENT = 1.42
@@ -157,8 +159,9 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     est = cut(starts(rows), "mcd-0")
     for step in range(1, STEPS + 1):
         near = rows.join(est, "grp").select("grp", "start", *[f"x{j}" for j in range(DIMS)], distance().alias("d"))
-        reach = near.groupBy("grp", "start").agg(F.percentile_approx("d", CORE, 10000).alias("reach"))
-        core = near.join(reach, ["grp", "start"]).filter("d <= reach")
+        reach = cut(near.groupBy("grp", "start").agg(F.percentile_approx("d", CORE, 10000).alias("reach")), f"mcd-reach-{step}")
+        # one narrow row per group: no row moves to a hot group's task while they are few
+        core = near.join(F.broadcast(reach) if reach.count() <= FEW_GROUPS else reach, ["grp", "start"]).filter("d <= reach")
         est = cut(factored(core.groupBy("grp", "start").agg(*moments(CONSISTENT))), f"mcd-{step}")
     best = est.groupBy("grp").agg(F.min(F.struct("log_det", "start"))["start"].alias("start"))
     return est.join(best, ["grp", "start"])
@@ -169,7 +172,8 @@ def judge(docs: DataFrame, **columns: str) -> DataFrame:
     stats = cut(statistics(docs, **columns).withColumn("base_failed", base_failed()), "quality-stats")
 
     def name(*parts: str) -> Column:
-        return F.concat_ws("\x01", *[F.coalesce(F.col(p), F.lit("\x02")) for p in parts])
+        """A group of rows with equal ``parts``; the number of parts tells the levels apart."""
+        return F.concat_ws("\x01", F.lit(str(len(parts))), *[F.coalesce(F.col(p), F.lit("\x02")) for p in parts])
 
     passed = stats.filter("NOT base_failed")
     cells = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -177,11 +181,11 @@ def judge(docs: DataFrame, **columns: str) -> DataFrame:
     levels = cut(cells.withColumnRenamed("lang", "l").join(langs, F.col("l").eqNullSafe(langs["lang"])).select(
         F.col("l").alias("g_lang"), F.col("source").alias("g_source"),
         F.when(F.col("n") >= MIN_GROUP, name("l", "source")).when(F.col("n_lang") >= MIN_GROUP, name("l"))
-        .otherwise("").alias("grp")), "quality-groups")
+        .otherwise(name()).alias("grp")), "quality-groups")
     # A pooled estimate is one of all rows of its language, or of all rows.
     pooled = levels.select("grp").distinct()
     whole = passed.select("lang", "source", *[x.alias(f"x{j}") for j, x in enumerate(vector())])
-    members = whole.withColumn("grp", F.explode(F.array(name("lang", "source"), name("lang"), F.lit("")))) \
+    members = whole.withColumn("grp", F.explode(F.array(name("lang", "source"), name("lang"), name()))) \
         .join(pooled, "grp", "left_semi")
     est = cut(robust_estimates(members), "mcd")
     rated = stats.join(levels, F.col("lang").eqNullSafe(levels["g_lang"]) & F.col("source").eqNullSafe(levels["g_source"]), "left") \

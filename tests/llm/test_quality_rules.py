@@ -90,3 +90,12 @@ def test_groups_have_their_own_estimates(spark, docs):
 def test_main_path_is_native(spark):
     plan = qr.op3_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty_language_is_no_pool(spark, docs):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(["alpha", "be", "gamma7", "delta"]) + str(rng.randrange(99)) for _ in range(rng.randint(20, 60)))
+    rows = [(i, text(), "", f"s{i % 3}") for i in range(260)] + [(1000 + i, text(), "xx", "t") for i in range(130)]
+    same = [(i, t, "en" if lang == "" else lang, s) for i, t, lang, s in rows]
+    got, want = ({r["id"]: (r["distance"], r["kept"]) for r in qr.judge(docs(x)).collect()} for x in (rows, same))
+    assert got == want
