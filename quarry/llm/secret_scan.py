@@ -6,8 +6,7 @@ where a complementary part lies in the same scope, however far apart: an
 identifier or endpoint needs a secret, an opaque token needs an identifier or an
 endpoint.  A scope is a block of lines without a blank line.  The parts are
 intervals sorted by start; one sweep in each direction joins each with the
-nearest complementary one, so no pairs are listed.  Only a direct call of
-``find_spans`` bounds the distance (``MAX_GAP``) unless told ``gap=None``.
+nearest complementary one, so no pairs are listed.
 
 Spans are ``kind:start:end`` in code points, end exclusive.  Defined cases: a
 null text is empty and has no spans; repeated rows are scanned each; an empty
@@ -33,13 +32,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
+#: What is masked unless told otherwise.
+SECRET_KINDS = ("assign", "access", "hex", "opaque")
 
 # Weak parts.
 IDENT = re.compile(r"""(?<![A-Za-z])(?:client_?id|user_?(?:name|id)?|login|account_?(?:id|name)?|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,30}://[^\s"'<>]+""")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
-MAX_GAP = 400
 MIN_ENTROPY = 3.5
 
 # Which bytes a text must have for a pattern to be tried.
@@ -90,25 +90,23 @@ def weak_parts(data: bytes, text: str, strong: list[tuple[int, int, str]]) -> li
     return out
 
 
-def linked(parts: list[tuple[int, int, str]], breaks: list[int], gap: int | None) -> list[tuple[int, int, str]]:
-    """The weak ones among ``parts`` (sorted) that have a complementary part in their scope, within ``gap`` if given."""
+def linked(parts: list[tuple[int, int, str]], breaks: list[int]) -> list[tuple[int, int, str]]:
+    """The weak ones among ``parts`` (sorted) that have a complementary part anywhere in their scope."""
     kept = set()
     for forward in (True, False):
-        last: dict[str, int] = {}
+        seen: set[str] = set()
         cuts = iter(breaks if forward else reversed(breaks))
         cut = next(cuts, None)
         for s, e, kind in parts if forward else reversed(parts):
             while cut is not None and (cut <= s if forward else cut >= e):
-                last, cut = {}, next(cuts, None)
-            wanted = PARTNERS.get(kind, ())
-            if any(r in last and (gap is None or (s - last[r] if forward else last[r] - e) <= gap) for r in wanted):
+                seen, cut = set(), next(cuts, None)
+            if seen & PARTNERS.get(kind, set()):
                 kept.add((s, e, kind))
-            role = ROLE[kind]
-            last[role] = (max(last.get(role, 0), e) if forward else min(last.get(role, s), s))
+            seen.add(ROLE[kind])
     return [p for p in parts if p in kept]
 
 
-def find_spans(data: bytes | None, gap: int | None = MAX_GAP) -> list[tuple[int, int, str]]:
+def find_spans(data: bytes | None) -> list[tuple[int, int, str]]:
     """All reported spans (start, end, kind) of a text, by start, then by kind in order."""
     data = data or b""
     text = data.decode("utf-8", "replace")
@@ -116,25 +114,24 @@ def find_spans(data: bytes | None, gap: int | None = MAX_GAP) -> list[tuple[int,
     weak = weak_parts(data, text, strong)
     if weak:
         breaks = [m.start() for m in BLANK.finditer(text)]
-        weak = linked(sorted(strong + weak), breaks, gap)
+        weak = linked(sorted(strong + weak), breaks)
     return sorted(strong + weak, key=lambda p: (p[0], KINDS.index(p[2])))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans", gap: int | None = None,
-                 drop_text: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans", drop_text: bool = False) -> DataFrame:
     """``docs`` with ``out``: array of (kind, start, end), by start, then kind."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                          T.StructField("end", T.LongType())])
 
     def make():
-        return lambda texts: [[[{"kind": k, "start": s, "end": e} for s, e, k in find_spans(t, gap)] for t in texts]]
+        return lambda texts: [[[{"kind": k, "start": s, "end": e} for s, e, k in find_spans(t)] for t in texts]]
 
     return with_text_columns(docs, [T.StructField(out, T.ArrayType(span))], make, text, drop_text)
 
 
-def redact(data: bytes | None, gap: int | None = None, mark: str = "[SECRET]") -> str | None:
-    """The text with each maximal run of overlapping spans replaced by ``mark``."""
-    spans = find_spans(data, gap)
+def redact(data: bytes | None, kinds: tuple[str, ...] = SECRET_KINDS, mark: str = "[SECRET]") -> str | None:
+    """The text with each maximal run of overlapping spans of ``kinds`` replaced by ``mark``."""
+    spans = [p for p in find_spans(data) if p[2] in kinds]
     if data is None or not spans:
         return None if data is None else data.decode("utf-8", "replace")
     text, out, at = data.decode("utf-8", "replace"), [], 0
@@ -145,10 +142,13 @@ def redact(data: bytes | None, gap: int | None = None, mark: str = "[SECRET]") -
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", gap: int | None = None) -> DataFrame:
-    """``docs`` with every reported span of the text masked; texts without one stay as they are."""
+def redact_secrets(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = SECRET_KINDS) -> DataFrame:
+    """``docs`` with the reported spans of ``kinds`` masked; texts without one stay as they are.
+
+    Identifiers and endpoints are no secrets: they are masked only if ``kinds`` has them.
+    """
     def make():
-        return lambda texts: [[redact(t, gap) for t in texts]]
+        return lambda texts: [[redact(t, kinds) for t in texts]]
 
     order = docs.columns
     return with_text_columns(docs, [T.StructField(text, T.StringType())], make, text).select(*order)
