@@ -70,11 +70,13 @@ TITLES = {
 
 # Steps to the canonical form, in this order; each works on the text in lower case and keeps line ends.
 STEPS = [
-    (r"(?m)^[^\pL\pN\n]*(?:copyright|\(c\)|©|all rights reserved)(?:[^\pL\n][^\n]*)?$", ""),
+    (r"(?m)^[^\pL\pN\n©(]*copyright[^\pL\pN\n©(\[<{]*(?:\(c\)|©|[0-9]{4}|[\[<{](?:yyyy|year)|by\b)[^\n]*$", ""),
+    (r"(?m)^[^\pL\pN\n©(]*(?:\(c\)|©)(?:[\x20\t]*[0-9]{4}[^\n]*|(?:[\x20\t]+[^\x20\t\n]+){0,4}[\x20\t]*)$", ""),
+    (r"(?m)^[^\pL\pN\n]*(?:copyright|all rights reserved)[^\pL\pN\n]*$", ""),
     (r"licenc(e|ed|es|ing)\b", r"licens\1"),
-    (r"\bv(?:ersion|er)?[.\x20]*([0-9])", r"version \1"),
+    (r"\bv(?:ersion|er)?[.\x20\n]*([0-9])", r"version \1"),
     (r"(version [0-9])\.0\b", r"\1"),
-    (r"\bnon[-\x20]commercial", "noncommercial"),
+    (r"\bnon[-\x20\n]+commercial", "noncommercial"),
     (r"\bsub-licens", "sublicens"),
     (r"&", " and "),
     (r"(mer)chantibility", r"\1chantability"),

@@ -1,4 +1,7 @@
 """Spellings that are one licence, and defined cases."""
+import re
+import textwrap
+
 from quarry.llm import license_scan as ls
 
 MIT = dict((k, v) for k, v in ls.KNOWN if v.startswith("MIT License"))["MIT"]
@@ -38,3 +41,38 @@ def test_full_texts(docs):
              (102, texts["BSD-2-Clause"] + "\nand more words")]
     got = {r[0]: r[1] for r in run(docs, rows)}
     assert got == dict(enumerate(names)) | {100: "BSD-3-Clause", 101: "MIT", 102: None}
+
+
+def refilled(text, width):
+    """Paragraphs wrapped anew; lines that state a holder stay lines of their own."""
+    out = []
+    for part in text.split("\n\n"):
+        held = []
+        for line in [*part.split("\n"), None]:
+            holder = line is not None and re.match(r"\s*copyright\s*(\(c\)|©|\d{4}|\[yyyy\]|<year>)", line, re.I)
+            if line is None or holder:
+                if held:
+                    out.append(textwrap.fill(" ".join(" ".join(held).split()), width))
+                    held = []
+                if holder:
+                    out.append(line)
+            else:
+                held.append(line)
+        out.append("")
+    return "\n".join(out)
+
+
+def test_full_texts_wrapped_at_other_widths(docs):
+    texts = {f.name[:-4]: f.read_text("utf-8") for f in ls.files("quarry.llm").joinpath("licenses").iterdir()}
+    rows, want = [], {}
+    for name, body in sorted(texts.items()):
+        for width in (60, 67, 72, 79, 85, 100):
+            want[len(rows)] = name
+            rows.append((len(rows), refilled(body, width)))
+    got = {r[0]: r[1] for r in run(docs, rows)}
+    assert {i: (want[i], got[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_very_long_text(docs):
+    long = "x y z " * 60_000
+    assert run(docs, [(1, long + "\nReleased under the MIT License.\n" + long)]) == [(1, None, 1, "MIT")]
