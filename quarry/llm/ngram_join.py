@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_ROWS, cut, documents, in_buckets, prepared, same_row, without_rows
+from quarry.llm.common import SLICE_ROWS, cut, documents, free_name, in_buckets, prepared, same_row, without_rows
 from quarry.llm.graph import components
 
 WORDS = 5                 # words of a shingle
@@ -346,8 +346,9 @@ def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Data
     single = without_rows(docs, judged.select("id", "text_hash"), text, ident)
     kept = judged.filter("__stays")
     maybe = in_buckets(docs, kept, text)
+    mark = free_name(docs, "text_hash")
     return single.unionByName(maybe.join(kept, same_row(maybe, kept, text, ident), "left_semi")
-                              .withColumn("__hash", F.xxhash64(text)).dropDuplicates([ident, "__hash"]).drop("__hash"))
+                              .withColumn(mark, F.xxhash64(text)).dropDuplicates([ident, mark]).drop(mark))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import ngram_join as nj
 
@@ -82,3 +83,12 @@ def test_boundary_similarity(spark, docs):
     assert run(spark, rows, docs) == [(1, 12, 1), (2, 9, 1), (3, 8, 1)]
     rows = [(1, " ".join(a[:16])), (3, " ".join(a[:12]))]
     assert run(spark, rows, docs) == [(1, 12, 1), (3, 8, 3)]
+
+
+def test_keep_one_with_clashing_names(spark, docs):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = docs([(1, text), (2, text + " end"), (3, "other words here")])
+    for name in ("__hash", "text_hash", "id", "root", "__stays", "__bucket"):
+        rows = rows.withColumn(name, F.lit(name))
+    left = nj.keep_one(rows)
+    assert left.columns == rows.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
