@@ -51,7 +51,7 @@ MAGIC = b"QRYIDS01"
 SHARD_BYTES = 32 << 20
 SHARD_ROWS = 1 << 16
 #: Pieces in a task's memory; when it is full it becomes the older half, which is asked before encoding anew.
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: Pieces from this length on are not remembered.
 LONG = 64
 
