@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import calls as C
+from quarry.operators.callgraph import reachable_scopes
 from quarry.operators.codefacts import extract_facts, normalize_sources, quarantine
 from quarry.plans.calls import apply_policies, call_inventory, io_inventory
 from quarry.session import materialize
@@ -44,7 +45,8 @@ def q_reachable_calls(spark, sf):
 
 
 def q_branch_calls(spark, sf):
-    return _shown(apply_policies(_inventory(spark, sf).calls, branches="taken"))
+    inv = call_inventory(templated_scripts(spark, sf), targets_frame(spark, TARGETS), branches="taken")
+    return _shown(apply_policies(inv.calls))
 
 
 def q_calls_dedup(spark, sf):
@@ -108,7 +110,7 @@ def q_chained_loads(spark, sf):
 
 def q_invoked_scopes(spark, sf):
     facts = materialize(_facts(spark, sf), "facts", partition_by=["fact"])
-    return C.reachable_scopes(facts, C.call_edges(facts)).select("script_id", "scope", "depth")
+    return reachable_scopes(facts).select("script_id", "scope", "depth")
 
 
 def q_io_inventory(spark, sf):

@@ -1,159 +1,33 @@
-"""Script-inventory operators on fact rows: everything after the parse.
-
-* ``call_edges`` / ``reachable_scopes`` (J5, F6): which functions run, by a
-  breadth-first frontier over call edges from module level with a visited set
-  (linear; stops when a round finds nothing new).
-* ``resolve_arguments`` (J4, X9): argument parts that name a binding, a
-  dict-literal entry, ``self.x`` or a parameter are replaced by the parts they
-  stand for, round after round, until no part changes.  A binding is the
-  latest assignment before the reference in the same scope (then the module's
-  latest).  A parameter is bound at a call site of its function: the first
-  time a call instance needs a parameter of some function, it forks once per
-  reachable call site of that function and keeps the choice in ``alt``, so all
-  its arguments agree on it (forks happen only on demand, never by
-  enumerating call paths).  Each replacement records what it used, so cycles
-  stop.
-* ``call_rows`` (F2/J3, J6, X6-X8): target calls with caller text, the
-  caller's import-qualified path, and args / kwargs as
-  ``struct<kind, value>``.
-* ``dedup_calls`` (A5, W2, O1): first occurrence of each structurally equal
-  row, kwargs compared without regard to order.
-
-Every loop round ends in a reliable ``checkpoint`` in the cluster's
-``spark.checkpoint.dir``.
+"""Script-inventory operators on fact rows: target calls, their callers and arguments, de-duplication.
+
+* ``call_instances`` (F2/J3): target calls, and whether they may run.
+* ``assemble_arguments`` (X7-X9): args / kwargs as ``struct<kind, value>`` from resolved parts.
+* ``root_paths`` (F4, J6): names and attributes followed through aliases to the import they stem from.
+* ``call_rows`` (J6, X6): caller text, the caller's import-qualified path, the import at its root.
+* ``dedup_calls`` (A5, W2, O1): first occurrence of each structurally equal row, kwargs compared without regard to order.
+
+Which functions run is in ``callgraph``, what arguments stand for in ``values``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.codefacts import MODULE
-from quarry.session import checkpoint_root
+from quarry.operators.callgraph import facts_of, variable
+from quarry.operators.values import ALT_TYPE
+from quarry.session import materialize
 
-REF_KINDS = ["ref", "sub", "attr"]
 VALUE_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
 
 # Modules whose imports the tolerant extractor keeps real.
 ALLOWED_MODULES = ["sys", "math"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared folder), so a lost executor never replays a loop."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _facts(facts: DataFrame, kind: str) -> DataFrame:
-    return facts.filter(F.col("fact") == kind)
-
-
-# --------------------------------------------------------------------------- J5
-def _call_signatures(facts: DataFrame) -> DataFrame:
-    return _facts(facts, "call").select(
-        "script_id", F.col("scope").alias("from_scope"), F.col("cls").alias("from_cls"),
-        F.col("name").alias("callee"), "call_form", (F.col("receiver") == "self").alias("on_self"),
-        F.col("call_ord").alias("site")).join(
-        _facts(facts, "def").filter((F.col("kind") == "class") & (F.col("detail") == "bases"))
-        .select("script_id", F.col("qual").alias("from_cls"), F.lit(True).alias("inherits")).distinct(),
-        ["script_id", "from_cls"], "left")
-
-
-def callable_scopes(facts: DataFrame) -> DataFrame:
-    """(script_id, to_scope, callee, def_kind, def_scope, def_cls, is_method, shift): what a call may enter.
-
-    ``C(..)`` enters ``C.__init__``; ``shift`` is 1 when the callee's first
-    parameter is the instance.
-    """
-    defs = _facts(facts, "def").filter(F.col("kind").isin("function", "class"))
-    is_method = F.col("cls").isNotNull() & (F.col("scope") == F.col("cls")) & (F.col("kind") == "function")
-    return defs.select(
-        "script_id",
-        F.when(F.col("kind") == "class", F.concat(F.col("qual"), F.lit(".__init__"))).otherwise(F.col("qual"))
-        .alias("to_scope"),
-        F.col("name").alias("callee"), F.col("kind").alias("def_kind"), F.col("scope").alias("def_scope"),
-        F.col("cls").alias("def_cls"), is_method.alias("is_method"),
-        F.when((F.col("kind") == "class") | is_method, F.lit(1)).otherwise(F.lit(0)).alias("shift"))
-
-
-def _dispatches() -> Column:
-    """Whether a call may enter a definition of the same name.
-
-    ``f(..)`` enters a function defined at module level, in the caller's own
-    scope or in one around it; ``C(..)`` a class so defined; ``self.m(..)`` the
-    method ``m`` of the caller's class, or any method ``m`` if that class has
-    bases; ``x.m(..)`` (also ``self.x.m(..)``) any method ``m``.
-    """
-    local_or_module = (F.col("def_scope") == MODULE) | (F.col("def_scope") == F.col("from_scope")) \
-        | F.col("from_scope").startswith(F.concat("def_scope", F.lit(".")))
-    return (
-        ((F.col("call_form") == "name") & (F.col("def_kind") == "function") & local_or_module & ~F.col("is_method"))
-        | ((F.col("call_form") == "name") & (F.col("def_kind") == "class") & local_or_module)
-        | ((F.col("call_form") == "attr") & F.col("is_method")
-           & (~F.coalesce("on_self", F.lit(False)) | (F.col("def_cls") == F.col("from_cls")) | F.col("inherits")))
-    )
-
-
-def call_edges(facts: DataFrame) -> DataFrame:
-    """(script_id, from_scope, to_scope): distinct scope-level call edges, never fewer than may run.
-
-    Calls are first reduced to distinct (scope, name, form) signatures, so many
-    calls of one name never meet the definitions of that name one by one.  The
-    scope of a class statement runs its body; a class with bases may run any
-    ``__init__`` of the script; a function whose name is bound or passed on may
-    be called by whoever gets it.
-    """
-    sigs = _call_signatures(facts).drop("site").distinct()
-    scopes = callable_scopes(facts)
-    called = sigs.join(scopes, ["script_id", "callee"]).filter(_dispatches())
-    defs = _facts(facts, "def")
-    bodies = defs.filter(F.col("kind") == "class").select("script_id", F.col("scope").alias("from_scope"), F.col("qual").alias("to_scope"))
-    inits = defs.filter((F.col("kind") == "function") & (F.col("name") == "__init__")).select("script_id", F.col("qual").alias("init"))
-    heirs = defs.filter((F.col("kind") == "class") & (F.col("detail") == "bases")).select("script_id", F.col("qual").alias("heir"))
-    # one node per script stands for "some __init__", so classes and inits are not paired
-    some_init = F.lit("<init>")
-    inherited = heirs.select("script_id", F.concat("heir", F.lit(".__init__")).alias("from_scope"), some_init.alias("to_scope")) \
-        .unionByName(inits.select("script_id", some_init.alias("from_scope"), F.col("init").alias("to_scope")))
-    named = facts.filter(F.col("fact").isin("arg", "bind") & (F.col("kind") == "ref")).select(
-        "script_id", F.coalesce("qual", "scope").alias("from_scope"), F.col("value").alias("callee")).distinct()
-    escaped = named.join(scopes.select("script_id", "callee", "to_scope"), ["script_id", "callee"])
-    cols = ["script_id", "from_scope", "to_scope"]
-    return called.select(cols).unionByName(bodies.select(cols)).unionByName(inherited.select(cols)) \
-        .unionByName(escaped.select(cols)).distinct()
-
-
-def reachable_scopes(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(script_id, scope, depth): scopes entered from module level.
-
-    Breadth-first over call edges with a visited set: each round keeps only
-    scopes not seen before, so the work is linear in the call graph and stops
-    when a round finds nothing new.  ``depth`` is the fewest calls needed.
-    """
-    parsed = facts.filter(F.col("fact") != "error")  # a source that does not parse runs nothing
-    visited = cut(parsed.select("script_id").distinct().select(
-        "script_id", F.lit(MODULE).alias("scope"), F.lit(0).alias("depth")))
-    frontier = visited
-    steps = edges.select("script_id", F.col("from_scope").alias("scope"), "to_scope")
-    depth = 0
-    while True:
-        depth += 1
-        nxt = cut(
-            frontier.join(steps, ["script_id", "scope"]).select("script_id", F.col("to_scope").alias("scope"))
-            .distinct().join(visited.select("script_id", "scope"), ["script_id", "scope"], "left_anti")
-            .withColumn("depth", F.lit(depth)))
-        if nxt.isEmpty():
-            break
-        visited = cut(visited.unionByName(nxt))
-        frontier = nxt
-    return visited.filter(F.col("scope") != "<init>")
-
-
 def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Calls (optionally only target calls) with ``reachable`` (F6): its scope is entered from module level."""
-    calls = _facts(facts, "call")
+    calls = facts_of(facts, "call")
     if targets is not None:
         names = targets.select(F.col("function").alias("name")).distinct()
         calls = calls.join(names, "name", "left_semi")
@@ -162,210 +36,6 @@ def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None
         "reachable", F.coalesce("reachable", F.lit(False)))
 
 
-# --------------------------------------------------------------------------- J4
-_PART_COLS = ["script_id", "call_ord", "alt", "slot", "slot_kind", "path", "scope", "cls", "pos",
-              "kind", "lit_kind", "value", "text", "key", "home", "fmt", "arg_src", "seen", "done"]
-INSTANCE_KEY = ["script_id", "call_ord", "alt"]
-ALT_TYPE = "array<struct<scope:string,site:int>>"
-
-
-def _fmt_merge(outer: Column, inner: Column) -> Column:
-    return (F.when((outer == "fstring") | (inner == "fstring"), F.lit("fstring"))
-            .when((outer == "concat") | (inner == "concat"), F.lit("concat")).otherwise(F.lit("plain")))
-
-
-def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> DataFrame:
-    """Resolved parts of every argument of ``inst``; loops until no part changes.
-
-    Per round, each unresolved part looks up bindings with an as-of window
-    (latest binding of the same scope, name and key that ends before it) and
-    parameters with an equi-join on (function, name); the best candidate per
-    part is a grouped ``min_by`` on the rule order.  The part is then replaced
-    by the bound value's parts or by the parts of the argument passed at the
-    chosen call site.  A part with no
-    candidate, or whose call site passes nothing for the parameter, is final.
-    """
-    args = _facts(facts, "arg")
-    w = inst.select("script_id", "call_ord").join(args, ["script_id", "call_ord"]).select(
-        "script_id", "call_ord", F.array().cast(ALT_TYPE).alias("alt"), "slot", "slot_kind",
-        F.array(F.col("part")).alias("path"), "scope", "cls", "pos", "kind", "lit_kind", "value", "text", "key",
-        "home", "fmt", F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"),
-        (~F.col("kind").isin(REF_KINDS)).alias("done"))
-
-    bind_id = F.concat_ws(":", F.lit("b"), "scope", "name", F.coalesce("slot", F.lit("")), F.col("pos").cast("string"))
-    binds = _facts(facts, "bind").withColumn("used", bind_id)
-    sizes = binds.groupBy("script_id", "used").agg(F.count(F.lit(1)).alias("r_nparts"))
-    bind_parts = binds.join(sizes, ["script_id", "used"]).select(
-        "script_id", "used", "r_nparts", F.col("part").alias("r_part"), F.coalesce("qual", "scope").alias("r_home"),
-        F.col("cls").alias("r_cls"), F.col("pos").alias("r_pos"), F.col("kind").alias("r_kind"),
-        F.col("lit_kind").alias("r_lit_kind"), F.col("value").alias("r_value"), F.col("text").alias("r_text"),
-        F.col("key").alias("r_subkey"), F.col("home").alias("r_at"), F.col("fmt").alias("r_fmt"))
-    heads = binds.filter(F.col("part") == 0).select(
-        "script_id", F.col("scope").alias("a_scope"), F.col("name").alias("a_name"), F.col("slot").alias("a_key"),
-        F.coalesce("end_pos", "pos").alias("a_pos"), "used")
-    # A function may run before or after any module-level statement: it sees a module name's value only if
-    # that name, and each of its entries, is bound once.
-    times = Window.partitionBy("script_id", "a_scope", "a_name", "a_key")
-    heads = heads.withColumn("once", F.count(F.lit(1)).over(times) == 1)
-    again = heads.filter(~F.col("once")).select("script_id", "a_scope", "a_name").distinct().withColumn("rebound", F.lit(True))
-    heads = heads.join(again, ["script_id", "a_scope", "a_name"], "left").withColumn("rebound", F.coalesce("rebound", F.lit(False))).drop("once")
-    params = _facts(facts, "param").select(
-        "script_id", F.col("scope").alias("p_scope"), F.col("name").alias("l_name"),
-        F.col("slot").alias("p_slot"), F.col("slot_kind").alias("p_kind"))
-    heads = cut(heads)
-    bind_parts = cut(bind_parts)
-    arg_sizes = args.groupBy("script_id", "call_ord", "slot").agg(F.count(F.lit(1)).alias("s_nparts"))
-    site_args = args.join(arg_sizes, ["script_id", "call_ord", "slot"]).select(
-        F.col("script_id").alias("s_script_id"), F.col("call_ord").alias("s_site"), F.col("slot").alias("s_slot"),
-        F.col("slot_kind").alias("s_slot_kind"), F.col("part").alias("s_part"), "s_nparts",
-        F.col("scope").alias("s_scope"), F.col("cls").alias("s_cls"), F.col("pos").alias("s_pos"),
-        F.col("kind").alias("s_kind"), F.col("lit_kind").alias("s_lit_kind"), F.col("value").alias("s_value"),
-        F.col("text").alias("s_text"), F.col("key").alias("s_subkey"), F.col("home").alias("s_at"), F.col("fmt").alias("s_fmt"))
-    site_args = cut(site_args)
-    targets = cut(callable_scopes(facts))
-    # one shift per scope (a class and its own __init__ both name the same scope)
-    shifts = targets.groupBy("script_id", F.col("to_scope").alias("scope")).agg(F.max("shift").alias("f_shift"))
-    # call sites that run (their own scope is reachable from module level), by callee name; looked up
-    # only for the functions a call instance actually forks on
-    live_calls = cut(_call_signatures(facts).join(
-        reach.select("script_id", F.col("scope").alias("from_scope")), ["script_id", "from_scope"]))
-
-    def moved(df: DataFrame, pre: str, used: Column, sub_alias: bool) -> DataFrame:
-        """Parts that replace a reference: the bound (``r_``) or passed (``s_``) part."""
-        if sub_alias:  # name[key] where name stands for another name: keep the key, follow the name
-            kind, lit_kind, value, text, key = (F.lit("sub"), F.lit(None).cast("string"), F.col(f"{pre}value"),
-                                                F.lit(None).cast("string"), F.col("key"))
-            fmt, done = F.col("fmt"), F.lit(False)
-        else:
-            kind, lit_kind, value, text, key = (F.col(f"{pre}kind"), F.col(f"{pre}lit_kind"), F.col(f"{pre}value"),
-                                                F.col(f"{pre}text"), F.col(f"{pre}subkey"))
-            fmt, done = _fmt_merge(F.col("fmt"), F.col(f"{pre}fmt")), ~F.col(f"{pre}kind").isin(REF_KINDS)
-        home = "r_home" if pre == "r_" else "s_scope"
-        return df.select(
-            "script_id", "call_ord", "alt", "slot", "slot_kind",
-            F.concat(F.col("path"), F.array(F.col(f"{pre}part"))).alias("path"),
-            F.col(home).alias("scope"), F.col(f"{pre}cls").alias("cls"), F.col(f"{pre}pos").alias("pos"),
-            kind.alias("kind"), lit_kind.alias("lit_kind"), value.alias("value"),
-            text.alias("text"), key.alias("key"), F.col(f"{pre}at").alias("home"), fmt.alias("fmt"), "arg_src",
-            F.concat(F.col("seen"), F.array(used)).alias("seen"), done.alias("done"))
-
-    pid = F.sha2(F.to_json(F.struct("script_id", "call_ord", "alt", "slot", "path")), 256)
-    w = cut(w)
-    while True:
-        todo = w.filter(~F.col("done"))
-        if todo.isEmpty():
-            break
-        self_based = (F.col("kind") == "attr") | ((F.col("kind") == "sub") & F.col("value").startswith("self."))
-        t = todo.withColumn("pid", pid).withColumn("l_name", F.col("value")).withColumn(
-            "l_scope", F.when(self_based, F.col("cls")).otherwise(F.col("scope"))).withColumn(
-            "l_key", F.when(F.col("kind") == "sub", F.col("key"))).withColumn("self_based", self_based)
-        # Bindings: an as-of lookup per rule -- the latest binding of the same (scope, name, key) that
-        # ends before the reference -- as a union with the binding heads and a running last() in a
-        # window, so no (reference, binding) pairs are ever formed.  Rules: 10 same scope (self.x: the
-        # class, any position), 11 same scope through an alias (name[key] where name = other), 30/31
-        # the same at module level for references inside functions.
-        never = F.lit(None).cast("string")
-        last_pos = F.lit(1 << 62).cast("long")
-        own = F.col("self_based") | (F.col("home") == F.col("scope"))
-        plain = F.col("kind").isin("ref", "sub") & (F.col("scope") != MODULE) & ~F.col("self_based") & (F.col("home") == MODULE)
-        rules = [
-            (10, own, F.col("l_scope"), F.col("l_key"),
-             F.when(F.col("self_based"), last_pos).otherwise(F.col("pos"))),
-            (11, own & (F.col("kind") == "sub"), F.col("l_scope"), never,
-             F.when(F.col("self_based"), last_pos).otherwise(F.col("pos"))),
-            (30, plain, F.lit(MODULE), F.col("l_key"), last_pos),
-            (31, plain & (F.col("kind") == "sub"), F.lit(MODULE), never, last_pos),
-        ]
-        asks = reduce(DataFrame.unionByName, [
-            t.filter(cond).select("script_id", F.lit(prio).alias("prio"), scope_c.alias("a_scope"),
-                                  F.col("l_name").alias("a_name"), key_c.alias("a_key"), pos_c.alias("a_pos"),
-                                  "pid", F.lit(1).alias("side"), never.alias("used"), F.lit(False).alias("rebound"))
-            for prio, cond, scope_c, key_c, pos_c in rules])
-        known = heads.join(asks.select("script_id", "a_name").distinct(), ["script_id", "a_name"], "left_semi")
-        stream = asks.unionByName(known.select(
-            "script_id", F.lit(None).cast("int").alias("prio"), "a_scope", "a_name", "a_key", "a_pos",
-            F.lit(None).cast("string").alias("pid"), F.lit(0).alias("side"), "used", "rebound"))
-        asof = Window.partitionBy("script_id", "a_scope", "a_name", "a_key").orderBy("a_pos", "side") \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = F.when(F.col("side") == 0, F.struct("used", "a_pos", "rebound"))
-        by_bind = (stream.withColumn("last", F.last(found, ignorenulls=True).over(asof)).withColumn("hit", F.col("last.used"))
-                   .filter((F.col("side") == 1) & F.col("hit").isNotNull())
-                   .filter((F.col("prio") < 30) | ~F.col("last.rebound"))
-                   .withColumn("hit_pos", F.col("last.a_pos"))
-                   .select("hit_pos", "pid", "prio", F.lit("bind").alias("r_type"),
-                           F.when(F.col("prio").isin(10, 30), F.col("a_key")).alias("r_key"),
-                           F.col("hit").alias("used"), never.alias("p_slot"), never.alias("p_kind"),
-                           F.col("hit").alias("pkey")))
-        # Parameters: unique per (function, name), so an equi-join forms no pairs either.
-        by_param = (t.filter(F.col("kind").isin("ref", "sub") & ~F.col("self_based"))
-                    .join(params, (t.script_id == params.script_id) & (t.scope == params.p_scope)
-                          & (t.l_name == params.l_name))
-                    .select(F.lit(0).cast("long").alias("hit_pos"), "pid", F.lit(20).alias("prio"), F.lit("param").alias("r_type"), never.alias("r_key"),
-                            never.alias("used"), "p_slot", "p_kind",
-                            F.concat_ws(":", F.lit("p"), F.col("p_scope"), params.l_name).alias("pkey")))
-        cands = (by_bind.unionByName(by_param).join(t.select("pid", "seen"), "pid")
-                 .filter(~F.array_contains("seen", F.col("pkey"))))
-        best = cands.groupBy("pid").agg(F.min_by(
-            F.struct("prio", "r_type", "r_key", "used", "p_slot", "p_kind", "pkey"),
-            # of an entry and its whole dict the one bound later counts, the entry if both are one statement
-            F.struct(F.floor(F.col("prio") / 10), -F.col("hit_pos"), F.col("prio"))).alias("c")
-        ).select("pid", "c.*")
-        chosen = cut(t.join(best, "pid", "left"))
-        is_sub = F.col("kind") == "sub"
-
-        # A parameter is bound at one of its function's (reachable) call sites.  When a call instance
-        # first needs a parameter of some function, it forks once per such site and keeps the choice in
-        # ``alt``, so all its arguments agree on it.  One function per instance and round.
-        alt_site = F.filter("alt", lambda a: a["scope"] == F.col("scope"))
-        need = chosen.filter((F.col("r_type") == "param") & (F.size(alt_site) == 0))
-        if not need.isEmpty():
-            req = need.groupBy(*INSTANCE_KEY).agg(F.min("scope").alias("fork_scope"))
-            # sites entering the function from outside (a direct self-call passes values it already has)
-            entry_sites = (req.select("script_id", "fork_scope").distinct()
-                           .join(targets.withColumnRenamed("to_scope", "fork_scope"), ["script_id", "fork_scope"])
-                           .join(live_calls, ["script_id", "callee"])
-                           .filter(_dispatches() & (F.col("from_scope") != F.col("fork_scope")))
-                           .select("script_id", "fork_scope", "site").distinct())
-            forks = req.join(entry_sites, ["script_id", "fork_scope"], "left").select(
-                *INSTANCE_KEY, F.array_sort(F.concat("alt", F.array(F.struct(
-                    F.col("fork_scope").alias("scope"), F.col("site").alias("site"))))).alias("new_alt"))
-            w = cut(w.join(forks, INSTANCE_KEY, "left")
-                    .withColumn("alt", F.coalesce("new_alt", "alt")).select(*_PART_COLS))
-            continue
-
-        # replacement by a bound value
-        b = chosen.filter(F.col("r_type") == "bind").join(bind_parts, ["script_id", "used"])
-        b_used = F.col("used")
-        b_alias = is_sub & F.col("r_key").isNull()
-        b_alias_ok = b_alias & (F.col("r_nparts") == 1) & F.col("r_kind").isin("ref", "attr")
-        rb = (moved(b.filter(~b_alias), "r_", b_used, False)
-              .unionByName(moved(b.filter(b_alias_ok), "r_", b_used, True)))
-        b_stuck = b.filter(b_alias & ~b_alias_ok & (F.col("r_part") == 0))
-
-        # replacement by the argument passed at the chosen call site
-        p = (chosen.filter(F.col("r_type") == "param").withColumn("f_site", F.element_at(alt_site, 1)["site"])
-             .join(shifts, ["script_id", "scope"], "left")
-             .withColumn("site", F.col("f_site")).withColumn("shift", F.col("f_shift")))
-        pos_slot = (F.col("p_slot").cast("int") - F.col("shift")).cast("string")
-        slot_ok = (((F.col("p_kind") == "pos") & (F.col("s_slot_kind") == "pos") & (F.col("s_slot") == pos_slot))
-                   | ((F.col("s_slot_kind") == "kw") & (F.col("s_slot") == F.col("l_name"))))
-        pj = p.join(site_args, (F.col("script_id") == F.col("s_script_id")) & (F.col("site") == F.col("s_site"))
-                    & slot_ok, "left")
-        hit = F.col("s_part").isNotNull()
-        p_used = F.col("pkey")  # one site per function in ``alt``: a parameter is used at most once per chain
-        p_alias_ok = is_sub & (F.col("s_nparts") == 1) & F.col("s_kind").isin("ref", "attr")
-        rp = (moved(pj.filter(hit & ~is_sub), "s_", p_used, False)
-              .unionByName(moved(pj.filter(hit & p_alias_ok), "s_", p_used, True)))
-        p_stuck = pj.filter(~hit | (is_sub & ~p_alias_ok & (F.col("s_part") == 0)))
-
-        stuck = (chosen.filter(F.col("r_type").isNull()).select(*_PART_COLS)
-                 .unionByName(b_stuck.select(*_PART_COLS)).unionByName(p_stuck.select(*_PART_COLS))
-                 .withColumn("done", F.lit(True)))
-        step = rb.unionByName(rp).unionByName(stuck)
-        w = cut(w.filter(F.col("done")).unionByName(step.select(*_PART_COLS)))
-    return w
-
-
 def assemble_arguments(parts: DataFrame) -> DataFrame:
     """(script_id, call_ord, alt, args, kwargs) from resolved parts.
 
@@ -402,7 +72,7 @@ def assemble_arguments(parts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- J6, rows
 def import_bindings(facts: DataFrame) -> DataFrame:
     """U3 + X14: one row per imported alias; the latest import of a name wins."""
-    imp = _facts(facts, "import")
+    imp = facts_of(facts, "import")
     return imp.groupBy("script_id", F.col("name").alias("bound_name")).agg(
         F.max_by("module", "pos").alias("module"), F.max_by("qual", "pos").alias("target"),
         F.max("line").alias("line"),
@@ -411,20 +81,70 @@ def import_bindings(facts: DataFrame) -> DataFrame:
 
 def defined_names(facts: DataFrame) -> DataFrame:
     """Sorted set of function, class and simple assignment names per script."""
-    return _facts(facts, "def").groupBy("script_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return facts_of(facts, "def").groupBy("script_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def root_hops(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(script_id, place, up, suffix) of names and ``self.x`` that are bound once, to a chain on ``up``; and (script_id, place, target) of imports.
+
+    A name that only imports bind stands for the latest of them.
+    """
+    def place(scope: str) -> Column:
+        own = F.col("name").startswith("self.")
+        return F.when(own, F.concat(F.lit("s:"), F.col(scope), F.lit(":"), F.expr("substring(name, 6)"))).otherwise(variable(scope, "name"))
+
+    binds = facts_of(facts, "bind").filter("part = 0 AND slot IS NULL").withColumn("place", place("scope"))
+    counts = binds.groupBy("script_id", "place").agg(F.countDistinct("pos").alias("n"))
+    imports = facts_of(facts, "import").withColumn("place", place("scope")).groupBy("script_id", "place").agg(
+        F.max_by("qual", "pos").alias("target"), F.countDistinct("pos").alias("n_imports"))
+    known = counts.join(imports, ["script_id", "place"], "left")
+    once = binds.join(known.filter("n = 1 AND target IS NULL"), ["script_id", "place"], "left_semi").filter("receiver_root IS NOT NULL")
+    hops = once.select("script_id", "place", *root_of()).filter("up IS NOT NULL AND up <> place")
+    return hops, known.filter("n = n_imports").select("script_id", "place", "target")
+
+
+def root_of() -> list[Column]:
+    """``up``, the place at the root of a row's receiver (``self.x`` is one), and ``suffix``, the receiver behind it."""
+    own = (F.col("receiver_root") == "self") & F.col("cls").isNotNull()
+    attr = F.regexp_extract("receiver", r"^self\.(\w+)", 1)
+    up = F.when(own, F.when(attr != "", F.concat(F.lit("s:"), F.col("cls"), F.lit(":"), attr))) \
+        .when(F.col("root_home").isNotNull(), variable("root_home", "receiver_root"))
+    skip = F.when(own, F.length(attr) + 6).otherwise(F.length("receiver_root") + 1)
+    return [up.alias("up"), F.substring("receiver", skip, F.length("receiver")).alias("suffix")]
+
+
+def root_paths(facts: DataFrame) -> DataFrame:
+    """(script_id, place, root_path): names and ``self.x`` that stem from an import, with the path from it.
+
+    Pointer jumping: every round a place takes the root of its root, so a chain
+    of n aliases takes log(n) rounds.  Places whose aliases run in a circle never
+    end; when a round ends no place, only such are left.
+    """
+    hops, imports = root_hops(facts)
+    at, left = materialize(hops.withColumn("moves", F.lit(True)), "alias-hops"), None
+    while True:
+        n = at.filter("moves").count()
+        if n == 0 or n == left:
+            break
+        left = n
+        further = at.select("script_id", F.col("place").alias("up"), F.col("up").alias("next"), F.col("suffix").alias("before"))
+        at = materialize(at.join(further, ["script_id", "up"], "left").select(
+            "script_id", "place", F.coalesce("next", "up").alias("up"), F.concat(F.coalesce("before", F.lit("")), "suffix").alias("suffix"),
+            F.col("next").isNotNull().alias("moves")), "alias-hops")
+    stops = imports.select("script_id", F.col("place").alias("up"), "target")
+    through = at.join(stops, ["script_id", "up"]).select("script_id", "place", F.concat("target", "suffix").alias("root_path"))
+    return imports.withColumnRenamed("target", "root_path").unionByName(through)
 
 
 def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
-    """Target-call rows with caller attribution."""
-    imports = import_bindings(facts).select("script_id", F.col("bound_name").alias("receiver_root"),
-                                            F.col("target").alias("import_target"))
-    local_names = _facts(facts, "bind").select("script_id", F.col("name").alias("receiver_root")).distinct() \
-        .withColumn("is_local", F.lit(True))
-    param_names = _facts(facts, "param").select("script_id", "scope", F.col("name").alias("receiver_root")) \
+    """Target-call rows with caller attribution (J6, X6) and the import that the receiver stems from."""
+    imported = F.when(F.col("fact") == "import", F.struct("pos", "qual"))
+    names = facts_of(facts, "import", "bind").groupBy("script_id", F.col("name").alias("receiver_root")).agg(
+        F.max(imported)["qual"].alias("import_target"), F.max(F.when(F.col("fact") == "bind", True)).alias("is_local"))
+    param_names = facts_of(facts, "param").select("script_id", "scope", F.col("name").alias("receiver_root")) \
         .distinct().withColumn("is_param", F.lit(True))
     rows = (inst.join(argv, ["script_id", "call_ord"], "left")
-            .join(imports, ["script_id", "receiver_root"], "left")
-            .join(local_names, ["script_id", "receiver_root"], "left")
+            .join(names, ["script_id", "receiver_root"], "left")
             .join(param_names, ["script_id", "scope", "receiver_root"], "left"))
     attr = F.col("call_form") == "attr"
     caller = F.when(attr, F.col("receiver")).otherwise(F.lit("direct_call"))
@@ -434,6 +154,8 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
                    .when(F.col("receiver_root") == "self", F.lit("self"))
                    .when(F.col("is_param").isNotNull(), F.lit("param"))
                    .when(F.col("is_local").isNotNull(), F.lit("local")).otherwise(F.lit("unbound")))
+    roots = root_paths(facts).withColumnsRenamed({"place": "up"})
+    rows = rows.select("*", *root_of()).join(roots, ["script_id", "up"], "left")
     empty_args = F.array().cast(T.ArrayType(VALUE_TYPE))
     empty_kwargs = F.create_map().cast(T.MapType(T.StringType(), VALUE_TYPE))
     return rows.select(
@@ -441,6 +163,7 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
         caller.alias("caller"), qualified.alias("caller_qualified"), caller_kind.alias("caller_kind"),
         F.coalesce("args", empty_args).alias("args"), F.coalesce("kwargs", empty_kwargs).alias("kwargs"),
         "reachable", "branch_depth", "branch_arm", "in_orelse", "receiver_is_call", "chain_depth",
+        F.when(attr, F.concat("root_path", "suffix")).alias("root_path"),
     )
 
 
@@ -448,15 +171,19 @@ def dedup_calls(rows: DataFrame) -> DataFrame:
     """A5: keep the first (script_ord, call_ord, call-site choice) of each equal
     (function, caller, args, kwargs); kwargs compared as sorted entries.
 
-    A grouped ``min_by`` (partial aggregation before the shuffle) instead of a
-    window, so a row repeated across a third of the corpus is combined on the
-    map side rather than sorted in one task.
+    Equal rows are found by a digest and their first place by a number, so the
+    partial step is a hash aggregate over two narrow columns and a row repeated
+    across a third of the corpus is combined before the shuffle; the winners'
+    columns come from a join back.
     """
-    keyed = rows.withColumn("_kw", F.array_sort(F.map_entries("kwargs")))
-    first = keyed.groupBy("function", "caller", "args", "_kw").agg(
-        F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("script_ord", "call_ord", "alt")).alias("r"),
-        F.count(F.lit(1)).alias("occurrences"))
-    return first.select("r.*", "occurrences")
+    equal = F.to_json(F.struct("function", "caller", "args", F.array_sort(F.map_entries("kwargs")).alias("kwargs")))
+    keyed = rows.withColumn("_key", F.unhex(F.sha2(equal, 256))).withColumn(
+        "_at", F.col("script_ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("call_ord"))
+    first = keyed.groupBy("_key").agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("occurrences"))
+    # one call may have the same row by several choices of call sites
+    choice = Window.partitionBy("_key").orderBy("alt")
+    return keyed.join(first, ["_key", "_at"]).withColumn("_n", F.row_number().over(choice)).filter("_n = 1") \
+        .select(*rows.columns, "occurrences")
 
 
 # --------------------------------------------------------------------------- rendering

@@ -13,8 +13,13 @@ Fact kinds (column ``fact``):
            concatenation has several parts)
 ``bind``   one row per part of an assigned value; dict literals also bind
            each constant key (``key``); ``self.x = ...`` binds in the class
-``param``  function parameters with their position
-``def``    functions, classes (``detail`` is ``bases`` if a class has any) and simple-name assignment targets
+``param``  function parameters with their position (``slot_kind``: ``pos``, ``only`` for positional-only, ``kw``, ``rest``)
+``default`` one row per part of a parameter's default value; its references belong to the scope of the definition
+``def``    functions (``detail``: ``static``, ``class`` or ``property`` by decorator), classes (``detail`` is ``bases`` if a
+           class has any) and simple-name assignment targets
+``use``    a name or attribute that is read other than by a direct call, if the script defines a function or class of
+           that name or gives the name one (``kind``: ``name``, ``attr``, ``text`` for ``getattr`` with a constant, ``any``
+           where names are looked up at run time); plain aliases ``a = b`` are ``bind`` rows only
 ``import`` one row per imported alias
 ``error``  the source could not be parsed (no other rows for it)
 
@@ -24,7 +29,10 @@ plain name), ``sub`` (``name[<constant>]``), ``attr`` (``self.x``) or ``expr``
 (anything else; ``value`` is its source text).  Every other way to bind a name
 (loops, ``with``, ``except``, imports, definitions, unpacking, ``del``, ``global``)
 is a ``bind`` of kind ``expr``: what refers to it stays a symbol.  ``home`` is the
-scope whose variable a reference names, by Python's rules.
+scope whose variable a reference names, by Python's rules.  ``blocks`` are the arms and loops
+of its scope that a row lies in, from the outermost: ``split`` numbers the statement whose
+arms exclude each other (negative for ``match``), ``end`` is where a loop ends.  ``in_orelse`` tells that a row lies in
+an ``else`` of its scope or of the scopes around it.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +85,20 @@ FACT_SCHEMA = T.StructType([
     T.StructField("module", T.StringType(), True),
     T.StructField("detail", T.StringType(), True),
     T.StructField("home", T.StringType(), True),
+    T.StructField("root_home", T.StringType(), True),
+    T.StructField("loose", T.BooleanType(), True),
+    T.StructField("blocks", T.ArrayType(T.StructType([
+        T.StructField("id", T.IntegerType()), T.StructField("split", T.IntegerType()), T.StructField("end", T.LongType())])), True),
 ])
+
+# Calls that look names up at run time, and decorators that do not call what they wrap.
+DYNAMIC = {"globals", "locals", "vars", "eval", "exec"}
+BY_NAME = {"getattr": 1, "attrgetter": 0, "methodcaller": 0}
+QUIET = {"staticmethod": "static", "classmethod": "class", "property": "property", "cached_property": "property", "setter": "property",
+         "getter": "property", "deleter": "property"}
 _COLS = [f.name for f in FACT_SCHEMA.fields]
+#: Fact rows that are handed on at a time.
+BATCH_ROWS = 50_000
 
 
 def _at(line: int, col: int) -> int:
@@ -251,6 +271,12 @@ class _Walker:
         self.bound: dict[str, set[str]] = {}          # names that a scope binds
         self.globals: set[str] = set()                # names that functions rebind at module level
         self.declared: list[set[str]] = [set()]       # global and nonlocal names of the scopes being walked
+        self.blocks: list[dict] = []                  # arms and loops of the scope being walked
+        self.n_blocks = 0
+        self.hidden = [False]                         # whether a scope being walked is defined in an else
+        self.jumps: set[str] = set()                  # scopes with break, continue or try
+        self.plain: set[int] = set()                  # names that are aliased or called: no uses
+        self.used: set[tuple] = set()
 
     def steps(self, node: ast.AST):
         visit = getattr(self, f"visit_{type(node).__name__}", None)
@@ -277,16 +303,32 @@ class _Walker:
 
     def settle(self) -> None:
         """Names of each reference's own scope, and bindings that no position can order made unknown."""
+        callable_names = {r["name"] for r in self.rows if r["fact"] == "def" and r["kind"] != "assign"}
+        callable_names |= {r["name"].removeprefix("self.") for r in self.rows
+                           if r["fact"] == "bind" and r["kind"] in ("ref", "attr") and r["fmt"] == "plain"}
+        self.rows = [r for r in self.rows if r["fact"] != "use" or r["kind"] == "any" or r["value"] in callable_names]
         for row in self.rows:
-            if row["fact"] in ("arg", "bind") and row.get("kind") in ("ref", "sub") and not str(row["value"]).startswith("self."):
-                row["home"] = self.home(row.get("qual") or row["scope"] if row["fact"] == "bind" else row["scope"], row["value"])
+            fact, kind = row["fact"], row.get("kind")
+            inside = row.get("qual") or row["scope"] if fact in ("bind", "default") else row["scope"]
+            if fact in ("arg", "bind", "default") and kind in ("ref", "sub") and not str(row["value"]).startswith("self."):
+                row["home"] = self.home(inside, row["value"])
+            elif fact == "use" and kind == "name":
+                row["home"] = self.home(inside, row["value"])
+            elif fact == "call" and row["call_form"] == "name":
+                row["home"] = self.home(inside, row["name"])
+            if row.get("receiver_root") and row["receiver_root"] != "<expr>":
+                row["root_home"] = self.home(inside, row["receiver_root"])
+            if fact == "bind":
+                row["loose"] = row["scope"] in self.jumps
             if row["fact"] == "bind" and row["scope"] == MODULE and row["name"] in self.globals:
                 row.update(kind="expr", value="<global>", home=None, lit_kind=None, text=None, key=None)
 
     # ---------------------------------------------------------------- emit
     def emit(self, fact: str, node: ast.AST | None = None, **kw) -> None:
         row = {"script_id": self.sid, "script_ord": self.sord, "fact": fact, "scope": self.scopes[-1],
-               "cls": self.classes[-1]}
+               "cls": self.classes[-1], "in_orelse": self.hidden[-1] or "orelse" in self.arms}
+        if fact in ("arg", "bind", "default"):
+            row["blocks"] = list(self.blocks)
         if node is not None and hasattr(node, "lineno"):
             row["line"] = node.lineno
             row["pos"] = _at(node.lineno, node.col_offset)
@@ -306,17 +348,33 @@ class _Walker:
             self.emit(fact, node, **row)
 
     def branch_info(self) -> dict:
-        return {"branch_depth": len(self.arms), "branch_arm": self.arms[-1] if self.arms else None,
-                "in_orelse": "orelse" in self.arms}
+        return {"branch_depth": len(self.arms), "branch_arm": self.arms[-1] if self.arms else None}
+
+    def use(self, kind: str, value: str) -> None:
+        """A read of a name or attribute other than by a direct call; once per scope."""
+        key = (self.scopes[-1], kind, value, self.hidden[-1] or "orelse" in self.arms)
+        if key not in self.used:
+            self.used.add(key)
+            self.emit("use", kind=kind, value=value)
+
+    def in_block(self, body: list[ast.AST], split: int | None = None, end: int | None = None):
+        """The nodes of an arm (of statement ``split``) or of a loop that ends at ``end``."""
+        self.n_blocks += 1
+        self.blocks.append({"id": self.n_blocks, "split": split, "end": end})
+        yield from body
+        self.blocks.pop()
 
     # ---------------------------------------------------------------- scopes
     def _inside(self, qual: str, cls: str | None, body: list[ast.stmt]):
         self.scopes.append(qual)
         self.classes.append(cls)
         self.declared.append(set())
+        self.hidden.append(self.hidden[-1] or "orelse" in self.arms)
         saved, self.arms = self.arms, []
+        around, self.blocks = self.blocks, []
         yield from body
-        self.arms = saved
+        self.arms, self.blocks = saved, around
+        self.hidden.pop()
         self.declared.pop()
         self.classes.pop()
         self.scopes.pop()
@@ -331,14 +389,24 @@ class _Walker:
     def _function(self, node):
         yield from node.decorator_list
         parent = self.scopes[-1]
-        qual = self._named(node, "function")
+        marks = [d.attr if isinstance(d, ast.Attribute) else getattr(d, "id", None) for d in node.decorator_list]
+        detail = next((QUIET[m] for m in marks if m in QUIET), None)
+        if any(m not in QUIET for m in marks):
+            self.use("name", node.name)              # the decorator gets the function
+        qual = self._named(node, "function", detail)
         a = node.args
         positional = list(a.posonlyargs) + list(a.args)
         names = self.bound.setdefault(qual, set())
         for i, arg in enumerate(positional):
-            self.emit("param", node, scope=qual, name=arg.arg, slot=str(i), slot_kind="pos")
+            self.emit("param", node, scope=qual, name=arg.arg, slot=str(i), slot_kind="only" if i < len(a.posonlyargs) else "pos")
         for arg in a.kwonlyargs:
             self.emit("param", node, scope=qual, name=arg.arg, slot=None, slot_kind="kw")
+        for arg in filter(None, (a.vararg, a.kwarg)):
+            self.emit("param", node, scope=qual, name=arg.arg, slot=None, slot_kind="rest")
+        given = [*zip(positional[len(positional) - len(a.defaults):], a.defaults, strict=True),
+                 *((p, d) for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d is not None)]
+        for arg, value in given:
+            self.emit_value("default", node, value, scope=qual, name=arg.arg, qual=parent)
         names.update(x.arg for x in [*positional, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))])
         yield from [*a.defaults, *[d for d in a.kw_defaults if d is not None]]
         yield from self._inside(qual, self.classes[-1] if parent != MODULE and self.classes[-1] == parent else None, node.body)
@@ -347,18 +415,52 @@ class _Walker:
     visit_AsyncFunctionDef = _function
 
     def visit_ClassDef(self, node: ast.ClassDef):
-        yield from [*node.decorator_list, *node.bases]
+        yield from [*node.decorator_list, *node.bases, *node.keywords]
+        if node.decorator_list:
+            self.use("name", node.name)
         qual = self._named(node, "class", "bases" if node.bases else None)
         self.class_scopes.add(qual)
         yield from self._inside(qual, qual, node.body)
 
     def visit_If(self, node: ast.If):
         yield node.test
+        self.n_blocks += 1
+        split = self.n_blocks
         for arm, body in (("body", node.body), ("orelse", node.orelse)):
             self.arms.append(arm)
-            yield from body
+            yield from self.in_block(body, split)
             self.arms.pop()
 
+    def visit_Try(self, node):
+        self.jumps.add(self.scopes[-1])
+        yield from self.in_block(node.body)
+        for handler in node.handlers:
+            yield from self.in_block([handler])
+        yield from self.in_block(node.orelse)
+        yield from node.finalbody
+
+    visit_TryStar = visit_Try
+
+    def _jump(self, node):
+        self.jumps.add(self.scopes[-1])
+        yield from ()
+
+    visit_Break = _jump
+    visit_Continue = _jump
+
+    # ---------------------------------------------------------------- uses
+    def visit_Name(self, node: ast.Name):
+        if isinstance(node.ctx, ast.Load) and id(node) not in self.plain:
+            self.use("name", node.id)
+        yield from ()
+
+    def visit_Attribute(self, node: ast.Attribute):
+        if isinstance(node.ctx, ast.Load) and id(node) not in self.plain:
+            self.use("attr", node.attr)
+        if isinstance(node.value, ast.Name):
+            self.plain.add(id(node.value))           # reading an attribute calls nothing that the name holds
+        yield node.value
+
     # ---------------------------------------------------------------- bindings
     def unknown(self, node: ast.AST, name: str, why: str, slot: str | None = None) -> None:
         """A binding whose value is not known: references after it stay symbols."""
@@ -382,7 +484,7 @@ class _Walker:
                 self.unknown(node, target.id, "<augmented>" if value is None else "<global>")
                 return
             self.bound.setdefault(self.scopes[-1], set()).add(target.id)
-            self.emit_value("bind", node, value, name=target.id)
+            self.emit_value("bind", node, value, name=target.id, **self.chain_of(value))
             if isinstance(value, ast.Dict):
                 for k, v in zip(value.keys, value.values):
                     lit = _literal(k) if k is not None else None
@@ -396,7 +498,8 @@ class _Walker:
                 self.emit("bind", node, name=f"self.{target.attr}", scope=self.classes[-1], qual=self.scopes[-1], part=0,
                           fmt="plain", kind="expr", value="<augmented>", src="<augmented>")
             else:
-                self.emit_value("bind", node, value, name=f"self.{target.attr}", scope=self.classes[-1], qual=self.scopes[-1])
+                self.emit_value("bind", node, value, name=f"self.{target.attr}", scope=self.classes[-1], qual=self.scopes[-1],
+                                **self.chain_of(value))
         elif isinstance(target, ast.Subscript) and isinstance(target.value, ast.Name):
             lit = _literal(target.slice)
             if lit is None or value is None:          # any entry may have changed
@@ -407,7 +510,32 @@ class _Walker:
         else:
             self.targets(node, target, "<unpacked>")
 
+    @staticmethod
+    def chain_of(value: ast.AST) -> dict:
+        """Root and text of a value that is a chain of attributes, calls and entries on a name."""
+        if isinstance(value, ast.Call):
+            text, root, _, _ = _receiver(value.func) if isinstance(value.func, ast.Attribute) else ("", "<expr>", True, 0)
+            if root != "<expr>":
+                return {"receiver": f"{text}.{value.func.attr}()", "receiver_root": root, "receiver_is_call": True}
+        elif isinstance(value, ast.Attribute):
+            text, root, is_call, _ = _receiver(value)
+            if root != "<expr>":
+                return {"receiver": f"{text}.{value.attr}", "receiver_root": root, "receiver_is_call": is_call}
+        elif isinstance(value, ast.Name):
+            return {"receiver": value.id, "receiver_root": value.id, "receiver_is_call": False}
+        return {}
+
+    def is_alias(self, node: ast.Assign) -> bool:
+        """``a = b`` or ``self.a = b``: what b holds goes on to a, so it is no use of its own."""
+        def simple(t):
+            if isinstance(t, ast.Name):
+                return t.id not in self.declared[-1]
+            return isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self" and self.classes[-1] is not None
+        return all(map(simple, node.targets))
+
     def visit_Assign(self, node: ast.Assign):
+        if isinstance(node.value, ast.Name) and self.is_alias(node):
+            self.plain.add(id(node.value))
         yield node.value
         for t in node.targets:
             self._bind_target(node, t, node.value, simple_def=True)
@@ -429,13 +557,24 @@ class _Walker:
 
     def _loop(self, node):
         yield node.iter
-        self.targets(node.target, node.target, "<loop>")
-        yield node.target
-        yield from [*node.body, *node.orelse]
+        yield from self.in_block(self.loop_body(node), end=_at(node.body[-1].end_lineno, node.body[-1].end_col_offset))
+        yield from node.orelse
+
+    def loop_body(self, node):
+        if not isinstance(node, ast.While):
+            self.targets(node.target, node.target, "<loop>")
+            yield node.target
+        else:
+            yield node.test
+        yield from node.body
 
     visit_For = _loop
     visit_AsyncFor = _loop
 
+    def visit_While(self, node: ast.While):
+        yield from self.in_block(self.loop_body(node), end=_at(node.body[-1].end_lineno, node.body[-1].end_col_offset))
+        yield from node.orelse
+
     def visit_withitem(self, node: ast.withitem):
         yield node.context_expr
         if node.optional_vars is not None:
@@ -466,14 +605,19 @@ class _Walker:
 
     def visit_Match(self, node):
         yield node.subject
+        self.n_blocks += 1
+        split = self.n_blocks
         for case in node.cases:
-            for x in ast.walk(case.pattern):
-                name = getattr(x, "name", None) or getattr(x, "rest", None)
-                if isinstance(name, str):
-                    self.unknown(case.body[0], name, "<match>")
-            if case.guard is not None:
-                yield case.guard
-            yield from case.body
+            yield from self.in_block(self.case_body(case), -split)
+
+    def case_body(self, case):
+        for x in ast.walk(case.pattern):
+            name = getattr(x, "name", None) or getattr(x, "rest", None)
+            if isinstance(name, str):
+                self.unknown(case.body[0], name, "<match>")
+        if case.guard is not None:
+            yield case.guard
+        yield from case.body
 
     def _import(self, node) -> None:
         base = getattr(node, "module", None)
@@ -498,13 +642,24 @@ class _Walker:
         func = node.func
         info = None
         if isinstance(func, ast.Name):
+            self.plain.add(id(func))
             info = {"name": func.id, "call_form": "name", "receiver": None, "receiver_root": None,
                     "receiver_is_call": False, "chain_depth": 0}
         elif isinstance(func, ast.Attribute):
+            self.plain.add(id(func))
             text, root, is_call, depth = _receiver(func)
             info = {"name": func.attr, "call_form": "attr", "receiver": text, "receiver_root": root,
                     "receiver_is_call": is_call, "chain_depth": depth}
         if info is not None:
+            if info["name"] in DYNAMIC:
+                self.use("any", "*")
+            elif info["name"] in BY_NAME:
+                at = BY_NAME[info["name"]]
+                name = node.args[at] if len(node.args) > at else None
+                if isinstance(name, ast.Constant) and isinstance(name.value, str):
+                    self.use("text", name.value)
+                else:
+                    self.use("any", "*")
             self.calls += 1
             ordinal = self.calls
             self.emit("call", node, call_ord=ordinal, **info, **self.branch_info())
@@ -535,13 +690,18 @@ def parse_source(source: str, script_id: int, script_ord: int) -> list[dict]:
     return walker.rows
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in FACT_SCHEMA.fields]
+    for batch in batches:
+        ids, places, sources = (batch.column(i).to_pylist() for i in range(3))
         rows: list[dict] = []
-        for sid, sord, src in zip(pdf["script_id"], pdf["script_ord"], pdf["normalized"]):
-            rows.extend(parse_source(src if src is not None else "", int(sid), int(sord)))
-        # object columns keep ints and None as they are for the Arrow writer
-        yield pd.DataFrame(rows, columns=_COLS, dtype=object)
+        for i, (sid, sord, src) in enumerate(zip(ids, places, sources, strict=True)):
+            rows.extend(parse_source(src if src is not None else "", sid, sord))
+            if len(rows) >= BATCH_ROWS or i + 1 == len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(_COLS, types, strict=True)], names=_COLS)
+                rows = []
 
 
 def normalize_sources(scripts: DataFrame) -> DataFrame:
@@ -558,7 +718,7 @@ def extract_facts(scripts: DataFrame, tasks: int | None = None) -> DataFrame:
     if tasks:
         scripts = scripts.repartition(tasks)
     norm = normalize_sources(scripts).select("script_id", "script_ord", "normalized")
-    return norm.mapInPandas(_parse_batches, FACT_SCHEMA)
+    return norm.mapInArrow(_parse_batches, FACT_SCHEMA)
 
 
 def quarantine(facts: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_parameters_follow_each_call_site(spark):
     src = ["def w(p, q='d'):\n    save(p, mode=q)\nw('one')\nw('two', q='x')\nw(q='y', p='three')\n"]
     rows = extract_calls(corpus(spark, src), targets_frame(spark, ["save"]))
     assert shown(rows) == [
-        ("save", "direct_call", '["one"]', '{"mode": <q>}'),
+        ("save", "direct_call", '["one"]', '{"mode": "d"}'),
         ("save", "direct_call", '["three"]', '{"mode": "y"}'),
         ("save", "direct_call", '["two"]', '{"mode": "x"}'),
     ]
