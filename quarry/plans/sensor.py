@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import sensor as ops
 from quarry.operators.report import RunLog
-from quarry.operators.sinks import parquet_rows, write_table
+from quarry.operators.sinks import parquet_rows, table_location, write_table
 from quarry.sources import sensor as src
 
 
@@ -96,17 +96,16 @@ def run_sensor_job(
         detailed = detailed.select(*ops.DETAILED_COLUMNS)
 
         stage = "write"
-        write_table(detailed, cfg.database, cfg.detailed_table, cfg.detailed_output_path,
-                    partition_by=partition_by)
-        written = parquet_rows(spark, cfg.detailed_output_path)
+        name = write_table(detailed, cfg.database, cfg.detailed_table, cfg.detailed_output_path,
+                           partition_by=partition_by)
+        written = parquet_rows(spark, table_location(spark, name))
         log.metric("join", "joined_records", written)
         log.metric("write:detailed", "records_written", written)
         log.metric("write:detailed", "write_operations", 1)
 
-        stored = spark.read.parquet(cfg.detailed_output_path)
-        aggregated = ops.location_summary(stored.select("location", "calibrated_reading"))
-        write_table(aggregated, cfg.database, cfg.aggregated_table, cfg.aggregated_output_path)
-        groups = parquet_rows(spark, cfg.aggregated_output_path)
+        aggregated = ops.location_summary(spark.table(name).select("location", "calibrated_reading"))
+        summary = write_table(aggregated, cfg.database, cfg.aggregated_table, cfg.aggregated_output_path)
+        groups = parquet_rows(spark, table_location(spark, summary))
         log.metric("window", "locations_analyzed", groups)
         log.metric("write:aggregated", "records_written", groups)
         log.metric("write:aggregated", "write_operations", 2)
@@ -117,8 +116,8 @@ def run_sensor_job(
         raise
     report = log.to_df(spark)
     return SensorRun(
-        detailed=spark.read.parquet(cfg.detailed_output_path),
-        aggregated=spark.read.parquet(cfg.aggregated_output_path),
+        detailed=spark.table(name),
+        aggregated=spark.table(summary),
         report=report,
     )
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.report import metrics_json
-from quarry.operators.sinks import clone_table, write_table
+from quarry.operators.sinks import clone_table, remove_versions, table_location, write_table
 from quarry.plans.sensor import SensorJobConfig, run_sensor_job
 from quarry.sources import fixtures as fx
 
@@ -65,3 +65,53 @@ def test_failure_is_reported_and_reraised(spark, tmp_dir):
         run_sensor_job(spark, cfg)
     report = err.value.run_report.collect()
     assert len(report) == 1 and report[0].stage == "read" and report[0].error
+
+
+def failing(spark, n):
+    """Rows whose last ones cannot be computed: the write dies half-way."""
+    return spark.range(0, n, 1, 4).select(F.when(F.col("id") < n - 1, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")).alias("v"))
+
+
+def test_a_failed_overwrite_keeps_the_old_rows(spark, tmp_dir):
+    name = write_table(spark.range(3).withColumnRenamed("id", "v"), "quarry_t", "swap", f"{tmp_dir}/swap")
+    before = table_location(spark, name)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            write_table(failing(spark, 1000), "quarry_t", "swap", f"{tmp_dir}/swap")
+        assert sorted(r.v for r in spark.table(name).collect()) == [0, 1, 2] and table_location(spark, name) == before
+    write_table(spark.range(5).withColumnRenamed("id", "v"), "quarry_t", "swap", f"{tmp_dir}/swap")
+    assert spark.table(name).count() == 5 and table_location(spark, name) != before
+    assert len(remove_versions(spark, name, f"{tmp_dir}/swap")) == 3 and spark.table(name).count() == 5
+
+
+def test_overwrite_reads_the_table_that_it_replaces(spark, tmp_dir):
+    name = write_table(spark.range(4).withColumnRenamed("id", "v"), "quarry_t", "own", f"{tmp_dir}/own")
+    write_table(spark.table(name).filter("v > 1"), "quarry_t", "own", f"{tmp_dir}/own")
+    assert sorted(r.v for r in spark.table(name).collect()) == [2, 3]
+
+
+def test_overwrite_with_other_columns_and_partitions(spark, tmp_dir):
+    write_table(spark.range(3).withColumnRenamed("id", "v"), "quarry_t", "shape", f"{tmp_dir}/shape")
+    df = spark.range(6).select(F.col("id").cast("string").alias("name"), (F.col("id") % 2).alias("half"))
+    name = write_table(df, "quarry_t", "shape", f"{tmp_dir}/shape", partition_by=["half"])
+    assert spark.table(name).columns == ["name", "half"] and spark.table(name).filter("half = 1").count() == 3
+    write_table(df.limit(0), "quarry_t", "shape", f"{tmp_dir}/shape")
+    assert spark.table(name).count() == 0
+    write_table(df, "quarry_t", "shape", f"{tmp_dir}/shape", mode="append")
+    write_table(df, "quarry_t", "shape", f"{tmp_dir}/shape", mode="append")
+    assert spark.table(name).count() == 12
+    with pytest.raises(ValueError, match="mode"):
+        write_table(df, "quarry_t", "shape", f"{tmp_dir}/shape", mode="replace")
+
+
+@pytest.mark.parametrize("external", [True, False])
+def test_a_failed_clone_can_be_repeated(spark, tmp_dir, external):
+    tag = f"quarry_t.again_{external}"
+    path = f"{tmp_dir}/again" if external else None
+    failing(spark, 1000).createOrReplaceTempView(f"broken_{external}")
+    with pytest.raises(Exception, match="lost"):
+        clone_table(spark, f"broken_{external}", tag, path=path)
+    assert not spark.catalog.tableExists(tag)
+    spark.range(7).createOrReplaceTempView(f"broken_{external}")
+    assert clone_table(spark, f"broken_{external}", tag, path=path).first().status == "created"
+    assert spark.table(tag).count() == 7
