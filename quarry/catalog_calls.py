@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.inline import inline_calls
 from quarry.operators import calls as C
 from quarry.operators.callgraph import reachable_scopes
 from quarry.operators.codefacts import extract_facts, normalize_sources, quarantine
@@ -23,7 +24,7 @@ from quarry.sources.scripts import targets_frame
 TARGETS = ["load", "saveAsTable"]
 INLINE_TARGET = "track"
 SCRIPT_TAG = r"(?s)<script[^>]*>(.*?)</script>"
-# arguments may hold parentheses, two levels deep
+# for the oracle only: the calls of the given pages nest at most two levels deep
 CALL_RE = r"\b(" + INLINE_TARGET + r")\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
 
 
@@ -120,8 +121,7 @@ def q_io_inventory(spark, sf):
 def q_inline_call_sites(spark, sf):
     pages = table(spark, sf, "pages")
     bodies = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(SCRIPT_TAG), 1)).alias("body"))
-    return bodies.select("page_id", F.explode(F.regexp_extract_all("body", F.lit(CALL_RE), 2)).alias("args")) \
-        .select("page_id", F.lit(INLINE_TARGET).alias("function"), "args")
+    return inline_calls(bodies, "body", INLINE_TARGET).select("page_id", F.lit(INLINE_TARGET).alias("function"), "args")
 
 
 QUERIES = {
