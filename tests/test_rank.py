@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.rank import rank_within
+from quarry.operators.rank import rank_within, with_splitter_buckets
 
 SCHEMA = "g string, t int, id long, big long, x double"
 
@@ -52,3 +52,28 @@ def test_plan_is_built_in(spark):
     plan = rank_within(_data(spark, 200), "g", "t", "r")._jdf.queryExecution().toString()
     assert "InPandas" not in plan and "Python" not in plan and "Scan ExistingRDD checkpoint" not in plan
     assert isinstance(rank_within(_data(spark, 5), "g", "t", "r").schema["big"].dataType, T.LongType)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "timestamp_ntz", "decimal(20,3)", "bigint", "binary"])
+def test_hot_group_is_cut_at_its_own_values(spark, kind):
+    rng = np.random.default_rng(3)
+    n = 12_000
+    values = [None if i % 50 == 0 else int(rng.integers(-10 ** 9, 10 ** 9)) if i % 3 else 7 for i in range(n)]
+    df = spark.createDataFrame([("hot" if i % 10 < 6 else f"g{i % 7}", v, i) for i, v in enumerate(values)], "g string, t long, id long")
+    t = F.col("t")
+    if kind in ("date", "timestamp_ntz"):
+        t = F.timestamp_seconds(t).cast(kind)
+    elif kind == "string":
+        t = F.concat(F.lit("a long common prefix "), t.cast("string"))
+    elif kind == "binary":
+        t = t.cast("string").cast("binary")
+    else:
+        t = t.cast(kind)
+    df = df.withColumn("t", t)
+    assert _rows(rank_within(df, "g", "t", "r", values_per_bucket=500)) == _rows(rank_within(df, "g", "t", "r", strategy="window"))
+    counts = df.groupBy(F.col("g").alias("__g"), F.col("t").alias("__o")).agg(F.count("*").alias("__n"))
+    hot = with_splitter_buckets(counts, 500).filter("__g = 'hot' AND __b >= 0").groupBy("__b").count().collect()
+    sizes = [r["count"] for r in hot]
+    assert len(sizes) >= 6 and max(sizes) <= 1.6 * np.mean(sizes)
+    one = with_splitter_buckets(counts.filter("__g <> 'hot'"), 1 << 18).agg(F.max("__b")).first()[0]
+    assert one == 0
