@@ -65,7 +65,7 @@ def ship_package(spark: SparkSession) -> None:
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
             for base, _, files in os.walk(pkg):
                 for f in files:
-                    if f.endswith(".py"):
+                    if not f.endswith(".pyc"):            # also texts that modules read
                         full = os.path.join(base, f)
                         zf.write(full, os.path.relpath(full, root))
         _ZIP = path
@@ -100,6 +100,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quarry-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_scratch(spark: SparkSession) -> bool:
+    """Deletes what this application wrote to the shared folder by ``materialize`` and ``scratch_path``.
+
+    For the end of a job, when no DataFrame of this library is read any more and
+    no table points into the folder.  Returns whether there was anything.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/quarry-scratch")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(folder) and system.delete(folder, True))
+
+
 def materialize(df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` as Parquet in the shared folder and read it back.
 
