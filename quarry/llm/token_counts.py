@@ -39,13 +39,15 @@ def edge_margin(config: str) -> int:
     """Characters to keep from a chunk's edge: a whole added token and the pattern's lookahead.
 
     The splice proof holds for byte-level pre-tokenizers without a normalizer whose
-    added tokens take no neighbours; other configurations are refused.
+    added tokens take no neighbours and hold no white space, at which texts are
+    cut; other configurations are refused.
     """
     spec = json.loads(config)
     pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
     if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") \
             or not pre.get("use_regex", True) \
-            or any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip")):
+            or any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip")) \
+            or any(c.isspace() for a in added for c in a["content"]):
         raise ValueError("chunks can be spliced for plain byte-level tokenizers only")
     return 4 + max([len(a["content"]) for a in added], default=0)
 

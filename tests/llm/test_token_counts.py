@@ -62,3 +62,8 @@ def test_whole_table(spark, tok):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tc.edge_margin('{"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "ByteLevel"}}')
+    token = '{"content": "%s", "single_word": false, "lstrip": false, "rstrip": false}'
+    plain = '{"normalizer": null, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": false}, "added_tokens": [%s]}'
+    assert tc.edge_margin(plain % (token % "abc")) == 7
+    with pytest.raises(ValueError):
+        tc.edge_margin(plain % (token % "zqxj wvkp"))
