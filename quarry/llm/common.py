@@ -102,6 +102,7 @@ def with_text_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute, out_types = make(), None
         for batch in batches:
+            part = values = None
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 values = compute(part.column(len(keep)).to_pylist())
@@ -114,5 +115,8 @@ def with_text_columns(
                     + [pa.array(v, type=t) for v, t in zip(values, out_types, strict=True)],
                     names=keep + [f.name for f in fields],
                 )
+            # what this batch took goes back to the system before the next one comes
+            del batch, part, values
+            pa.default_memory_pool().release_unused()
 
     return df.select(*keep, F.col(source).cast("binary").alias(hidden)).mapInArrow(run, schema)
