@@ -51,7 +51,9 @@ MAGIC = b"QRYIDS01"
 SHARD_BYTES = 32 << 20
 SHARD_ROWS = 1 << 16
 #: Pieces in a task's memory; when it is full it becomes the older half, which is asked before encoding anew.
-MEMO = 1 << 16
+MEMO = 1 << 17
+#: The same for lower-case pre-tokens, whose encoding is what costs.
+WORD_MEMO = 1 << 17
 #: Pieces from this length on are not remembered.
 LONG = 64
 
@@ -104,7 +106,7 @@ class Pieces(dict):
             if packed is None:
                 shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
                 packed = self.pack([t.id for t in self.model.tokenize(shown)])
-            if len(self.words) >= MEMO:
+            if len(self.words) >= WORD_MEMO:
                 self.words, self.older_words = {"": b""}, self.words
             self.words[word] = packed
         return packed
