@@ -106,7 +106,7 @@ def q_caller_path(spark, sf):
 def q_chained_loads(spark, sf):
     rows = apply_policies(_inventory(spark, sf).calls)
     kept = apply_policies(rows, drop_chained_load=True)
-    return rows.join(kept, ["script_id", "call_ord", "alt"], "left_anti").select("script_id", "line", "caller")
+    return rows.join(kept.hint("merge"), ["script_id", "call_ord", "alt"], "left_anti").select("script_id", "line", "caller")
 
 
 def q_invoked_scopes(spark, sf):

@@ -55,7 +55,7 @@ def with_heirs(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """``rows`` with ``inherits``: whether the class of their scope has bases."""
     heirs = facts_of(facts, "def").filter("kind = 'class' AND detail = 'bases'") \
         .select("script_id", F.col("qual").alias("cls"), F.lit(True).alias("inherits")).distinct()
-    return rows.join(heirs, ["script_id", "cls"], "left").withColumn("inherits", F.coalesce("inherits", F.lit(False)))
+    return rows.join(heirs.hint("merge"), ["script_id", "cls"], "left").withColumn("inherits", F.coalesce("inherits", F.lit(False)))
 
 
 def call_places(facts: DataFrame) -> DataFrame:
@@ -123,17 +123,17 @@ def reachable_scopes(facts: DataFrame) -> DataFrame:
     nodes = ["script_id", "node"]
     rounds = 0
     while True:
-        called = new.join(calling, nodes).groupBy("script_id", F.col("place").alias("node")).agg(F.min("depth").alias("depth")) \
-            .join(found.select(*nodes), nodes, "left_anti")
+        called = new.join(calling.hint("merge"), nodes).groupBy("script_id", F.col("place").alias("node")).agg(F.min("depth").alias("depth")) \
+            .join(found.select(*nodes).hint("merge"), nodes, "left_anti")
         places = called.unionByName(new.filter(~F.col("node").startswith("f:")))
         guards = found.select("script_id", F.col("node").alias("guard"))
-        by_place = standing.join(places.select("script_id", F.col("node").alias("src"), "depth"), ["script_id", "src"]) \
-            .join(guards, ["script_id", "guard"], "left_semi")
-        by_guard = inner.join(new.select("script_id", F.col("node").alias("guard")), ["script_id", "guard"], "left_semi") \
-            .join(found.select("script_id", F.col("node").alias("src"), "depth"), ["script_id", "src"])
+        by_place = standing.join(places.select("script_id", F.col("node").alias("src"), "depth").hint("merge"), ["script_id", "src"]) \
+            .join(guards.hint("merge"), ["script_id", "guard"], "left_semi")
+        by_guard = inner.join(new.select("script_id", F.col("node").alias("guard")).hint("merge"), ["script_id", "guard"], "left_semi") \
+            .join(found.select("script_id", F.col("node").alias("src"), "depth").hint("merge"), ["script_id", "src"])
         step = ["script_id", F.col("dst").alias("node"), (F.col("depth") + F.col("dst").startswith("f:").cast("int")).alias("depth")]
         fired = by_place.select(*step).unionByName(by_guard.select(*step)).unionByName(called).groupBy(*nodes).agg(F.min("depth").alias("depth"))
-        new = materialize(fired.join(found.select(*nodes), nodes, "left_anti"), "found")
+        new = materialize(fired.join(found.select(*nodes).hint("merge"), nodes, "left_anti"), "found")
         if new.isEmpty():
             return found.filter(F.col("node").startswith("f:")).select("script_id", F.expr("substring(node, 3)").alias("scope"), "depth")
         rounds += 1

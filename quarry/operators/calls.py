@@ -32,7 +32,7 @@ def call_instances(facts: DataFrame, reach: DataFrame, targets: DataFrame | None
         names = targets.select(F.col("function").alias("name")).distinct()
         calls = calls.join(names, "name", "left_semi")
     entered = reach.select("script_id", "scope", F.lit(True).alias("reachable"))
-    return calls.join(entered, ["script_id", "scope"], "left").withColumn(
+    return calls.join(entered.hint("merge"), ["script_id", "scope"], "left").withColumn(
         "reachable", F.coalesce("reachable", F.lit(False)))
 
 
@@ -97,8 +97,8 @@ def root_hops(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = binds.groupBy("script_id", "place").agg(F.countDistinct("pos").alias("n"))
     imports = facts_of(facts, "import").withColumn("place", place("scope")).groupBy("script_id", "place").agg(
         F.max_by("qual", "pos").alias("target"), F.countDistinct("pos").alias("n_imports"))
-    known = counts.join(imports, ["script_id", "place"], "left")
-    once = binds.join(known.filter("n = 1 AND target IS NULL"), ["script_id", "place"], "left_semi").filter("receiver_root IS NOT NULL")
+    known = counts.join(imports.hint("merge"), ["script_id", "place"], "left")
+    once = binds.join(known.filter("n = 1 AND target IS NULL").hint("merge"), ["script_id", "place"], "left_semi").filter("receiver_root IS NOT NULL")
     hops = once.select("script_id", "place", *root_of()).filter("up IS NOT NULL AND up <> place")
     return hops, known.filter("n = n_imports").select("script_id", "place", "target")
 
@@ -128,11 +128,11 @@ def root_paths(facts: DataFrame) -> DataFrame:
             break
         left = n
         further = at.select("script_id", F.col("place").alias("up"), F.col("up").alias("next"), F.col("suffix").alias("before"))
-        at = materialize(at.join(further, ["script_id", "up"], "left").select(
+        at = materialize(at.join(further.hint("merge"), ["script_id", "up"], "left").select(
             "script_id", "place", F.coalesce("next", "up").alias("up"), F.concat(F.coalesce("before", F.lit("")), "suffix").alias("suffix"),
             F.col("next").isNotNull().alias("moves")), "alias-hops")
     stops = imports.select("script_id", F.col("place").alias("up"), "target")
-    through = at.join(stops, ["script_id", "up"]).select("script_id", "place", F.concat("target", "suffix").alias("root_path"))
+    through = at.join(stops.hint("merge"), ["script_id", "up"]).select("script_id", "place", F.concat("target", "suffix").alias("root_path"))
     return imports.withColumnRenamed("target", "root_path").unionByName(through)
 
 
@@ -143,9 +143,9 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
         F.max(imported)["qual"].alias("import_target"), F.max(F.when(F.col("fact") == "bind", True)).alias("is_local"))
     param_names = facts_of(facts, "param").select("script_id", "scope", F.col("name").alias("receiver_root")) \
         .distinct().withColumn("is_param", F.lit(True))
-    rows = (inst.join(argv, ["script_id", "call_ord"], "left")
-            .join(names, ["script_id", "receiver_root"], "left")
-            .join(param_names, ["script_id", "scope", "receiver_root"], "left"))
+    rows = (inst.join(argv.hint("merge"), ["script_id", "call_ord"], "left")
+            .join(names.hint("merge"), ["script_id", "receiver_root"], "left")
+            .join(param_names.hint("merge"), ["script_id", "scope", "receiver_root"], "left"))
     attr = F.col("call_form") == "attr"
     caller = F.when(attr, F.col("receiver")).otherwise(F.lit("direct_call"))
     qualified = F.when(attr & F.col("import_target").isNotNull(), F.concat(
@@ -155,7 +155,7 @@ def call_rows(facts: DataFrame, inst: DataFrame, argv: DataFrame) -> DataFrame:
                    .when(F.col("is_param").isNotNull(), F.lit("param"))
                    .when(F.col("is_local").isNotNull(), F.lit("local")).otherwise(F.lit("unbound")))
     roots = root_paths(facts).withColumnsRenamed({"place": "up"})
-    rows = rows.select("*", *root_of()).join(roots, ["script_id", "up"], "left")
+    rows = rows.select("*", *root_of()).join(roots.hint("merge"), ["script_id", "up"], "left")
     empty_args = F.array().cast(T.ArrayType(VALUE_TYPE))
     empty_kwargs = F.create_map().cast(T.MapType(T.StringType(), VALUE_TYPE))
     return rows.select(
@@ -182,7 +182,7 @@ def dedup_calls(rows: DataFrame) -> DataFrame:
     first = keyed.groupBy("_key").agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("occurrences"))
     # one call may have the same row by several choices of call sites
     choice = Window.partitionBy("_key").orderBy("alt")
-    return keyed.join(first, ["_key", "_at"]).withColumn("_n", F.row_number().over(choice)).filter("_n = 1") \
+    return keyed.join(first.hint("merge"), ["_key", "_at"]).withColumn("_n", F.row_number().over(choice)).filter("_n = 1") \
         .select(*rows.columns, "occurrences")
 
 

@@ -54,7 +54,7 @@ def value_parts(facts: DataFrame) -> DataFrame:
     rows = rows.select("script_id", "owner", "part", "kind", "lit_kind", "value", "text", "key", "fmt", "src", "home", "cls", "pos",
                        "blocks", inside.alias("scope")).dropDuplicates(["script_id", "owner", "part"])
     sizes = rows.groupBy("script_id", "owner").agg(F.count(F.lit(1)).alias("n_parts"))
-    return rows.join(sizes, ["script_id", "owner"])
+    return rows.join(sizes.hint("merge"), ["script_id", "owner"])
 
 
 def binding_heads(facts: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def reaching_bindings(asks: DataFrame, heads: DataFrame) -> DataFrame:
     passed = found.filter("last IS NOT NULL").groupBy(*asked).agg(
         F.max(F.struct(F.col("last.pos").alias("pos"), (F.col("akey") != "").alias("entry"), F.col("last.owner").alias("owner"),
                        F.col("last.block").alias("block"))).alias("d"))
-    each = each.join(passed, asked, "left")
+    each = each.join(passed.hint("merge"), asked, "left")
     # loops around the reference that do not hold that binding: what is bound further down in them may hold as well
     inner = F.when(F.coalesce(F.col("d.block"), F.lit(0)) == 0, F.col("blocks")).otherwise(F.slice(
         "blocks", F.array_position(F.transform("blocks", lambda b: b["id"]), F.col("d.block")).cast("int") + 1, F.size("blocks")))
@@ -135,7 +135,7 @@ def reaching_bindings(asks: DataFrame, heads: DataFrame) -> DataFrame:
     spans = numbered.groupBy(*asked, "akey").agg(
         F.coalesce(F.max(F.when(F.col("which") == "lo", F.col("last"))), F.lit(0)).alias("lo"),
         F.coalesce(F.max(F.when(F.col("which") == "hi", F.col("last"))), F.lit(0)).alias("hi"))
-    per_ask = each.join(spans, [*asked, "akey"]).groupBy(*asked).agg(
+    per_ask = each.join(spans.hint("merge"), [*asked, "akey"]).groupBy(*asked).agg(
         F.first("rule").alias("rule"), F.first("scope").alias("scope"), F.first("name").alias("name"), F.first("at").alias("at"),
         F.first("blocks").alias("blocks"), F.first("loops").alias("loops"), F.first("d").alias("d"),
         F.collect_list(F.struct("akey", "lo", "hi")).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("more"),
@@ -151,7 +151,7 @@ def reaching_bindings(asks: DataFrame, heads: DataFrame) -> DataFrame:
         return plain.withColumnRenamed("ask_key", "akey")
     ones = listed.select(*asked, "var", "rule", "at", F.col("blocks").alias("r_blocks"), "loops", "d", "scope", "name", F.explode("spans").alias("s")) \
         .filter("s.hi > s.lo").withColumn("n", F.explode(F.sequence(F.col("s.lo") + 1, F.col("s.hi")))).withColumn("akey", F.col("s.akey"))
-    ones = ones.join(heads.select(*variable, "n", "pos", "block", "blocks", "loose", F.col("owner").alias("h_owner")), [*variable, "n"])
+    ones = ones.join(heads.select(*variable, "n", "pos", "block", "blocks", "loose", F.col("owner").alias("h_owner")).hint("merge"), [*variable, "n"])
     other_arm = F.exists("blocks", lambda x: x["split"].isNotNull() & F.exists("r_blocks", lambda y: (y["split"] == x["split"]) & (y["id"] != x["id"])))
     comes_back = F.arrays_overlap(F.transform("blocks", lambda x: x["id"]), F.col("loops"))
     ones = ones.filter((F.col("rule") != "flow") | (F.col("pos") > F.col("at")) | ~other_arm | comes_back)
@@ -166,7 +166,7 @@ def reaching_bindings(asks: DataFrame, heads: DataFrame) -> DataFrame:
         "pos", F.struct(F.col("h_owner").alias("owner"), (F.col("akey") != "").alias("entry")).alias("w")))), lambda o: o["w"]).alias("others"))
     none = F.array().cast(WAYS_TYPE)
     first = F.when(F.col("d").isNotNull(), F.array(F.struct(F.col("d.owner").alias("owner"), F.col("d.entry").alias("entry")))).otherwise(none)
-    several = listed.select(*asked, "var", "d").join(others, asked, "left").select(
+    several = listed.select(*asked, "var", "d").join(others.hint("merge"), asked, "left").select(
         *asked, "var", F.concat(first, F.coalesce("others", none)).alias("ways")).filter(F.size("ways").between(1, WAYS))
     return plain.unionByName(several).withColumnRenamed("ask_key", "akey")
 
@@ -186,15 +186,15 @@ def site_shapes(facts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_bound"), F.max((F.col("kind") == "ref").cast("int")).alias("aliased"))
     makers = facts_of(facts, "def").filter("kind = 'function' AND detail = 'class'").select("script_id", F.col("qual").alias("scope"), F.lit(True).alias("in_classmethod")).distinct()
     calls = facts_of(facts, "call").withColumn("last_name", F.element_at(F.split("receiver", r"\."), -1)) \
-        .join(classes, ["script_id", "last_name"], "left").join(bound, ["script_id", "root_home", "receiver_root"], "left") \
-        .join(makers, ["script_id", "scope"], "left")
+        .join(classes.hint("merge"), ["script_id", "last_name"], "left").join(bound.hint("merge"), ["script_id", "root_home", "receiver_root"], "left") \
+        .join(makers.hint("merge"), ["script_id", "scope"], "left")
     single = F.col("receiver") == F.col("receiver_root")
     the_class = single & (F.col("n_classes") == 1) & (F.col("class_home") == F.col("root_home")) & (F.col("n_bound") == 1)
     on = F.when(F.col("call_form") != "attr", F.lit(None)).when(the_class, F.lit("class")) \
         .when(single & (F.col("receiver") == "cls") & F.col("in_classmethod"), F.lit("class")) \
         .when(F.col("n_classes").isNotNull() | (single & (F.col("aliased") == 1)), F.lit("unknown")).otherwise(F.lit("object"))
     return calls.select("script_id", "call_ord", F.col("name").alias("callee"), "call_form", F.col("scope").alias("site_scope"), on.alias("on")) \
-        .join(shape, ["script_id", "call_ord"], "left").select(
+        .join(shape.hint("merge"), ["script_id", "call_ord"], "left").select(
             "script_id", F.col("call_ord").alias("site"), "callee", "call_form", "site_scope", "on", F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
             "star", (F.coalesce("rest", F.lit(0)) == 1).alias("rest"), F.coalesce("kws", F.array().cast("array<string>")).alias("kws"))
 
@@ -227,7 +227,7 @@ def signatures(facts: DataFrame) -> DataFrame:
         "script_id", "scope", "name", F.col("pos").alias("p_pos"),
         F.concat_ws(":", F.lit("d"), "scope", "name", F.col("pos").cast("string")).alias("default_owner")) \
         .dropDuplicates(["script_id", "scope", "name", "p_pos"])
-    return params.join(defaults, ["script_id", "scope", "name", "p_pos"], "left").join(function_shapes(facts), ["script_id", "scope"], "left")
+    return params.join(defaults.hint("merge"), ["script_id", "scope", "name", "p_pos"], "left").join(function_shapes(facts).hint("merge"), ["script_id", "scope"], "left")
 
 
 def signature_bindings(wanted: DataFrame, params: DataFrame, sites: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def signature_bindings(wanted: DataFrame, params: DataFrame, sites: DataFrame) -
     in ``*args`` and ``**kwargs``, behind ``**``, if a function is defined more
     than once, or if it is not known whether a call passes the object itself.
     """
-    rows = wanted.join(params, ["script_id", "scope", "name"], "left").join(sites, ["script_id", "site"], "left").withColumn("lead", leading())
+    rows = wanted.join(params.hint("merge"), ["script_id", "scope", "name"], "left").join(sites.hint("merge"), ["script_id", "site"], "left").withColumn("lead", leading())
     i = F.col("p_at") - F.col("lead")
     by_place = (F.col("p_kind") != "kw") & (i >= 0) & (i < F.coalesce("star", "n_pos"))
     by_name = F.array_contains("kws", F.col("name")) & (F.col("p_kind") != "only")
@@ -259,7 +259,7 @@ def entry_sites(facts: DataFrame, reach: DataFrame, scopes: DataFrame) -> DataFr
     edges = materialize(edges, "entry-edges")
 
     def back(places: DataFrame) -> DataFrame:
-        return places.join(edges, ["script_id", "place"]).select("script_id", "scope", F.col("src").alias("place")).distinct()
+        return places.join(edges.hint("merge"), ["script_id", "place"]).select("script_id", "scope", F.col("src").alias("place")).distinct()
 
     # a function's names, and the names of the class that it makes objects of
     asked = scopes.select("script_id", "scope", F.concat(F.lit("f:"), "scope").alias("place")).distinct()
@@ -267,13 +267,13 @@ def entry_sites(facts: DataFrame, reach: DataFrame, scopes: DataFrame) -> DataFr
     new = seen = materialize(named.unionByName(back(named.filter(F.col("place").startswith("c:")))).distinct(), "entered")
     # names that are aliases of those
     while True:
-        new = materialize(back(new).join(seen, ["script_id", "scope", "place"], "left_anti"), "entered")
+        new = materialize(back(new).join(seen.hint("merge"), ["script_id", "scope", "place"], "left_anti"), "entered")
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
-    live = call_places(facts).join(reach.select("script_id", "scope"), ["script_id", "scope"], "left_semi")
+    live = call_places(facts).join(reach.select("script_id", "scope").hint("merge"), ["script_id", "scope"], "left_semi")
     return live.select("script_id", "place", F.col("scope").alias("from_scope"), F.col("call_ord").alias("site")) \
-        .join(seen, ["script_id", "place"]).filter("from_scope <> scope") \
+        .join(seen.hint("merge"), ["script_id", "place"]).filter("from_scope <> scope") \
         .groupBy("script_id", "scope").agg(F.sort_array(F.collect_set("site")).alias("site_options"))
 
 
@@ -315,14 +315,14 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
     # call sites are looked up for functions whose parameters some reference may stand for
     asked = ways.select("script_id", F.explode("ways.owner").alias("o")).filter(F.col("o").startswith("p:")).distinct()
     params = facts_of(facts, "param").select("script_id", "scope", F.concat_ws(":", F.lit("p"), "scope", "name").alias("o"))
-    options = materialize(entry_sites(facts, reach, params.join(asked, ["script_id", "o"], "left_semi")), "entry-sites")
+    options = materialize(entry_sites(facts, reach, params.join(asked.hint("merge"), ["script_id", "o"], "left_semi")), "entry-sites")
 
     calls = inst.select("script_id", "call_ord").distinct()
-    mine = facts_of(facts, "arg").filter("part = 0").join(calls, ["script_id", "call_ord"], "left_semi").select(
+    mine = facts_of(facts, "arg").filter("part = 0").join(calls.hint("merge"), ["script_id", "call_ord"], "left_semi").select(
         "script_id", "call_ord", "slot", "slot_kind",
         F.concat_ws(":", F.lit("a"), F.col("call_ord").cast("string"), "slot_kind", "slot").alias("owner")).distinct()
     no_alt = F.array().cast(ALT_TYPE)
-    every = mine.join(parts, ["script_id", "owner"]).select(
+    every = mine.join(parts.hint("merge"), ["script_id", "owner"]).select(
         "script_id", "call_ord", no_alt.alias("alt"), "slot", "slot_kind", F.array("part").alias("path"), "owner", "part",
         F.when(F.col("kind") == "sub", F.col("key")).otherwise("").alias("akey"), "kind", "lit_kind", "value", "text", "fmt",
         F.col("src").alias("arg_src"), F.array().cast("array<string>").alias("seen"), F.col("kind").isin(REF_KINDS).alias("open"))
@@ -334,12 +334,12 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
     n_open = todo.limit(1).count()
     while n_open:
         rounds += 1
-        t = todo.join(ways, ASK, "left").withColumn("n_ways", F.coalesce(F.size("ways"), F.lit(0)))
+        t = todo.join(ways.hint("merge"), ASK, "left").withColumn("n_ways", F.coalesce(F.size("ways"), F.lit(0)))
         t = t.withColumn("way_fork", F.concat(F.lit("v:"), "var", F.lit(":"), F.xxhash64("ways").cast("string")))
         t = t.withColumn("way_no", F.when(F.col("n_ways") == 1, F.lit(0)).otherwise(chosen_site(F.col("way_fork"))))
         t = t.withColumn("way", F.get("ways", F.col("way_no"))).withColumn("is_param", F.coalesce(F.col("way.owner").startswith("p:"), F.lit(False)))
         t = t.withColumn("f_scope", F.when(F.col("is_param"), F.expr("substring(way.owner, 3, length(way.owner) - 3 - length(value))")))
-        t = t.join(options.withColumnRenamed("scope", "f_scope"), ["script_id", "f_scope"], "left")
+        t = t.join(options.withColumnRenamed("scope", "f_scope").hint("merge"), ["script_id", "f_scope"], "left")
         # what has to be chosen first: one of several bindings, or the call site that entered the function
         several = (F.col("n_ways") > 1) & F.col("way_no").isNull()
         unsited = F.col("is_param") & (F.size(F.filter("alt", lambda a: a["scope"] == F.col("f_scope"))) == 0)
@@ -350,10 +350,10 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
                                                       .otherwise(F.coalesce("site_options", F.array(F.lit(-1)))).alias("options"))
         if not needs.isEmpty():
             split = materialize(forks(needs), "forks")
-            t = t.join(split, INSTANCE, "left").withColumn("alt", F.coalesce("new_alt", "alt")).drop("new_alt")
+            t = t.join(split.hint("merge"), INSTANCE, "left").withColumn("alt", F.coalesce("new_alt", "alt")).drop("new_alt")
             t = t.withColumn("way_no", F.when(F.col("several"), chosen_site(F.col("way_fork"))).otherwise(F.col("way_no"))) \
                 .withColumn("way", F.get("ways", F.col("way_no"))).withColumn("waits", F.coalesce(F.col("several") & F.col("way.owner").startswith("p:"), F.lit(False)))
-            instances = materialize(instances.join(split, INSTANCE, "left").withColumn("alt", F.coalesce("new_alt", "alt")).withColumn(
+            instances = materialize(instances.join(split.hint("merge"), INSTANCE, "left").withColumn("alt", F.coalesce("new_alt", "alt")).withColumn(
                 "line", F.when(F.col("new_alt").isNotNull(), F.concat("line", F.array(alt_id()))).otherwise(F.col("line"))).drop("new_alt"), "instances")
         else:
             t = t.withColumn("waits", F.lit(False))
@@ -367,7 +367,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         value = parts.select("script_id", F.col("owner").alias("next"), F.col("part").alias("r_part"), "n_parts", F.col("kind").alias("r_kind"),
                              F.col("lit_kind").alias("r_lit_kind"), F.col("value").alias("r_value"), F.col("text").alias("r_text"),
                              F.col("key").alias("r_key"), F.col("fmt").alias("r_fmt"))
-        step = step.join(value, ["script_id", "next"], "left")
+        step = step.join(value.hint("merge"), ["script_id", "next"], "left")
         # an entry of a value that is itself a name or self.x: the entry of what that stands for
         entry = (F.col("akey") != "") & ~F.coalesce(F.col("way.entry"), F.lit(False))
         through = entry & (F.col("n_parts") == 1) & F.col("r_kind").isin("ref", "attr")
@@ -391,14 +391,14 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
         todo = now.filter("open").select(*_TODO)
         n_open, n_asks = now.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(F.col("asks"), 1))).head()
         if n_asks:
-            new = now.filter("asks").select(*ASK).distinct().join(ways, ASK, "left_anti")
+            new = now.filter("asks").select(*ASK).distinct().join(ways.hint("merge"), ASK, "left_anti")
             where = parts.select("script_id", "owner", "part", "kind", "value", "key", "home", "cls", "pos", "blocks", "scope")
-            more = new.withColumnRenamed("akey", "want").join(where, ["script_id", "owner", "part"])
+            more = new.withColumnRenamed("akey", "want").join(where.hint("merge"), ["script_id", "owner", "part"])
             own = asks_of(more.withColumn("kind", F.when(F.col("kind") == "attr", F.lit("attr")).otherwise(F.lit("ref"))))
-            keyed = own.drop("akey").join(new, ["script_id", "owner", "part"])
+            keyed = own.drop("akey").join(new.hint("merge"), ["script_id", "owner", "part"])
             ways = materialize(ways.unionByName(reaching_bindings(keyed, heads)), "ways")
     # an instance's final parts are those of each stage of its choices
     cols = ["slot", "slot_kind", "path", "kind", "lit_kind", "value", "text", "fmt", "arg_src"]
     final = reduce(DataFrame.unionByName, [d.select("script_id", "call_ord", alt_id().alias("stage"), *cols) for d in done])
-    return instances.select("script_id", "call_ord", "alt", F.explode("line").alias("stage")).join(final, ["script_id", "call_ord", "stage"]) \
+    return instances.select("script_id", "call_ord", "alt", F.explode("line").alias("stage")).join(final.hint("merge"), ["script_id", "call_ord", "stage"]) \
         .select("script_id", "call_ord", "alt", *cols)

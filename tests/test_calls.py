@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import calls as C
+from quarry.operators import callgraph, values
 from quarry.operators.calls import dedup_calls, render_args, render_kwargs
+from quarry.operators.codefacts import extract_facts
 from quarry.plans.calls import apply_policies, call_inventory, extract_calls, io_inventory
+from quarry.session import materialize
 from quarry.sources.scripts import targets_frame
 from scripts_fixture import ATTRIBUTE_PATHS, NAMED_TABLES, THREE_ARMS, UNCALLED, UNDEFINED_PART
 
@@ -151,3 +155,14 @@ def test_literals_keep_their_types_and_not_their_order(spark):
 def test_order_of_the_result(spark):
     rows = extract_calls(corpus(spark, ["load(2)\nload(1)\n", "load(0)\n"]), targets_frame(spark, ["load"]))
     assert [(r.script_id, r.line) for r in rows.collect()] == [(0, 1), (0, 2), (1, 1)]
+
+
+def test_tables_of_the_corpus_are_not_broadcast(spark):
+    """A few MB of Parquet may be 100 times as much in the driver's memory: repeated names and scopes compress well."""
+    facts = materialize(extract_facts(corpus(spark, [ATTRIBUTE_PATHS, NAMED_TABLES])), "facts", partition_by=["fact"])
+    reach = facts.select("script_id", "scope").distinct()
+    joined = [callgraph.call_places(facts), callgraph.place_edges(facts), C.call_instances(facts, reach), C.root_hops(facts)[0],
+              values.value_parts(facts), values.site_shapes(facts), values.signatures(facts), values.entry_sites(facts, reach, reach)]
+    for df in joined:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
