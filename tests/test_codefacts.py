@@ -1,5 +1,8 @@
-"""The per-script parse (pure Python, no Spark): facts it emits."""
+"""The per-script parse (pure Python, no Spark): facts it emits; and how scripts are dealt out to tasks."""
 
+from pyspark.sql.functions import spark_partition_id
+
+from quarry.operators import codefacts
 from quarry.operators.codefacts import parse_source
 
 
@@ -81,3 +84,17 @@ def test_never_executes():
     # a script that would raise or have side effects if run is only parsed
     rows = parse_source("raise SystemExit(1)\nopen('/x', 'w').write('y')\n", 1, 1)
     assert {r["fact"] for r in rows} == {"call", "arg"}
+
+
+def test_scripts_of_one_split_are_dealt_out(spark, monkeypatch):
+    sources = [f"load({i})\n" for i in range(40)] + ["load('x')\n" * 30, None, None]
+    scripts = spark.createDataFrame([(i, i, s) for i, s in enumerate(sources)],
+                                    "script_id long, script_ord long, source string").coalesce(1)
+    monkeypatch.setattr(codefacts, "TASK_SCRIPTS", 10)
+    monkeypatch.setattr(codefacts, "TASK_CHARS", 1_000)
+    assert codefacts.parse_tasks(scripts) == 5 and codefacts.parse_tasks(scripts.limit(0)) == 1
+    monkeypatch.setattr(codefacts, "TASK_CHARS", 100)
+    found = codefacts.extract_facts(scripts)
+    assert found.rdd.getNumPartitions() == codefacts.parse_tasks(scripts) == 7
+    rows = found.filter("fact = 'call'").withColumn("task", spark_partition_id()).collect()
+    assert len(rows) == 40 + 30 and len({r["task"] for r in rows}) > 4
