@@ -165,6 +165,32 @@ def test_cut_lies_in_the_gap():
     assert all(-4 < quality_ranker.quantile_cut(s, bad) < 2 for bad in (3, 4)) and quality_ranker.quantile_cut(s[:2], 1) == -4.75
 
 
+def test_cut_over_all_rows_is_the_one_in_memory(spark):
+    s = np.random.default_rng(1).normal(size=500)
+    rows = spark.createDataFrame([(float(x),) for x in s], "strength double").repartition(7)
+    assert all(abs(quality_ranker.widest_gap(rows, 500, bad) - quality_ranker.quantile_cut(s, bad)) < 1e-12 for bad in (1, 100, 499))
+
+
+@pytest.mark.parametrize("n_bad, n_good", [(3, 50), (50, 3), (1, 1), (20, 20)])
+def test_every_labelled_row_is_in_a_pair(spark, monkeypatch, n_bad, n_good):
+    monkeypatch.setattr(quality_ranker, "PAIRS", 60)
+    monkeypatch.setattr(quality_ranker, "PAIRS_OF_ROW", 5)
+    rows = spark.createDataFrame([(i >= n_bad, bytes([i]), i) for i in range(n_bad + n_good)], "good boolean, features binary, n long")
+    found = [(r["good"][0], r["bad"][0]) for r in quality_ranker.pairs_of(rows, n_bad, n_good).collect()]
+    assert {b for _, b in found} == set(range(n_bad)) and {g for g, _ in found} == set(range(n_bad, n_bad + n_good))
+    assert len(set(found)) == len(found) >= min(60, n_bad * n_good)
+
+
+def test_quality_is_learned_from_all_labels(spark, docs, labels, monkeypatch):
+    """No bound on a sample leaves rows out of the features' mean."""
+    monkeypatch.setattr(quality_ranker, "MAX_SAMPLE", 50, raising=False)
+    rows = [(i, f"{i} !!! $$$") for i in range(300)]
+    some = labels([(i, int(i == 7), 0) for i in range(300)])
+    model = quality_ranker.fit(docs(rows), some)
+    x = np.array([quality_ranker.features(t.encode()) for _, t in rows])
+    assert np.allclose(model.mean, x.mean(axis=0))
+
+
 def test_removal_with_clashing_names(spark):
     docs = documents(spark, SF).withColumn("score", F.lit("own")).withColumn("__score", F.lit(3)).withColumn("score_", F.lit(4))
     left = toxicity.remove_toxic(docs, table(spark, SF, "labels"))
