@@ -30,13 +30,13 @@ from quarry.operators.codefacts import MODULE
 from quarry.session import materialize
 
 REF_KINDS = ["ref", "sub", "attr"]
-#: A reference that more bindings may stand for is a symbol.
-WAYS = 16
 ALT_TYPE = "array<struct<scope:string,site:int>>"
 WAYS_TYPE = "array<struct<owner:string,entry:boolean>>"
 ASK = ["script_id", "owner", "part", "akey"]
 INSTANCE = ["script_id", "call_ord", "alt"]
 FAR = 1 << 62
+#: Choices of an instance that are made from one row.
+CHOICES = 4096
 
 
 # --------------------------------------------------------------------------- values and their parts
@@ -62,6 +62,7 @@ def binding_heads(facts: DataFrame) -> DataFrame:
 
     ``akey`` is the entry that is bound ('' for the whole value), ``pos`` where
     the binding takes effect, ``n`` its number among those of its variable and entry.
+    ``ends``: it is loose or the next one is in another block; ``m`` counts these up to here.
     """
     last = F.try_element_at("blocks", F.lit(-1))["id"]
     binds = facts_of(facts, "bind").filter("part = 0").select(
@@ -74,7 +75,9 @@ def binding_heads(facts: DataFrame) -> DataFrame:
         F.concat_ws(":", F.lit("p"), "scope", "name").alias("owner"))
     every = binds.unionByName(params).dropDuplicates(["script_id", "owner"])
     order = Window.partitionBy("script_id", "scope", "name", "akey").orderBy("pos", "owner")
-    return every.withColumn("n", F.row_number().over(order))
+    last_there = F.col("loose") | ~F.col("block").eqNullSafe(F.lead("block").over(order))
+    return every.withColumn("n", F.row_number().over(order)).withColumn("ends", last_there) \
+        .withColumn("m", F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 # --------------------------------------------------------------------------- reaching bindings
@@ -130,28 +133,39 @@ def reaching_bindings(asks: DataFrame, heads: DataFrame) -> DataFrame:
     each = each.withColumn("limit", upto).withColumn("loops", F.transform(loops, lambda b: b["id"]))
     ends = each.select(*asked, "scope", "name", "akey", F.explode(F.array(
         F.struct(F.col("limit").alias("upto"), F.lit("hi").alias("which")),
+        F.struct(F.least("limit", "at").alias("upto"), F.lit("mid").alias("which")),
         F.struct(F.coalesce("d.pos", F.lit(-2).cast("long")).alias("upto"), F.lit("lo").alias("which")))).alias("e")).select("*", "e.*").drop("e")
-    numbered = as_of(heads.select(*variable, "pos", "n"), ends, variable, F.col("n"))
-    spans = numbered.groupBy(*asked, "akey").agg(
-        F.coalesce(F.max(F.when(F.col("which") == "lo", F.col("last"))), F.lit(0)).alias("lo"),
-        F.coalesce(F.max(F.when(F.col("which") == "hi", F.col("last"))), F.lit(0)).alias("hi"))
+    numbered = as_of(heads.select(*variable, "pos", "n", "m"), ends, variable, F.struct("n", "m"))
+    number = [F.coalesce(F.max(F.when(F.col("which") == w, F.col("last")[c])), F.lit(0)).cast("int").alias(f"{w}{x}")
+              for w in ("lo", "mid", "hi") for c, x in (("n", ""), ("m", "_m"))]
+    spans = numbered.groupBy(*asked, "akey").agg(*number)
     per_ask = each.join(spans.hint("merge"), [*asked, "akey"]).groupBy(*asked).agg(
         F.first("rule").alias("rule"), F.first("scope").alias("scope"), F.first("name").alias("name"), F.first("at").alias("at"),
         F.first("blocks").alias("blocks"), F.first("loops").alias("loops"), F.first("d").alias("d"),
-        F.collect_list(F.struct("akey", "lo", "hi")).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("more"),
+        F.collect_list(F.struct("akey", "lo", "lo_m", "mid", "hi", "hi_m")).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("more"),
         F.max(F.col("hi") - F.col("lo")).alias("most"))
     var = F.concat_ws(":", "scope", "name", "ask_key")
     sure = F.col("d").isNotNull() & (F.col("more") == 0)
     per_ask = materialize(per_ask.withColumn("var", var).withColumn("sure", sure), "asked")
     plain = per_ask.filter("sure").select(*asked, "var", F.array(F.struct(F.col("d.owner").alias("owner"), F.col("d.entry").alias("entry"))).alias("ways"))
     # a module's variable must be bound once; of a literal and its entry the later one counts
-    listed = per_ask.filter(~F.col("sure") & (F.col("more") > 0) & (F.col("more") <= 2 * WAYS)
-                            & ((F.col("rule") != "once") | (F.col("most") == 1)))
+    listed = per_ask.filter(~F.col("sure") & (F.col("more") > 0) & ((F.col("rule") != "once") | (F.col("most") == 1)))
     if listed.isEmpty():
         return plain.withColumnRenamed("ask_key", "akey")
+    # of bindings that follow each other in a block, on the same side of the reference, the last one is enough: it ends
+    # them, or it is the last before the reference or the limit
+    numbers = F.when(F.col("rule") != "flow", F.transform(F.sequence(F.col("s.lo") + 1, F.col("s.hi")), lambda i: F.struct(F.lit("any").alias("by"), i.alias("no")))) \
+        .otherwise(F.concat(
+            F.when(F.col("s.hi_m") > F.col("s.lo_m"), F.transform(F.sequence(F.col("s.lo_m") + 1, F.col("s.hi_m")), lambda i: F.struct(F.lit("end").alias("by"), i.alias("no"))))
+            .otherwise(F.array().cast("array<struct<by:string,no:int>>")),
+            F.transform(F.filter(F.array_distinct(F.array("s.mid", "s.hi")), lambda i: i > F.col("s.lo")), lambda i: F.struct(F.lit("open").alias("by"), i.alias("no")))))
     ones = listed.select(*asked, "var", "rule", "at", F.col("blocks").alias("r_blocks"), "loops", "d", "scope", "name", F.explode("spans").alias("s")) \
-        .filter("s.hi > s.lo").withColumn("n", F.explode(F.sequence(F.col("s.lo") + 1, F.col("s.hi")))).withColumn("akey", F.col("s.akey"))
-    ones = ones.join(heads.select(*variable, "n", "pos", "block", "blocks", "loose", F.col("owner").alias("h_owner")).hint("merge"), [*variable, "n"])
+        .filter("s.hi > s.lo").withColumn("akey", F.col("s.akey")).withColumn("i", F.explode(numbers)).select("*", "i.*").drop("i", "s")
+    numbered_heads = heads.select(*variable, "pos", "block", "blocks", "loose", F.col("owner").alias("h_owner"), F.explode(F.array(
+        F.struct(F.lit("any").alias("by"), F.col("n").cast("int").alias("no")),
+        F.when(F.col("ends"), F.struct(F.lit("end").alias("by"), F.col("m").cast("int").alias("no")))
+        .otherwise(F.struct(F.lit("open").alias("by"), F.col("n").cast("int").alias("no"))))).alias("i")).select("*", "i.*").drop("i")
+    ones = ones.join(numbered_heads.hint("merge"), [*variable, "by", "no"])
     other_arm = F.exists("blocks", lambda x: x["split"].isNotNull() & F.exists("r_blocks", lambda y: (y["split"] == x["split"]) & (y["id"] != x["id"])))
     comes_back = F.arrays_overlap(F.transform("blocks", lambda x: x["id"]), F.col("loops"))
     ones = ones.filter((F.col("rule") != "flow") | (F.col("pos") > F.col("at")) | ~other_arm | comes_back)
@@ -167,7 +181,7 @@ def reaching_bindings(asks: DataFrame, heads: DataFrame) -> DataFrame:
     none = F.array().cast(WAYS_TYPE)
     first = F.when(F.col("d").isNotNull(), F.array(F.struct(F.col("d.owner").alias("owner"), F.col("d.entry").alias("entry")))).otherwise(none)
     several = listed.select(*asked, "var", "d").join(others.hint("merge"), asked, "left").select(
-        *asked, "var", F.concat(first, F.coalesce("others", none)).alias("ways")).filter(F.size("ways").between(1, WAYS))
+        *asked, "var", F.concat(first, F.coalesce("others", none)).alias("ways")).filter(F.size("ways") > 0)
     return plain.unionByName(several).withColumnRenamed("ask_key", "akey")
 
 
@@ -298,12 +312,19 @@ def chosen_site(scope: Column) -> Column:
 
 
 def forks(needs: DataFrame) -> DataFrame:
-    """(instance, new_alt): every combination of the possibilities that an instance has to choose from in this round."""
-    per = needs.groupBy(*INSTANCE).agg(F.sort_array(F.collect_set(F.struct("fork", "options"))).alias("keys"))
-    start = F.array(F.col("alt"))
-    every = F.aggregate("keys", start, lambda acc, k: F.flatten(F.transform(acc, lambda a: F.transform(
-        k["options"], lambda o: F.array_sort(F.concat(a, F.array(F.struct(k["fork"].alias("scope"), o.alias("site")))))))))
-    return per.select(*INSTANCE, F.explode(every).alias("new_alt"))
+    """(instance, new_alt): every combination of the possibilities that an instance has to choose from in this round.
+
+    Combinations are counted through, in rows of ``CHOICES`` numbers: an instance's are never together in a row.
+    """
+    def times(keys: Column) -> Column:
+        return F.aggregate(keys, F.lit(1).cast("long"), lambda n, k: n * F.size(k["options"]))
+
+    per = needs.groupBy(*INSTANCE).agg(F.sort_array(F.collect_set(F.struct("fork", "options"))).alias("keys")).withColumn("many", times(F.col("keys")))
+    rows = per.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(CHOICES).cast("long")))) \
+        .withColumn("c", F.explode(F.sequence("c", F.least(F.col("c") + CHOICES, "many") - 1)))
+    made = F.transform("keys", lambda k, i: F.struct(k["fork"].alias("scope"), F.get(k["options"], F.pmod(F.call_function(
+        "div", F.col("c"), times(F.slice("keys", F.lit(1), i))), F.size(k["options"])).cast("int")).alias("site")))
+    return rows.select(*INSTANCE, F.array_sort(F.concat("alt", made)).alias("new_alt"))
 
 
 def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> DataFrame:
@@ -357,6 +378,7 @@ def resolve_arguments(facts: DataFrame, inst: DataFrame, reach: DataFrame) -> Da
                 "line", F.when(F.col("new_alt").isNotNull(), F.concat("line", F.array(alt_id()))).otherwise(F.col("line"))).drop("new_alt"), "instances")
         else:
             t = t.withColumn("waits", F.lit(False))
+        t = t.drop("ways", "n_ways", "site_options")
         used = F.col("way.owner")
         usable = used.isNotNull() & ~F.array_contains("seen", used) & ~F.col("waits")
         t = t.withColumn("usable", usable).withColumn("site", F.when(F.col("is_param"), chosen_site(F.col("f_scope"))))

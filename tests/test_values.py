@@ -194,3 +194,36 @@ def test_dedup_combines_before_it_sorts(spark):
     plan = dedup_calls(inv.calls).select(F.col("occurrences"))._jdf.queryExecution().executedPlan().toString()
     partial = next(line for line in plan.split("\n") if "partial_min" in line)
     assert "HashAggregate" in partial and "SortAggregate" not in plan
+
+
+def bind(name, values, indent=""):
+    return "".join(f"{indent}{name} = {v!r}\n" for v in values)
+
+
+B = [f"b{i}" for i in range(40)]
+ARMS = "".join(f"if c{i}:\n    p = 'b{i}'\n" for i in range(40))
+# What load() may get where more than a few bindings may hold.
+MANY = {
+    "arms": ("p = 'a'\n" + ARMS + "load(p)\n", {"a", *B}),
+    "arms, nothing before": (ARMS + "load(p)\n", {*B}),
+    "own attribute": ("class K:\n" + "".join(f"    def m{i}(self):\n        self.p = 'b{i}'\n" for i in range(40)) + "    def go(self):\n        load(self.p)\nK().go()\n",
+                      {*B}),
+    "entry": ("c = {'k': 'a'}\n" + "".join(f"if o({i}):\n    c['k'] = 'b{i}'\n" for i in range(40)) + "load(c['k'])\n", {"a", *B}),
+    "each may be the last": ("p = 'a'\nfor i in o():\n" + "".join(f"    p = 'b{i}'\n    if i == {i}:\n        break\n" for i in range(40)) + "load(p)\n", {"a", *B}),
+    "one arm": ("p = 'a'\nif c:\n" + bind("p", B, "    ") + "load(p)\n", {"a", "b39"}),
+    "between two runs": ("p = 'a'\nfor i in o():\n    if c:\n" + bind("p", B[:20], "        ") + "        if d:\n            load(p)\n" + bind("p", B[20:], "        "), {"b19"}),
+    "before a run": ("p = 'a'\nfor i in o():\n    load(p)\n" + bind("p", B, "    "), {"a", "b39"}),
+    "two variables": ("p = q = ''\n" + "".join(f"if c{i}:\n    p = 'b{i}'\nif d{i}:\n    q = 'e{i}'\n" for i in range(18)) + "load(p + q)\n",
+                      {x + y for x in ["", *B[:18]] for y in ["", *(f"e{i}" for i in range(18))]}),
+}
+
+
+def test_any_number_of_bindings(spark):
+    got = loads(spark, [s for s, _ in MANY.values()])
+    assert {k: got[i] for i, k in enumerate(MANY)} == {k: sorted(f'["{x}"]' for x in v) for k, (_, v) in MANY.items()}
+
+
+def test_more_choices_than_are_made_from_one_row(spark, monkeypatch):
+    monkeypatch.setattr("quarry.operators.values.CHOICES", 7)
+    got = loads(spark, ["".join(f"{x} = ''\n" + "".join(f"if c{x}{i}:\n    {x} = '{x}{i}'\n" for i in range(3)) for x in "pqr") + "load(p + q + r)\n"])
+    assert got[0] == sorted(f'["{a}{b}{c}"]' for a in ("", "p0", "p1", "p2") for b in ("", "q0", "q1", "q2") for c in ("", "r0", "r1", "r2"))
