@@ -15,7 +15,10 @@ is one shingle).  Texts whose sets are equal are one node.
    one.  Groups are dealt out in blocks of about ``BLOCK`` nodes.  In a task, a
    pair must share prefix tokens under each of ``ORDERS`` global orders; those
    in the intersection are verified on their whole sets.
-4. A group of several blocks meets its first block before the others; what is
+4. A group of several blocks is taken apart first, up to ``TURNS`` times: its texts
+   get a count table of their own, and with that order prefixes, ties and components
+   inside the group as in 1 to 3.  Similar pairs stay together under any order.
+5. What still has several blocks meets its first block before the others; what is
    connected by then is not compared again.  The rest is compared block by block.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
@@ -26,6 +29,7 @@ null id; an empty table gives an empty table; extra columns are not carried.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +46,9 @@ SIMILAR = (3, 4)          # least Jaccard similarity as a fraction
 ORDERS = 3                # global token orders
 SMALL = 64                # nodes of a token that are paired with each other
 BLOCK = 128               # nodes of a block, on average
-SKETCH_BITS = 18          # the count table has 2**SKETCH_BITS entries
+SKETCH_BITS = 21          # the count table has 2**SKETCH_BITS entries
+SKETCH_ROW = 12           # a task sends its counts in rows of 2**SKETCH_ROW entries
+TURNS = 3                 # count tables by which groups of several blocks are taken apart
 WANTED = 300_000          # rows to fetch that are broadcast (id, hash and group: about 100 bytes each)
 MEMO = 1 << 16            # word hashes, and nodes already posted, that a task remembers
 
@@ -91,37 +97,67 @@ def prefix(tokens: np.ndarray, key: np.ndarray) -> np.ndarray:
     return tokens[key <= np.partition(key, keep - 1)[keep - 1]] if n else tokens
 
 
-def spots(tokens: np.ndarray, size: int) -> np.ndarray:
-    """Places of tokens in a count table whose size is a power of two: their first bits."""
-    return (tokens >> np.uint64(65 - size.bit_length())).astype(np.int64)
+def spots(tokens: np.ndarray, size: int, turn: int = 0) -> np.ndarray:
+    """Places of tokens in a count table whose size is a power of two: their first bits; each turn has others."""
+    return ((mix(tokens, -turn) if turn else tokens) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def order_key(tokens: np.ndarray, order: int, counts: np.ndarray | None = None) -> np.ndarray:
+def order_key(tokens: np.ndarray, order: int, counts: np.ndarray | None = None, turn: int = 0) -> np.ndarray:
     """Sort key of the tokens in a global order; the first puts small counts first."""
     if counts is None:
         return mix(tokens, order)
-    frequency = counts[spots(tokens, len(counts))].astype(np.uint64)
+    frequency = counts[spots(tokens, len(counts), turn)].astype(np.uint64)
     return (np.minimum(frequency, np.uint64((1 << 31) - 1)) << np.uint64(32)) | (mix(tokens, order) >> np.uint64(32))
 
 
-def token_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingle counts of all texts by hash: summed in each task, then by Spark; an array of fixed size."""
-    size = 1 << SKETCH_BITS
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHash(), np.zeros(size, np.int64)
+
+def unpacked(data: bytes, many: int) -> np.ndarray:
+    plain = zlib.decompress(data)
+    return np.frombuffer(plain, f"u{len(plain) // many}").astype(np.int64)
+
+
+def token_counts(docs: DataFrame, text: str, turn: int = 0) -> np.ndarray:
+    """Shingle counts of all texts by hash, an array of fixed size: summed in each task, then row by row of the table."""
+    size, row = 1 << SKETCH_BITS, 1 << min(SKETCH_ROW, SKETCH_BITS)
+
+    def table(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([packed(x) for x in sums.values()], pa.binary())],
+                                          names=["row", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = WordHash(), np.zeros(size, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 sets = [shingle_set(t, words) for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
-                counts += np.bincount(spots(np.concatenate(sets), size), minlength=size)
-        taken = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(taken), pa.array(counts[taken])], names=["spot", "n"])
+                np.add.at(counts, spots(np.concatenate(sets), size, turn), np.uint32(1))
+        yield table({i: x for i, x in enumerate(counts.reshape(-1, row)) if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[i] = sums.get(i, 0) + unpacked(data, row)
+        yield table(sums)
+
+    kind = "row int, counts binary"
+    counts = np.zeros((size // row, row), np.uint32)
+    for i, data in docs.select(F.col(text).cast("binary")).mapInArrow(count, kind).repartition("row").mapInArrow(add, kind).collect():
+        counts[i] = np.minimum(unpacked(data, row), (1 << 32) - 1)
+    return counts.reshape(-1)
+
+
+def arrays(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
 
-    rows = (docs.select(F.col(text).cast("binary")).mapInArrow(run, "spot long, n long")
-            .groupBy("spot").agg(F.sum("n").alias("n")).toPandas())
-    counts = np.zeros(size, np.int64)
-    counts[rows["spot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts
+
+def frequent_from(counts: np.ndarray) -> int:
+    """A count above this is far above the mean."""
+    return 8 * int(counts.mean()) + 1000
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, text: str, ident: str) -> DataFrame:
@@ -129,11 +165,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, text: str, ident: str) -> Da
 
     Tokens whose count is far above the mean come in a column of their own, ``hot``.
     """
-    hot_from = 8 * int(counts.mean()) + 1000
-
-    def arrays(parts: list[np.ndarray]) -> pa.Array:
-        offsets = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
+    hot_from = frequent_from(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, posted = WordHash(), set()
@@ -162,6 +194,31 @@ def signatures(docs: DataFrame, counts: np.ndarray, text: str, ident: str) -> Da
     return rows.mapInArrow(run, f"id {kind}, text_hash long, node long, n long, rare array<long>, hot array<long>")
 
 
+def postings(nodes: DataFrame, counts: np.ndarray, turn: int) -> DataFrame:
+    """Per row of (node, grp, body) its node, set size and prefix tokens as by ``signatures``; tokens of two groups differ."""
+    hot_from = frequent_from(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                sizes, rare, hot = [], [], []
+                for node, grp, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    s = shingle_set(text, words)
+                    s = s if node_of(s) == node else s[:0]
+                    first = prefix(s, order_key(s, 0, counts, turn))
+                    often = counts[spots(first, len(counts), turn)] > hot_from
+                    first = mix(first + np.uint64(grp + (1 << 63)))
+                    sizes.append(len(s))
+                    rare.append(first[~often])
+                    hot.append(first[often])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), arrays(rare), arrays(hot)],
+                                                 names=["node", "n", "rare", "hot"])
+
+    return nodes.select("node", "grp", "body").mapInArrow(run, "node long, n long, rare array<long>, hot array<long>")
+
+
 def ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("long")
 
@@ -266,18 +323,22 @@ def verified(rows: DataFrame) -> DataFrame:
     return rows.select("grp", "task", "side", "node", "body").groupBy("grp", "task").applyInArrow(run, "a long, b long")
 
 
+def in_blocks(groups: DataFrame) -> DataFrame:
+    """(node, grp, blocks, block) of (node, root): each group in blocks of about ``BLOCK`` nodes."""
+    sizes = groups.groupBy(F.col("root").alias("grp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return groups.withColumnRenamed("root", "grp").join(sizes, "grp").select(
+        "node", "grp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+
+
 def verify_groups(docs: DataFrame, signed: DataFrame, groups: DataFrame, text: str, ident: str) -> DataFrame:
     """Links between nodes of the same group, enough to connect what is similar.
 
     ``groups`` has (node, root).  One row of each node is fetched by id and text hash.
     """
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    one = (signed.filter("n > 0").select("node", "id", "text_hash").join(groups, "node")
-           .groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row"),
-                                F.first("root").alias("grp")))
-    wanted = one.join(sizes.withColumnRenamed("root", "grp"), "grp").select(
-        "node", "grp", "blocks", "row.id", "row.text_hash", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    wanted = cut(wanted, "ngram-wanted")
+    one = (signed.filter("n > 0").select("node", "id", "text_hash").join(in_blocks(groups), "node")
+           .groupBy("node", "grp", "blocks", "block")
+           .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row")))
+    wanted = cut(one.select("node", "grp", "blocks", "row.id", "row.text_hash", "block"), "ngram-wanted")
     small = wanted.count() <= WANTED
 
     def fetched(rows: DataFrame) -> DataFrame:
@@ -286,13 +347,30 @@ def verify_groups(docs: DataFrame, signed: DataFrame, groups: DataFrame, text: s
         return rows.join(body, same_row(body, rows, text, ident)).select(
             "node", "grp", "blocks", "block", F.col(text).cast("binary").alias("body"))
 
-    one = fetched(wanted.filter("blocks = 1")).withColumn("task", F.lit(0)).withColumn("side", F.lit(0))
-    found = cut(verified(one), "ngram-links")
+    def inside(rows: DataFrame) -> DataFrame:
+        one = rows.filter("blocks = 1").withColumn("task", F.lit(0)).withColumn("side", F.lit(0))
+        return cut(verified(one), "ngram-links")
+
+    found = inside(fetched(wanted.filter("blocks = 1")))
     many = wanted.filter("blocks > 1")
     if many.isEmpty():
         return found
-    # The first block with itself and with every other one.
     nodes = cut(fetched(many), "ngram-nodes")
+    left = nodes.count()
+    # Groups are taken apart as long as that leaves less: in an order by the counts of their own texts, what only
+    # looked rare among all texts comes last.  A node without a tie is similar to no other.
+    for turn in range(1, TURNS + 1):
+        again = cut(postings(nodes, token_counts(nodes, "body", turn), turn), "ngram-postings")
+        parts = cut(in_blocks(components(candidate_ties(again), "ngram-parts")), "ngram-placed")
+        nodes = cut(nodes.select("node", "body").join(parts, "node"), "ngram-nodes")
+        found = found.union(inside(nodes))
+        nodes, before = nodes.filter("blocks > 1"), left
+        left = nodes.count()
+        if not left:
+            return found
+        if 4 * left > 3 * before:
+            break
+    # The first block with itself and with every other one.
     first = cut(verified(nodes.select(
         "grp", "node", "body", (F.col("block") > 0).cast("int").alias("side"),
         F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -92,3 +92,33 @@ def test_keep_one_with_clashing_names(spark, docs):
         rows = rows.withColumn(name, F.lit(name))
     left = nj.keep_one(rows)
     assert left.columns == rows.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
+def test_texts_of_common_passages_are_not_compared_by_blocks(spark, docs, monkeypatch):
+    """A full count table ties them to one group; no text of it may be dealt to ever more tasks."""
+    monkeypatch.setattr(nj, "SKETCH_BITS", 10)
+    monkeypatch.setattr(nj, "SMALL", 4)
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    rng = random.Random(5)
+    texts = [" ".join(f"u{k}w{i}" for i in range(60)) for k in range(8000)]
+    passages = [" ".join(f"p{j}w{i}" for i in range(14)) for j in range(48)]
+    texts += [" ".join([f"v{k}w{i}" for i in range(56)] + rng.sample(passages, 4)) for k in range(240)]
+    near = [texts[-1] + " and some more", "one " + texts[5], texts[8000] + " end"]
+    dealt, verified = [], nj.verified
+    monkeypatch.setattr(nj, "verified", lambda rows: (dealt.append(rows.count()), verified(rows))[1])
+    got = run(spark, list(enumerate(texts + near)), docs)
+    assert {c[:1] + c[2:] for c in got if c[0] != c[2]} == {(8240, 8239), (8241, 5), (8242, 8000)}
+    assert sum(dealt) < 3 * 240
+
+
+def test_counts_of_many_tasks_are_summed(spark, docs, monkeypatch):
+    """The table has every shingle of every row, whatever a task's counts were packed in."""
+    monkeypatch.setattr(nj, "SKETCH_BITS", 14)
+    often = " ".join(f"o{i}" for i in range(9))
+    rows = docs([(k, f"{often} x{k}") for k in range(700)] + [(None, None), (1, "")])
+    counts = nj.token_counts(rows.repartition(7), "text")
+    words = nj.WordHash()
+    want = nj.np.bincount(nj.spots(nj.np.concatenate([nj.shingle_set((t or "").encode(), words) for (t,) in rows.select("text").collect()]),
+                                   1 << 14), minlength=1 << 14)
+    assert counts.tolist() == want.tolist() and counts.max() >= 700
+    assert not nj.token_counts(rows.limit(0), "text").any()
