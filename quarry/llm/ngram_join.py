@@ -320,7 +320,9 @@ def verified(rows: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([order[x] for x, _ in found], pa.int64()),
                          "b": pa.array([order[y] for _, y in found], pa.int64())})
 
-    return rows.select("grp", "task", "side", "node", "body").groupBy("grp", "task").applyInArrow(run, "a long, b long")
+    # dealt by both, else a join by group before it leaves all tasks of a group together
+    dealt = rows.select("grp", "task", "side", "node", "body").repartition("grp", "task")
+    return dealt.groupBy("grp", "task").applyInArrow(run, "a long, b long")
 
 
 def in_blocks(groups: DataFrame) -> DataFrame:
